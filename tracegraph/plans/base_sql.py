@@ -18,7 +18,7 @@ CNT = lambda c, ch: f"(length({c}) - length(replace({c}, {LIT(ch)}, '')))"
 ENT = lambda c: (f"(CASE WHEN length({c}) = 0 THEN 0.0 ELSE coalesce(list_sum(list_transform("
                  f"list_distinct(string_split({c}, '')), lambda ch: -((length({c}) - length(replace({c}, ch, ''))) / "
                  f"length({c})) * log2((length({c}) - length(replace({c}, ch, ''))) / length({c})))), 0.0) END)")
-R = lambda e: f"round(CAST({e} AS DOUBLE), 6)"
+R = lambda e: f"round(CAST({e} AS DOUBLE) + 3e-9, 6)"  # nudged off exact ties, as in registry.present
 I = lambda e: f"CAST({e} AS BIGINT)"
 DIV = lambda a, b: f"(CASE WHEN ({b}) = 0 THEN 0.0 ELSE CAST({a} AS DOUBLE) / ({b}) END)"
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tracegraph.sources.adapter import Tables
 
+NUDGE = 3e-9  # moves exact decimal ties off the edge, so that every engine rounds them alike
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -36,15 +37,26 @@ def present(df: DataFrame) -> DataFrame:
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), 6)
+            c = F.round(c.cast("double") + NUDGE, 6)
             c = F.when(c == 0, F.lit(0.0)).otherwise(c)
         out.append(c.alias(f.name))
     return df.select(*out)
 
 
+STORES: dict[tuple[str, str], Tables] = {}
+
+
+def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """Trace tables of a folder: derived and landed once per application, then read by every query."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in STORES:
+        STORES[key] = Tables(spark, sf_dir)
+    return STORES[key]
+
+
 def bind(fn: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return present(fn(Tables(spark, sf_dir)))
+        return present(fn(tables(spark, sf_dir)))
 
     return run
 

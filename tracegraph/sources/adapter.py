@@ -87,9 +87,9 @@ class Tables:
         rtype = pick(RESOURCE_TYPES, F.col("k") % 7)
         ctype = F.when(F.col("k") % 7 == 0, F.lit("text/html; charset=utf-8")).when(
             F.col("k") % 7 == 1, F.lit("application/javascript")).when(F.col("k") % 7 == 2, F.lit("text/css"))
-        return self.visits.select("trace_id", "event_id", "tus", F.col("page_url").alias("url"),
-                                  rtype.alias("resource_type"), status.cast("int").alias("status"),
-                                  ctype.alias("content_type"))
+        return land(self.visits.select(
+            "trace_id", "event_id", "tus", F.col("page_url").alias("url"), rtype.alias("resource_type"),
+            status.cast("int").alias("status"), ctype.alias("content_type")), "rq")
 
     @cached_property
     def rd(self) -> DataFrame:
@@ -108,6 +108,20 @@ class Tables:
     def edges(self) -> DataFrame:
         return land(graph.itg_edges(self.ev, self.rd), "edges")
 
+    @cached_property
+    def paths(self) -> DataFrame:
+        return land(paths.path_metrics(self.nodes, self.edges), "paths")
+
+    @cached_property
+    def itg(self) -> DataFrame:
+        return land(views.itg_view(self.nodes, self.edges, self.paths), "itg")
+
+    @cached_property
+    def views(self) -> DataFrame:
+        """The 125 view columns with the label y."""
+        full = views.all_views(self.tr, self.ev, self.rq, self.rd, self.itg)
+        return land(full.join(self.tr.filter("success").select("trace_id", "y"), "trace_id"), "views")
+
     @cached_property
     def tr(self) -> DataFrame:
         """One row per trace."""
@@ -123,11 +137,11 @@ class Tables:
         a = a.select("*", F.col("first.page_id").alias("page_id"), F.col("first.page_url").alias("url"))
         a = a.join(titles, "page_id").join(
             self.raw("labels").select(F.col("doc_id").alias("user_id"), "toxic"), "user_id", "left")
-        return a.select(
+        return land(a.select(
             "trace_id", "user_id", "url", "final_url", "page_title", (F.col("user_id") % 50 != 49).alias("success"),
             F.col("forms_submitted"), F.greatest(F.lit(0), F.col("forms_submitted") - 1).alias("dual_submissions"),
             "elements_interacted", "n_events", "start_us", "end_us",
-            F.coalesce(F.col("toxic"), (F.col("user_id") % 5 == 0).cast("int")).alias("y"))
+            F.coalesce(F.col("toxic"), (F.col("user_id") % 5 == 0).cast("int")).alias("y")), "tr")
 
     @cached_property
     def hosts(self) -> DataFrame:
@@ -174,7 +188,7 @@ class Tables:
             pick([c[0] for c in fixed.QUERY_CATEGORIES], F.floor(n / 7) % 6).alias("category"))
 
 
-from tracegraph.operators import graph  # noqa: E402  (operators import the slice rule above)
+from tracegraph.operators import graph, paths, views  # noqa: E402  (operators import the slice rule above)
 
 
 def _pairs(d: dict) -> list:
