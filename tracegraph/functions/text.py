@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def _col(c) -> Column:
@@ -82,3 +82,13 @@ def div(num, den) -> Column:
     """Double division, 0 where the denominator is 0."""
     n, d = _col(num).cast("double"), _col(den).cast("double")
     return F.when(d == 0, F.lit(0.0)).otherwise(n / d)
+
+
+def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns behind a one-row explode.
+
+    Later filters and projections then refer to the finished values; without it
+    the optimizer copies the long expressions into every place that uses them.
+    """
+    row = F.struct(*[c.alias(k) for k, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
