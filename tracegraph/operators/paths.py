@@ -91,6 +91,8 @@ def _measure_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _packed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row per trace with its node and edge lists; only for traces known to be small."""
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes, edges = nodes.repartition(parts, "trace_id"), edges.repartition(parts, "trace_id")
     n = nodes.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct(
         "node_seq", F.xxhash64("node").alias("id"), (F.col("node_type") == "url").alias("u")))).alias("n"))
     e = edges.groupBy("trace_id").agg(F.collect_list(F.struct(

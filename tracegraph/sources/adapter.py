@@ -108,6 +108,14 @@ class Tables:
     def edges(self) -> DataFrame:
         return land(graph.itg_edges(self.ev, self.rd), "edges")
 
+    @cached_property
+    def bag(self) -> DataFrame:
+        return land(graph.edge_bag(self.ev, self.rd), "bag")
+
+    @cached_property
+    def wl(self) -> DataFrame:
+        return land(structure.wl_labels(self.nodes, self.bag), "wl-labels")
+
     @cached_property
     def paths(self) -> DataFrame:
         return land(paths.path_metrics(self.nodes, self.edges), "paths")
@@ -188,7 +196,7 @@ class Tables:
             pick([c[0] for c in fixed.QUERY_CATEGORIES], F.floor(n / 7) % 6).alias("category"))
 
 
-from tracegraph.operators import graph, paths, views  # noqa: E402  (operators import the slice rule above)
+from tracegraph.operators import graph, paths, structure, views  # noqa: E402  (operators import the slice rule above)
 
 
 def _pairs(d: dict) -> list:
