@@ -74,14 +74,14 @@ def field_flags() -> list[Column]:
             F.max(any_word(field_text(), ["email", "mail", "user"]).cast("int")).alias("has_email_field")]
 
 
-def span_seconds(col: str = "tus") -> Column:
+def span_seconds(col: str = "ts_us") -> Column:
     """Seconds between the first and last positive timestamp, 0 for fewer than two."""
     t = F.when(F.col(col) > 0, F.col(col))
     return F.when(F.count(t) >= 2, (F.max(t) - F.min(t)) / 1e6).otherwise(F.lit(0.0))
 
 
 def time_aggs(ev: DataFrame) -> DataFrame:
-    t = F.when(F.col("tus") > 0, F.col("tus"))
+    t = F.when(F.col("ts_us") > 0, F.col("ts_us"))
     a = interaction_filter(ev).groupBy("trace_id").agg(F.count(t).alias("n"), span_seconds().alias("duration"))
     return a.select("trace_id", "n", "duration",
                     F.when(F.col("n") > 1, F.col("duration") / (F.col("n") - 1)).otherwise(0.0).alias("avg_gap"),

@@ -50,7 +50,7 @@ def itg_nodes(tr: DataFrame, ev: DataFrame, rd: DataFrame) -> DataFrame:
     c = F.col
     per_event = F.array(
         _node(c("node"), c("idx") * 2, c("event_type"), c("element_tag"), c("element_id"), c("element_class"),
-              c("tus"), c("form_field")),
+              c("ts_us"), c("form_field")),
         F.when(c("nav"), url_node(c("url_after"), c("idx") * 2 + 1)))
     hops = F.array(url_node(c("prev_url"), REDIRECT_SEQ + c("pos") * 2),
                    url_node(c("url"), REDIRECT_SEQ + c("pos") * 2 + 1))
@@ -164,7 +164,7 @@ def neighbor_join(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def node_time_stats(nodes: DataFrame) -> DataFrame:
     t = F.when(F.col("tus") > 0, F.col("tus"))
-    a = nodes.groupBy("trace_id").agg(F.count(t).alias("k"), events.span_seconds().alias("total_interaction_time"))
+    a = nodes.groupBy("trace_id").agg(F.count(t).alias("k"), events.span_seconds("tus").alias("total_interaction_time"))
     tt = F.col("total_interaction_time")
     return a.select("trace_id", "total_interaction_time",
                     F.when(F.col("k") > 1, tt / (F.col("k") - 1)).otherwise(0.0).alias("avg_time_between_events"),

@@ -70,7 +70,7 @@ class Tables:
         before = F.coalesce("prev_url", "page_url")
         types, tags = F.create_map(*_pairs(EVENT_TYPES)), F.create_map(*_pairs(EVENT_TAGS))
         v = v.select(
-            "trace_id", "event_id", "user_id", "tus", "raw_idx", "page_id", "page_url", "k", "root_url",
+            "trace_id", "event_id", "user_id", "tus", F.col("tus").alias("ts_us"), "raw_idx", "page_id", "page_url", "k", "root_url",
             types[F.col("kind")].alias("event_type"), tags[F.col("kind")].alias("element_tag"),
             pick(ELEMENT_IDS, F.col("k") % 5).alias("element_id"), F.lit("").alias("element_class"),
             F.lit("").alias("element_text"), before.alias("url_before"),
