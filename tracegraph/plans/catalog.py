@@ -1,3 +1,4 @@
 """All registered queries."""
 
-from tracegraph.plans import cat_graph, cat_rules, cat_scan, cat_stats, cat_structure, cat_views  # noqa: F401
+from tracegraph.plans import (cat_graph, cat_learn, cat_rules, cat_scan, cat_stats, cat_structure,  # noqa: F401
+                              cat_views)
