@@ -73,6 +73,19 @@ def prepare(df: DataFrame, columns: list[str], folds: int, key: str = "trace_id"
     return land(v.select(key, F.col("y").cast("double").alias("y"), "fold", "weight", "raw"), "assembled")
 
 
+def prepare_sets(df: DataFrame, sets: dict[str, list[str]], folds: int, key: str = "trace_id") -> DataFrame:
+    """Like prepare, with one vector ``raw_{name}`` per column set, landed once for all of them."""
+    every = list(dict.fromkeys(c for cs in sets.values() for c in cs))
+    v = stats.balanced_weights(stats.stratified_folds(df.select(key, "y", *every), folds, key=key))
+    for name, cs in sets.items():
+        v = VectorAssembler(inputCols=cs, outputCol=f"raw_{name}", handleInvalid="keep").transform(v)
+    return land(v.select(key, F.col("y").cast("double").alias("y"), "fold", "weight", *[f"raw_{n}" for n in sets]), "assembled")
+
+
+def one_set(data: DataFrame, name: str, key: str = "trace_id") -> DataFrame:
+    return data.select(key, "y", "fold", "weight", F.col(f"raw_{name}").alias("raw"))
+
+
 def fit(train: DataFrame, maker: Maker, width: int) -> PipelineModel:
     scaler = StandardScaler(inputCol="raw", outputCol="x", withMean=True, withStd=True)
     return Pipeline(stages=[scaler, maker(train.count(), width)]).fit(train)
@@ -117,22 +130,35 @@ def cross_validate(df: DataFrame, columns: list[str], maker: Maker, folds: int =
 
 def compare(df: DataFrame, cases: dict[str, tuple[list[str], Maker]], folds: int = 10) -> DataFrame:
     """cross_validate of several column sets and classifiers in one table."""
-    rows = None
-    for name, (columns, maker) in cases.items():
-        data = prepare(df, columns, folds)
-        oof = out_of_fold(data, maker, len(columns), folds).withColumn("method", F.lit(name))
-        rows = oof if rows is None else rows.unionByName(oof)
+    slots = {f"s{i}": c for i, (c, _) in enumerate(cases.values())}
+    data = prepare_sets(df, slots, folds)
+
+    def one(item) -> DataFrame:
+        slot, (name, (columns, maker)) = item
+        return out_of_fold(one_set(data, slot), maker, len(columns), folds, 2).withColumn("method", F.lit(name))
+
+    with ThreadPool(4) as pool:
+        parts = pool.map(inheritable_thread_target(one), list(zip(slots, cases.items())))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
     return fold_metrics(land(rows, "out-of-fold"), ["method"])
 
 
 # ------------------------------------------------------------------ ensembles
 def view_scores(df: DataFrame, views: dict[str, list[str]], makers: dict[str, Maker], folds: int) -> DataFrame:
     """One out-of-fold probability column per view (the folds are the same for every view)."""
-    out = None
-    for v, cols in views.items():
-        data = prepare(df, cols, folds)
-        p = land(out_of_fold(data, makers[v], len(cols), folds), "view-score").select("trace_id", "y", "fold", F.col("score").alias(f"p_{v}"))
-        out = p if out is None else out.join(p.select("trace_id", f"p_{v}"), "trace_id")
+    data = prepare_sets(df, views, folds)
+
+    def one(v: str) -> DataFrame:
+        p = out_of_fold(one_set(data, v), makers[v], len(views[v]), folds, 2)
+        return land(p, "view-score").select("trace_id", "y", "fold", F.col("score").alias(f"p_{v}"))
+
+    with ThreadPool(4) as pool:
+        parts = pool.map(inheritable_thread_target(one), list(views))
+    out = parts[0]
+    for v, p in zip(list(views)[1:], parts[1:]):
+        out = out.join(p.select("trace_id", f"p_{v}"), "trace_id")
     return out
 
 
@@ -163,11 +189,18 @@ def stacked_smve(df: DataFrame, views: dict[str, list[str]], makers: dict[str, M
     for i in range(folds):
         train, test = base.filter(F.col("fold") != i).drop("fold"), base.filter(F.col("fold") == i).drop("fold")
         tr = view_scores(train, views, makers, inner).drop("fold", "y").join(train, "trace_id")
+        whole = prepare_sets(train, views, 2)
+
+        def score(v: str, whole=whole, test=test) -> DataFrame:
+            model = fit(one_set(whole, v), makers[v], len(views[v]))
+            x = VectorAssembler(inputCols=views[v], outputCol="raw", handleInvalid="keep").transform(test.select("trace_id", *views[v]))
+            return predict(model, x, ["trace_id"]).select("trace_id", F.col("score").alias(f"p_{v}"))
+
+        with ThreadPool(4) as pool:
+            parts = pool.map(inheritable_thread_target(score), list(views))
         te = test
-        for v, cols in views.items():
-            model = fit(prepare(train, cols, 2), makers[v], len(cols))
-            x = VectorAssembler(inputCols=cols, outputCol="raw", handleInvalid="keep").transform(test.select("trace_id", *cols))
-            te = te.join(predict(model, x, ["trace_id"]).select("trace_id", F.col("score").alias(f"p_{v}")), "trace_id")
+        for p in parts:
+            te = te.join(p, "trace_id")
         cols = [f"p_{v}" for v in views] + views["url"]
         data = prepare(tr, cols, 2)
         final = land(VectorAssembler(inputCols=cols, outputCol="raw", handleInvalid="keep").transform(te).select("trace_id", "y", "raw"), "stack-test")

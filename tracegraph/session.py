@@ -30,6 +30,9 @@ def local_session(cpus: int | str = "*", app: str = "tracegraph", partitions: in
 def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings every operator relies on."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # keyed state processors need this store; it also spills to disk
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     shared_dir(spark)
     return spark
 
