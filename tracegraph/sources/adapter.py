@@ -16,7 +16,7 @@ from tracegraph.session import land, prepare
 
 BASE_MICROS = 1704067200000000
 WEEK = 604800000000
-SLICE_MICROS = 3600000000  # one hour: a week-long trace has at most 168 slices
+SLICE_MICROS = 60000000  # one minute: a week-long trace has at most 10,080 slices
 EVENT_TYPES = {"click": "button_click", "view": "link_detected", "signup": "form_input", "purchase": "submit",
                "error": "screenshot"}
 EVENT_TAGS = {"click": "button", "view": "a", "signup": "input", "purchase": "form", "error": "page"}
