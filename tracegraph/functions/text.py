@@ -74,7 +74,9 @@ def short_md5(text, n: int = 12) -> Column:
 
 def clean_number(c) -> Column:
     """NaN, infinities and nulls become 0."""
-    v = _col(c).cast("double")
+    if isinstance(c, str):
+        return F.expr(f"CASE WHEN abs(`{c}`) < double('Infinity') THEN double(`{c}`) ELSE 0.0D END")
+    v = c.cast("double")
     return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), F.lit(0.0)).otherwise(v)
 
 

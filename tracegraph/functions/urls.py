@@ -53,9 +53,9 @@ def domain_or_path(url) -> Column:
     return F.lower(F.split_part(F.when(loc != "", loc).otherwise(path(url)), F.lit(":"), F.lit(1)))
 
 
-def num_params(url) -> Column:
-    """Distinct query keys that carry a non-blank value."""
-    kept = F.filter(F.split(query(url), "&"), lambda p: p.rlike("^[^=]*=.+"))
+def num_params(url, parsed: bool = False) -> Column:
+    """Distinct query keys that carry a non-blank value, of a URL or of a query string."""
+    kept = F.filter(F.split(_col(url) if parsed else query(url), "&"), lambda p: p.rlike("^[^=]*=.+"))
     return F.size(F.array_distinct(F.transform(kept, lambda p: F.split_part(p, F.lit("="), F.lit(1)))))
 
 

@@ -53,8 +53,7 @@ def is_interesting(df: DataFrame, domain: str = "domain") -> DataFrame:
 
 
 # ------------------------------------------------------------------ 0..1 score
-def brand_impersonation(domain: Column) -> Column:
-    label = F.split_part(domain, F.lit("."), F.lit(1))
+def brand_impersonation(domain: Column, label: Column) -> Column:
     brands = lit_array(fixed.TARGET_BRANDS)
     inside = F.exists(brands, lambda b: F.contains(label, b) & (b != label))
     near = F.exists(lit_array([b for b in fixed.TARGET_BRANDS if len(b) > 4]), lambda b: (
@@ -69,8 +68,7 @@ def keyword_axis(domain: Column) -> Column:
     return F.when(n >= 3, 0.2).when(n >= 2, 0.15).when(n >= 1, 0.08).otherwise(0.0)
 
 
-def structure_axis(domain: Column) -> Column:
-    label = F.split_part(domain, F.lit("."), F.lit(1))
+def structure_axis(domain: Column, label: Column) -> Column:
 
     def part(cond, value):
         return F.when(cond, F.lit(value)).otherwise(F.lit(0.0))
@@ -83,13 +81,15 @@ def structure_axis(domain: Column) -> Column:
 
 def domain_score(df: DataFrame, domain: str = "domain") -> DataFrame:
     """Add the five axes, the capped score and the reasons."""
-    d = F.trim(F.lower(F.col(domain)))
+    low = F.trim(F.lower(F.col(domain)))
+    base = compute_once(df, {"_d": low, "_label": F.split_part(low, F.lit("."), F.lit(1))})
+    d, label = F.col("_d"), F.col("_label")
     axes = {
-        "brand_impersonation": brand_impersonation(d), "suspicious_keywords": keyword_axis(d),
+        "brand_impersonation": brand_impersonation(d, label), "suspicious_keywords": keyword_axis(d),
         "high_risk_tld": F.when(ends_with_any(d, ["." + t for t in fixed.HIGH_RISK_TLDS]), 0.15).otherwise(0.0),
-        "structural_anomaly": structure_axis(d),
+        "structural_anomaly": structure_axis(d, label),
         "abused_hosting": F.when(ends_with_any(d, fixed.ABUSED_HOSTS), 0.1).otherwise(0.0)}
-    out = compute_once(df, axes)
+    out = compute_once(base, axes)
     total = F.col("brand_impersonation")
     for k in list(axes)[1:]:
         total = total + F.col(k)

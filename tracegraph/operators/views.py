@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracegraph.functions import fixed, urls
-from tracegraph.functions.text import (any_word, clean_number, count_char, count_digits, div, ends_with_any, entropy,
-                                       word_hits)
+from tracegraph.functions.text import (any_word, clean_number, compute_once, count_char, count_digits, div, ends_with_any,
+                                       entropy)
 from tracegraph.operators import events, graph, paths
 
 
@@ -16,24 +16,29 @@ def flag(c: Column) -> Column:
     return F.coalesce(c, F.lit(False)).cast("int")
 
 
-def url_columns(url: str = "url", final_url: str = "final_url") -> dict[str, Column]:
-    u = F.col(url)
-    low = F.lower(u)
-    domain = urls.domain_or_path(u)
-    raw_path = urls.path(u)
-    path = F.when(raw_path == "", F.lit("/")).otherwise(raw_path)
+def url_parts(df: DataFrame) -> DataFrame:
+    """URL pieces computed once per row, for the expressions of url_columns."""
+    raw = urls.path("url")
+    return compute_once(df, {"_low": F.lower("url"), "_domain": urls.domain_or_path("url"), "_query": urls.query("url"),
+                             "_path": F.when(raw == "", F.lit("/")).otherwise(raw), "_scheme": urls.scheme("url"),
+                             "_final": urls.domain_of("final_url")})
+
+
+def url_columns() -> dict[str, Column]:
+    u, low, domain, path = F.col("url"), F.col("_low"), F.col("_domain"), F.col("_path")
     dots = count_char(domain, ".")
     return dict(zip(fixed.URL_COLS, [
         F.length(u), F.length(domain), F.length(path), dots, count_char(domain, "-"), count_char(u, "_"),
         count_char(path, "/"), count_char(u, "@"), count_digits(domain), flag(domain.rlike(urls.IP_RE)),
-        flag(urls.scheme(u) == "https"), flag(urls.tld_of(domain).isin(fixed.VIEW_SUSPICIOUS_TLDS)),
-        F.greatest(F.lit(0), dots - 1), urls.num_params(u), flag(F.contains(u, F.lit("%"))), entropy(domain),
+        flag(F.col("_scheme") == "https"), flag(urls.tld_of(domain).isin(fixed.VIEW_SUSPICIOUS_TLDS)),
+        F.greatest(F.lit(0), dots - 1), urls.num_params("_query", parsed=True), flag(F.contains(u, F.lit("%"))), entropy(domain),
         entropy(path), flag(any_word(low, fixed.URL_LOGIN_WORDS)), flag(any_word(low, fixed.URL_BRAND_WORDS)),
-        flag(domain != urls.domain_of(final_url)), F.size(F.split(path, "/")) - 1]))
+        flag(domain != F.col("_final")), F.size(F.split(path, "/")) - 1]))
 
 
 def url_view(tr: DataFrame) -> DataFrame:
-    return tr.select("trace_id", *[c.cast("double").alias(n) for n, c in url_columns().items()])
+    cols = {n: c.cast("double") for n, c in url_columns().items()}
+    return compute_once(url_parts(tr.select("trace_id", "url", "final_url")), cols).select("trace_id", *cols)
 
 
 def request_stats(tr: DataFrame, rq: DataFrame) -> DataFrame:
@@ -68,14 +73,17 @@ def request_stats(tr: DataFrame, rq: DataFrame) -> DataFrame:
     return tr.select("trace_id").join(a, "trace_id", "left").na.fill(0)
 
 
-def network_view(stats: DataFrame) -> DataFrame:
+def network_columns() -> dict[str, Column]:
     n = F.greatest(F.lit(1), F.col("n"))
     dur = F.when(F.col("nt") >= 2, (F.col("t1") - F.col("t0")) / 1e6).otherwise(0.0)
-    cols = dict(zip(fixed.NETWORK_COLS, [
+    return dict(zip(fixed.NETWORK_COLS, [
         F.col("n"), *[F.col(c) for c in fixed.NETWORK_COLS[1:8]], F.col("external") / n, F.col("cdn") / n,
         F.col("n_2xx"), F.col("n_4xx"), F.col("n_5xx"), F.col("content_type_diversity"), dur,
         dur / F.greatest(F.lit(1), F.col("nt") - 1), F.col("n_scripts") / n, F.col("n_xhr") / n]))
-    return stats.select("trace_id", *[c.cast("double").alias(k) for k, c in cols.items()])
+
+
+def network_view(stats: DataFrame) -> DataFrame:
+    return stats.select("trace_id", *[c.cast("double").alias(k) for k, c in network_columns().items()])
 
 
 def redirect_pairs(rd: DataFrame) -> DataFrame:
@@ -95,18 +103,24 @@ def redirect_stats(rd: DataFrame) -> DataFrame:
                                        F.sum("x").alias("cross_domain_redirects"), F.sum("h").alias("http_to_https"))
 
 
-def redirect_view(tr: DataFrame, rd: DataFrame, stats: DataFrame) -> DataFrame:
-    first, last = urls.domain_of("url"), urls.domain_of("final_url")
-    t = tr.select("trace_id", first.alias("d0"), last.alias("d1"))
-    j = t.join(redirect_stats(rd), "trace_id", "left").na.fill(0).join(
-        stats.select("trace_id", "n", "n_3xx", "n_documents", "external"), "trace_id")
+def redirect_rows(tr: DataFrame, rd: DataFrame, stats: DataFrame) -> DataFrame:
+    """Request statistics joined with the chain statistics (prefix h_) and both end domains."""
+    t = tr.select("trace_id", urls.domain_of("url").alias("d0"), urls.domain_of("final_url").alias("d1"))
+    return t.join(prefixed(redirect_stats(rd), "h_"), "trace_id", "left").na.fill(0).join(stats, "trace_id")
+
+
+def redirect_columns() -> dict[str, Column]:
     c = F.col
-    cols = dict(zip(fixed.REDIRECT_COLS, [
-        c("num_redirects"), c("unique_domains"), c("cross_domain_redirects"), c("http_to_https"), flag(c("d0") != c("d1")),
-        c("n_3xx"), c("n_documents"), c("external") / F.greatest(F.lit(1), c("n")),
-        F.greatest("num_redirects", "n_3xx"), flag(any_word(c("d1"), fixed.FREE_HOSTING)),
-        flag(c("d0").isin(fixed.SHORTENERS)), c("n"), c("external"), F.greatest(F.lit(0), c("num_redirects") - 1)]))
-    return j.select("trace_id", *[v.cast("double").alias(k) for k, v in cols.items()])
+    return dict(zip(fixed.REDIRECT_COLS, [
+        c("h_num_redirects"), c("h_unique_domains"), c("h_cross_domain_redirects"), c("h_http_to_https"),
+        flag(c("d0") != c("d1")), c("n_3xx"), c("n_documents"), c("external") / F.greatest(F.lit(1), c("n")),
+        F.greatest("h_num_redirects", "n_3xx"), flag(any_word(c("d1"), fixed.FREE_HOSTING)),
+        flag(c("d0").isin(fixed.SHORTENERS)), c("n"), c("external"), F.greatest(F.lit(0), c("h_num_redirects") - 1)]))
+
+
+def redirect_view(tr: DataFrame, rd: DataFrame, stats: DataFrame) -> DataFrame:
+    j = redirect_rows(tr, rd, stats)
+    return j.select("trace_id", *[v.cast("double").alias(k) for k, v in redirect_columns().items()])
 
 
 def _page_view(tr: DataFrame, agg: DataFrame) -> DataFrame:
@@ -183,7 +197,7 @@ def itg_engineered(itg: DataFrame) -> DataFrame:
 CROSS_COLS = [f"cv{i}" for i in range(1, 13)]
 
 
-def cross_view(joined: DataFrame) -> DataFrame:
+def cross_columns() -> dict[str, Column]:
     """Twelve products across views; input columns carry the prefixes u_, n_, r_, i_."""
     c = F.col
     creds = c("i_has_password_field") + c("i_has_email_field")
@@ -195,11 +209,15 @@ def cross_view(joined: DataFrame) -> DataFrame:
         c("n_unique_domains") * c("i_n_links"), (creds + c("u_kw_login")) * c("r_num_redirects"),
         c("u_has_suspicious_tld") * c("r_uses_free_hosting"),
         c("n_n_xhr") / floor8("n_total_requests") * c("u_domain_changed")]
-    return joined.select("trace_id", *[v.alias(k) for k, v in zip(CROSS_COLS, cols)])
+    return dict(zip(CROSS_COLS, cols))
+
+
+def cross_view(joined: DataFrame) -> DataFrame:
+    return joined.select("trace_id", *[v.alias(k) for k, v in cross_columns().items()])
 
 
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select("trace_id", *[F.col(c).alias(f"{prefix}{c}") for c in df.columns if c != "trace_id"])
+    return df.toDF(*[c if c == "trace_id" else f"{prefix}{c}" for c in df.columns])
 
 
 def view_join(views: dict[str, DataFrame]) -> DataFrame:
@@ -208,18 +226,18 @@ def view_join(views: dict[str, DataFrame]) -> DataFrame:
 
 
 def base_views(tr: DataFrame, ev: DataFrame, rq: DataFrame, rd: DataFrame) -> DataFrame:
-    stats = request_stats(tr, rq)
-    return view_join({"u_": url_view(tr), "n_": network_view(stats), "r_": redirect_view(tr, rd, stats),
-                      "i_": interaction_view(tr, ev)})
+    """URL, network, redirect and interaction views side by side; requests are aggregated once for two of them."""
+    nr = redirect_rows(tr, rd, request_stats(tr, rq)).select(
+        "trace_id", *[c.cast("double").alias(f"n_{k}") for k, c in network_columns().items()],
+        *[c.cast("double").alias(f"r_{k}") for k, c in redirect_columns().items()])
+    return prefixed(url_view(tr), "u_").join(nr, "trace_id").join(prefixed(interaction_view(tr, ev), "i_"), "trace_id")
 
 
 def all_views(tr: DataFrame, ev: DataFrame, rq: DataFrame, rd: DataFrame, itg: DataFrame) -> DataFrame:
     """The 125 columns of the six views."""
-    base = base_views(tr, ev, rq, rd)
-    masked = graph_available_mask(tr, itg)
-    full = base.join(prefixed(cross_view(base), "x_"), "trace_id").join(
-        prefixed(itg_engineered(masked.drop("itg_available")), "g_"), "trace_id").join(
-        masked.select("trace_id", "itg_available"), "trace_id")
+    graph_part = prefixed(itg_engineered(graph_available_mask(tr, itg)), "g_").withColumnRenamed("g_itg_available", "itg_available")
+    full = base_views(tr, ev, rq, rd).join(graph_part, "trace_id")
+    full = full.select("*", *[v.alias(f"x_{k}") for k, v in cross_columns().items()])
     keep = [c for c in full.columns if c not in ("trace_id", "itg_available")]
     return full.select("trace_id", "itg_available", *[clean_number(c).alias(c) for c in keep])
 
@@ -343,7 +361,3 @@ def url_structural_view(tr: DataFrame) -> DataFrame:
         flag(any_word(c("low"), words) | any_word(F.lower(c("p")), brands)), c("pwd") + c("mail"),
         flag(any_word(c("low"), ["bank", "pay", "credit", "card", "wallet"]))]
     return base.select("trace_id", *[v.cast("double").alias(k) for k, v in zip(fixed.ITG_COLS, vals)])
-
-
-def login_word_hits(text: str) -> Column:
-    return word_hits(F.lower(F.col(text)), fixed.URL_LOGIN_WORDS)
