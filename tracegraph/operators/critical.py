@@ -88,20 +88,19 @@ def _packed(scores: DataFrame, edges: DataFrame) -> DataFrame:
 def _large_paths(scores: DataFrame, edges: DataFrame) -> DataFrame:
     """Backwards from the target, one level of the root's breadth-first table at a time."""
     scores, edges = land(scores, "scores"), land(edges, "edges")
-    levels = bfs(edges, scores.filter("is_root"))
+    table, depth = bfs(edges, scores.filter("is_root"))
     target = scores.groupBy("trace_id").agg(F.max_by(F.struct("node", "label"), F.struct("score", -F.col("node_seq"))).alias("t"))
     info = scores.select("trace_id", "node", "node_seq", "label")
     at = target.select("trace_id", F.col("t.node").alias("node"), F.col("t.label").alias("target"))
-    path = at.select("trace_id", "target", F.lit(None).cast("string").alias("node"), F.lit("").alias("path"), F.lit(False).alias("reachable"))
     open_ = at.withColumn("path", F.lit("")).withColumn("reachable", F.lit(False))
-    for d in range(len(levels) - 1, -1, -1):
-        here = open_.join(levels[d].select("trace_id", "node", F.lit(True).alias("on")), ["trace_id", "node"], "left").join(
+    for d in range(depth - 1, -1, -1):
+        here = open_.join(table.filter(F.col("d") == d).select("trace_id", "node", F.lit(True).alias("on")), ["trace_id", "node"], "left").join(
             info.select("trace_id", "node", "label"), ["trace_id", "node"])
         here = here.select("trace_id", "node", "target", (F.col("reachable") | F.coalesce("on", F.lit(False))).alias("reachable"),
                            F.when(F.col("on") | F.col("reachable"), F.concat_ws("\x1f", "label", F.when(F.col("path") != "", F.col("path"))))
                            .otherwise(F.col("path")).alias("path"))
         if d > 0:
-            prev = edges.join(levels[d - 1].select("trace_id", F.col("node").alias("src")), ["trace_id", "src"]).join(
+            prev = edges.join(table.filter(F.col("d") == d - 1).select("trace_id", F.col("node").alias("src")), ["trace_id", "src"]).join(
                 info.select("trace_id", F.col("node").alias("src"), "node_seq"), ["trace_id", "src"]).groupBy(
                 "trace_id", F.col("dst").alias("node")).agg(F.min_by("src", "node_seq").alias("src"))
             here = here.join(prev, ["trace_id", "node"], "left").select(
@@ -140,11 +139,7 @@ def critical_path(nodes: DataFrame, edges: DataFrame, limit: int = 512) -> DataF
 
 def reach_from_root(scores: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes the root reaches, by frontier joins of all traces at once."""
-    levels = bfs(edges, scores.filter("is_root"))
-    out = levels[0].select("trace_id", "node")
-    for lv in levels[1:]:
-        out = out.unionByName(lv.select("trace_id", "node"))
-    return out
+    return bfs(edges, scores.filter("is_root"))[0].select("trace_id", "node")
 
 
 def _prune_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tracegraph.functions.text import div
-from tracegraph.session import land
+from tracegraph.session import land, scratch_path
 
 OUT = ("trace_id long, num_connected_components long, avg_path_length double, diameter long, "
        "betweenness_centrality_max double, closeness_centrality_max double, pagerank_max double, "
@@ -126,21 +126,28 @@ def _histogram_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
         yield pd.DataFrame(rows, columns=["trace_id", "d", "n_pairs", "n_paths"])
 
 
-def bfs(edges: DataFrame, sources: DataFrame) -> list[DataFrame]:
-    """Breadth-first levels (trace_id, source, node, d, sigma), one landed table per level."""
-    front = land(sources.select("trace_id", F.col("node").alias("source"), "node", F.lit(0).alias("d"),
-                                F.lit(1.0).alias("sigma")), "bfs")
-    levels, key = [front], ["trace_id", "source", "node"]
+def bfs(edges: DataFrame, sources: DataFrame) -> tuple[DataFrame, int]:
+    """All breadth-first levels as one table (trace_id, source, node, sigma, d) and their number.
+
+    Each level is one ``d=`` folder of the table, so the next round reads every
+    node seen so far with a single scan and a single anti join.
+    """
+    spark, base = edges.sparkSession, scratch_path(edges.sparkSession, "bfs")
+    key = ["trace_id", "source", "node"]
     step = edges.select("trace_id", F.col("src").alias("node"), F.col("dst").alias("next"))
+    first = sources.select("trace_id", F.col("node").alias("source"), "node", F.lit(1.0).alias("sigma"))
+    schema = first.withColumn("d", F.lit(0)).schema
+    first.write.parquet(f"{base}/d=0")
+    depth = 1
     while True:
-        seen = front.sparkSession.read.schema(front.schema).parquet(*[f for lv in levels for f in lv.inputFiles()])
-        nxt = front.join(step, ["trace_id", "node"]).groupBy("trace_id", "source", F.col("next").alias("node")).agg(
-            F.sum("sigma").alias("sigma"))
-        nxt = nxt.join(seen.select(*key), key, "left_anti")
-        front = land(nxt.select(*key, F.lit(len(levels)).alias("d"), "sigma"), "bfs")
-        if front.isEmpty():
-            return levels
-        levels.append(front)
+        seen = spark.read.schema(schema).parquet(base)
+        nxt = seen.filter(F.col("d") == depth - 1).join(step, ["trace_id", "node"]).groupBy(
+            "trace_id", "source", F.col("next").alias("node")).agg(F.sum("sigma").alias("sigma"))
+        nxt.join(seen.select(*key), key, "left_anti").select(*key, "sigma").write.parquet(f"{base}/d={depth}")
+        table = spark.read.schema(schema).parquet(base)
+        if table.filter(F.col("d") == depth).isEmpty():
+            return table, depth
+        depth += 1
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -150,12 +157,13 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _dependency(levels: list[DataFrame], edges: DataFrame) -> DataFrame:
+def _dependency(table: DataFrame, depth: int, edges: DataFrame) -> DataFrame:
     """Sum over sources of the pair dependencies of every node, deepest level first."""
     step = edges.select("trace_id", F.col("src").alias("node"), F.col("dst").alias("next"))
-    below = levels[-1].withColumn("delta", F.lit(0.0))
+    below = table.filter(F.col("d") == depth - 1).withColumn("delta", F.lit(0.0))
     parts = []
-    for level in reversed(levels[1:-1]):
+    for d in range(depth - 2, 0, -1):
+        level = table.filter(F.col("d") == d)
         child = below.select("trace_id", "source", F.col("node").alias("next"),
                              ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
         got = level.join(step, ["trace_id", "node"]).join(child, ["trace_id", "source", "next"]).groupBy(
@@ -164,7 +172,7 @@ def _dependency(levels: list[DataFrame], edges: DataFrame) -> DataFrame:
             "delta", F.coalesce(F.col("share"), F.lit(0.0)) * F.col("sigma")).drop("share"), "dependency")
         parts.append(below.select("trace_id", "node", "delta"))
     if not parts:
-        return levels[0].select("trace_id", "node", F.lit(0.0).alias("delta"))
+        return table.filter("d = 0").select("trace_id", "node", F.lit(0.0).alias("delta"))
     return _union(parts).groupBy("trace_id", "node").agg(F.sum("delta").alias("delta"))
 
 
@@ -203,14 +211,13 @@ def _large(nodes: DataFrame, edges: DataFrame, block: int) -> DataFrame:
     to_node, from_url, depend, reach = [], [], [], []
     for b in range(blocks):
         part = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == b)
-        levels = bfs(edges, part)
-        pairs = _union(levels)
+        pairs, depth = bfs(edges, part)
         to_node.append(land(pairs.groupBy("trace_id", "node").agg(F.sum("d").alias("s"), F.count(F.lit(1)).alias("r")),
                             "closeness"))
         from_url.append(pairs.join(part.filter("node_type = 'url'").select("trace_id", F.col("node").alias("source")),
                                    ["trace_id", "source"], "left_semi").groupBy("trace_id").agg(F.max("d").alias("d")))
-        depend.append(_dependency(levels, edges))
-        around = _union(bfs(both, part))
+        depend.append(_dependency(pairs, depth, edges))
+        around, _ = bfs(both, part)
         reach.append(land(around.join(seq, ["trace_id", "node"]).groupBy("trace_id", "source").agg(
             F.sum("d").alias("s"), F.max("d").alias("far"), F.count(F.lit(1)).alias("r"),
             F.min("node_seq").alias("comp")), "reach"))
@@ -223,10 +230,10 @@ def _large(nodes: DataFrame, edges: DataFrame, block: int) -> DataFrame:
         div((F.col("r") - 1) * (F.col("r") - 1), F.col("s") * F.greatest(F.lit(1), F.col("n") - 1))).alias("close"))
     between = _union(depend).groupBy("trace_id", "node").agg(F.sum("delta").alias("b")).groupBy("trace_id").agg(
         F.max("b").alias("b"))
-    depth = _union(from_url).groupBy("trace_id").agg(F.max("d").alias("depth"))
+    deepest = _union(from_url).groupBy("trace_id").agg(F.max("d").alias("depth"))
     rank = pagerank(nodes, edges).groupBy("trace_id").agg(F.max("x").alias("x"))
     j = size.join(best, "trace_id").join(close, "trace_id").join(between, "trace_id", "left").join(
-        depth, "trace_id", "left").join(rank, "trace_id")
+        deepest, "trace_id", "left").join(rank, "trace_id")
     k, n = F.col("c.k"), F.col("n")
     return j.select(
         "trace_id", F.col("num_connected_components").cast("long"),
@@ -254,9 +261,9 @@ def distance_histogram(nodes: DataFrame, edges: DataFrame, limit: int = 512, blo
         blocks = max(1, -(-biggest // block))
         parts = []
         for b in range(blocks):
-            for level in bfs(big_e, big_n.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == b)):
-                parts.append(level.groupBy("trace_id", F.col("d").cast("long").alias("d")).agg(
-                    F.count(F.lit(1)).alias("n_pairs"), F.sum("sigma").alias("n_paths")))
+            table, _ = bfs(big_e, big_n.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == b))
+            parts.append(table.groupBy("trace_id", F.col("d").cast("long").alias("d")).agg(
+                F.count(F.lit(1)).alias("n_pairs"), F.sum("sigma").alias("n_paths")))
         out = out.unionByName(_union(parts).groupBy("trace_id", "d").agg(
             F.sum("n_pairs").alias("n_pairs"), F.sum("n_paths").alias("n_paths")))
     return out.withColumn("n_paths", F.col("n_paths").cast("long"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tracegraph.functions import fixed, urls
 from tracegraph.operators import domains, stats
 from tracegraph.plans.base_sql import ALL, ANY, DOM, ENDS, G_ALL, HOSTS, I, IN, LIST, LIT, NETLOC, PATH, R, SERP, sql
-from tracegraph.plans.cat_rules import DS, HOSTN, INTERESTING, PARTS, SUB, SUFFIX, ds_cte
+from tracegraph.plans.cat_rules import CT_SQL, DS, HOSTN, INTERESTING, PARTS, SUB, SUFFIX, ds_cte
 from tracegraph.plans.cat_stats import MET, method_scores
 from tracegraph.plans.cat_views import ITG_CTE
 from tracegraph.plans.registry import query
@@ -122,7 +122,9 @@ def _(t):
 
 
 
-@query("feed_points_boost")
+@query("feed_points_boost", f"""SELECT domain, brand, points + boost AS points, malicious, scan_score FROM (SELECT *, (page_id % 3 = 0)::BIGINT AS malicious,
+  page_id % 100 AS scan_score, (CASE WHEN page_id % 3 = 0 THEN 40 ELSE 0 END) + (CASE WHEN page_id % 100 >= 50 THEN 20 ELSE 0 END) + 10 AS boost
+  FROM ({CT_SQL}) WHERE source = 'lookalike') WHERE points + boost > 0""")
 def _(t):
     return feeds.points_boost(domains.domain_points_ct(scans(t))).select("domain", "brand", "points", "malicious", "scan_score")
 
