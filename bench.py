@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tracegraph.plans import registry  # noqa: E402
-from tracegraph.session import local_session  # noqa: E402
+from tracegraph.session import local_session, release  # noqa: E402
 
 HEADLINE = ["itg_nodes", "itg_edges", "degree_stats", "clustering", "path_stats", "url_view", "network_view",
             "redirect_view", "interaction_view", "itg_view", "cross_view", "all_views", "trace_quality",
@@ -42,6 +42,7 @@ def main() -> None:
     total = round(sum(out.values()), 3)
     print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": out,
                       "sf": os.path.basename(sf_dir.rstrip("/"))}))
+    release(spark)
     spark.stop()
 
 

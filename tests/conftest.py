@@ -5,9 +5,11 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tracegraph.session import local_session, prepare  # noqa: E402
+from tracegraph.session import local_session, prepare, release  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return prepare(local_session(8, "tests"))
+    session = prepare(local_session(8, "tests"))
+    yield session
+    release(session)

@@ -50,7 +50,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, readable by every executor."""
-    return f"{shared_dir(spark).rstrip('/')}/tracegraph/{name}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tracegraph/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables this application landed; call it when their results are stored elsewhere."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    target.getFileSystem(conf).delete(target, True)
 
 
 def land(df: DataFrame, name: str) -> DataFrame:
