@@ -69,7 +69,8 @@ def _(t):
     return feeds.url_list_scan(t.spark, path).select("label", "url", "domain")
 
 
-@query("source_fallback", sql(ALL, """SELECT data_source, count(*) AS n FROM (SELECT 'traces' AS data_source FROM tr WHERE (SELECT count(*) FROM pages WHERE page_id < 0) < 100) GROUP BY 1"""))
+@query("source_fallback", sql(ALL, """SELECT CASE WHEN nt >= 100 THEN 'traces' ELSE 'urls' END AS data_source, CASE WHEN nt >= 100 THEN nt ELSE np END AS n
+  FROM (SELECT (SELECT count(*) FROM tr) AS nt, (SELECT count(*) FROM pages) AS np)"""))
 def _(t):
     nothing = t.pages.filter("page_id < 0").select("url")
     d = traces.source_fallback([("features", nothing), ("traces", t.tr.select("url")), ("urls", t.pages.select("url"))])
