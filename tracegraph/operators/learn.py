@@ -107,7 +107,7 @@ def out_of_fold(data: DataFrame, maker: Maker, width: int, folds: int, workers:
         return predict(model, data.filter(F.col("fold") == i), [key, "y", "fold"])
 
     with ThreadPool(min(workers, folds)) as pool:
-        parts = pool.map(inheritable_thread_target(one), range(folds))
+        parts = pool.map(inheritable_thread_target(data.sparkSession)(one), range(folds))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -138,7 +138,7 @@ def compare(df: DataFrame, cases: dict[str, tuple[list[str], Maker]], folds: int
         return out_of_fold(one_set(data, slot), maker, len(columns), folds, 2).withColumn("method", F.lit(name))
 
     with ThreadPool(4) as pool:
-        parts = pool.map(inheritable_thread_target(one), list(zip(slots, cases.items())))
+        parts = pool.map(inheritable_thread_target(df.sparkSession)(one), list(zip(slots, cases.items())))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
@@ -155,7 +155,7 @@ def view_scores(df: DataFrame, views: dict[str, list[str]], makers: dict[str, Ma
         return land(p, "view-score").select("trace_id", "y", "fold", F.col("score").alias(f"p_{v}"))
 
     with ThreadPool(4) as pool:
-        parts = pool.map(inheritable_thread_target(one), list(views))
+        parts = pool.map(inheritable_thread_target(df.sparkSession)(one), list(views))
     out = parts[0]
     for v, p in zip(list(views)[1:], parts[1:]):
         out = out.join(p.select("trace_id", f"p_{v}"), "trace_id")
@@ -197,7 +197,7 @@ def stacked_smve(df: DataFrame, views: dict[str, list[str]], makers: dict[str, M
             return predict(model, x, ["trace_id"]).select("trace_id", F.col("score").alias(f"p_{v}"))
 
         with ThreadPool(4) as pool:
-            parts = pool.map(inheritable_thread_target(score), list(views))
+            parts = pool.map(inheritable_thread_target(df.sparkSession)(score), list(views))
         te = test
         for p in parts:
             te = te.join(p, "trace_id")

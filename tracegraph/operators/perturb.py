@@ -144,7 +144,7 @@ def benign_replacement(df: DataFrame, columns: list[str], strength: float = 1.0,
     """Blend the columns of positives with an md5-chosen benign row."""
     benign = df.filter(F.col(label) == 0)
     pool = ordered.sequence(benign.withColumn("one", F.lit(1)).withColumn("h", ordered.hash_order(7, "trace_id")), ["one"],
-                            ["h", "trace_id"], F.substring("h", 1, 2), "slot")
+                            ["h", "trace_id"], F.substring("h", 1, 3), "slot")
     n = benign.count()
     pool = pool.select("slot", F.struct(*columns).alias("_b"))
     keyed = df.withColumn("slot", F.when(F.col(label) == 1, choose(F.lit(max(1, n)), F.col("trace_id").cast("string"), salt="benign")))

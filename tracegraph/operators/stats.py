@@ -14,9 +14,9 @@ from tracegraph.session import land
 
 # ------------------------------------------------------------------ folds
 def stratified_rank(df: DataFrame, label: str = "y", key: str = "trace_id", seed: int = 42) -> DataFrame:
-    """Position (``pos``) of each row in a seeded shuffle of its class, ranked in 256 hash slices."""
+    """Position (``pos``) of each row in a seeded shuffle of its class, ranked in 4096 hash slices."""
     h = df.withColumn("_h", ordered.hash_order(seed, key))
-    return ordered.sequence(h, [label], ["_h", key], F.substring("_h", 1, 2), "pos").drop("_h")
+    return ordered.sequence(h, [label], ["_h", key], F.substring("_h", 1, 3), "pos").drop("_h")
 
 
 def fold_count(df: DataFrame, label: str = "y", most: int = 10) -> int:

@@ -84,7 +84,7 @@ hosts AS (SELECT page_id, url, host AS domain, 'observed' AS source, 1 AS source
       UNION ALL SELECT page_id, 'https://' || lk, lk, 'lookalike', 0 FROM h1)"""
 SERP = f"""
 s0 AS (SELECT page_id, url AS u0, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t,
-        regexp_extract(html, '<p>([^<]{{0,200}})', 1) AS para,
+        regexp_extract(html, '<p>([^<]*)', 1) AS para,
         {LIST(fixed.QUERY_BRANDS)}[page_id % {len(fixed.QUERY_BRANDS)} + 1] AS brand,
         {LIST(fixed.QUERY_ACTIONS)}[(page_id // 5) % {len(fixed.QUERY_ACTIONS)} + 1] AS act,
         {LIST(fixed.SNIPPET_PHRASES)}[(page_id // 2) % {len(fixed.SNIPPET_PHRASES)} + 1] AS phrase,

@@ -570,12 +570,9 @@ def _(t):
     return dedup.best_score_dedup(domains.domain_score(t.hosts).drop("reasons")).select("domain", "score", "source", "page_id")
 
 
-@query("rank_candidates", sql(HOSTS + DS, f"""SELECT domain, {R('score')} AS score, rank() OVER (ORDER BY d2.score DESC, domain) AS pos
-  FROM (SELECT DISTINCT domain, score FROM ds) d2 ORDER BY d2.score DESC, domain LIMIT 100"""))
+@query("rank_candidates", sql(HOSTS + DS, f"SELECT DISTINCT domain, {R('score')} AS score FROM ds ORDER BY 2 DESC, 1"))
 def _(t):
-    s = domains.domain_score(t.hosts).select("domain", "score").distinct().orderBy(F.desc("score"), "domain").limit(100)
-    from pyspark.sql import Window
-    return s.withColumn("pos", F.rank().over(Window.orderBy(F.desc("score"), "domain")).cast("long"))  # at most 100 rows here
+    return domains.domain_score(t.hosts).select("domain", "score").distinct().orderBy(F.desc("score"), "domain")
 
 
 @query("union_sources", sql(HOSTS + "," + SERP, """SELECT source, count(*) AS n, count(DISTINCT domain) AS n_domains FROM hosts GROUP BY 1
@@ -586,9 +583,9 @@ def _(t):
 
 
 @query("combine_discoveries", sql(HOSTS, """SELECT url, domain, source FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY source_rank, page_id) AS rn FROM hosts WHERE domain <> '')
-  WHERE rn = 1 AND url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)"""))
+  WHERE rn = 1 AND url NOT IN (SELECT url FROM pages WHERE starts_with(url, 'http://'))"""))
 def _(t):
-    return dedup.combine_discoveries(t.hosts, t.pages.filter("page_id % 3 = 0")).select("url", "domain", "source")
+    return dedup.combine_discoveries(t.hosts, t.pages.filter("url LIKE 'http://%'")).select("url", "domain", "source")
 
 
 @query("seen_anti", sql(HOSTS, f"SELECT page_id, source, domain FROM hosts WHERE domain NOT IN (SELECT {DOM('url')} FROM pages)"))

@@ -163,20 +163,20 @@ def _(t):
     return feeds.known_url_scan(t.spark, landed(t, t.hosts.select("url").unionByName(t.hosts.select(F.col("domain").alias("url"))), "text"))
 
 
-@query("url_pool_merge", sql(HOSTS, """SELECT source, count(*) AS n FROM (SELECT url, source FROM hosts WHERE source = 'observed' AND page_id % 2 = 0
+@query("url_pool_merge", sql(HOSTS, """SELECT source, count(*) AS n FROM (SELECT url, source FROM hosts WHERE source = 'observed' AND starts_with(url, 'http://')
   UNION ALL SELECT url, CASE WHEN min(source_rank) = 0 THEN 'typosquat' ELSE 'observed' END FROM hosts
-    WHERE url NOT IN (SELECT url FROM hosts WHERE source = 'observed' AND page_id % 2 = 0) GROUP BY url) GROUP BY 1"""))
+    WHERE url NOT IN (SELECT url FROM hosts WHERE source = 'observed' AND starts_with(url, 'http://')) GROUP BY url) GROUP BY 1"""))
 def _(t):
-    pool = t.hosts.filter("source = 'observed' AND page_id % 2 = 0")
+    pool = t.hosts.filter("source = 'observed' AND url LIKE 'http://%'")
     return feeds.url_pool_merge(pool, t.hosts).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("trace_promote", sql(ALL, """SELECT CASE WHEN y = 1 OR e.event_id % 10 = 0 THEN 'phishing' ELSE 'benign' END AS label, count(*) AS n FROM ev e JOIN tr USING (trace_id)
-  WHERE success AND e.event_id % 4 <> 0 GROUP BY 1"""))
+@query("trace_promote", sql(ALL, """SELECT CASE WHEN y = 1 OR e.event_type = 'submit' THEN 'phishing' ELSE 'benign' END AS label, count(*) AS n FROM ev e JOIN tr USING (trace_id)
+  WHERE success AND e.event_type <> 'screenshot' GROUP BY 1"""))
 def _(t):
-    docs = visit_docs(t).join(t.ev.select(F.md5(F.col("event_id").cast("string")).alias("hash"), "event_id"), "hash")
-    stored = docs.filter("event_id % 4 = 0")
-    new = traces.trace_promote(docs, stored, F.col("event_id") % 10 == 0)
+    kind = F.col("trace.events")[0]["event_type"]
+    docs = visit_docs(t)
+    new = traces.trace_promote(docs, docs.filter(kind == "screenshot"), kind == "submit")
     path = scratch_path(t.spark, "dataset")
     traces.append_by_label(new.select("hash", "url", "label"), path)
     return t.spark.read.parquet(path).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
@@ -192,20 +192,20 @@ def _(t):
     return d.groupBy("domain", "source").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("score"))
 
 
-@query("verdict_sink", sql(ALL, """SELECT source, verdict, count(*) AS n FROM (SELECT CASE WHEN trace_id % 2 = 0 THEN 'feed' ELSE 'list' END AS source,
-  CASE WHEN trace_id % 7 = 0 THEN 'other' WHEN y = 1 THEN 'phishing' ELSE 'benign' END AS verdict FROM tr) GROUP BY 1, 2"""))
+@query("verdict_sink", sql(ALL, """SELECT source, verdict, count(*) AS n FROM (SELECT CASE WHEN starts_with(url, 'https://') THEN 'feed' ELSE 'list' END AS source,
+  CASE WHEN NOT success THEN 'other' WHEN y = 1 THEN 'phishing' ELSE 'benign' END AS verdict FROM tr) GROUP BY 1, 2"""))
 def _(t):
     path = scratch_path(t.spark, "verdicts")
-    d = t.tr.select("trace_id", "url", F.when(F.col("trace_id") % 2 == 0, "feed").otherwise("list").alias("source"),
-                    F.when(F.col("trace_id") % 7 == 0, -2).otherwise(F.col("y")).alias("prediction"))
+    d = t.tr.select("trace_id", "url", F.when(F.startswith("url", F.lit("https://")), "feed").otherwise("list").alias("source"),
+                    F.when(~F.col("success"), -2).otherwise(F.col("y")).alias("prediction"))
     traces.verdict_sink(d, path)
     return t.spark.read.parquet(path).groupBy("source", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("confirmed_archive", sql(ALL, "SELECT DISTINCT substr(md5(url), 1, 12) AS hash FROM tr WHERE y = 1 AND url NOT IN (SELECT url FROM pages WHERE page_id % 5 = 0)"))
+@query("confirmed_archive", sql(ALL, "SELECT DISTINCT substr(md5(url), 1, 12) AS hash FROM tr WHERE y = 1 AND url NOT IN (SELECT url FROM pages WHERE starts_with(url, 'http://'))"))
 def _(t):
     v = t.tr.select(traces.url_hash().alias("hash"), F.col("y").alias("prediction"))
-    return traces.confirmed_archive(v, t.pages.filter("page_id % 5 = 0").select(traces.url_hash().alias("hash")).distinct()).select("hash")
+    return traces.confirmed_archive(v, t.pages.filter("url LIKE 'http://%'").select(traces.url_hash().alias("hash")).distinct()).select("hash")
 
 
 @query("manifest", sql(ALL, """SELECT CASE WHEN y = 1 THEN 'phishing' ELSE 'benign' END AS label, count(*) AS n, count(DISTINCT h) AS n_hashes, min(h) AS first_hash, max(h) AS last_hash,
@@ -214,11 +214,11 @@ def _(t):
     return traces.manifest(t.tr.select(F.when(F.col("y") == 1, "phishing").otherwise("benign").alias("label"), traces.url_hash().alias("hash")))
 
 
-@query("latest_snapshot", sql(ALL, "SELECT page_id, url, 'url_dataset_valid_20240301' AS snapshot FROM pages WHERE page_id % 3 = 2"))
+@query("latest_snapshot", sql(ALL, f"SELECT page_id, url, 'url_dataset_valid_20240301' AS snapshot FROM pages WHERE ends_with({DOM('url')}, '.org')"))
 def _(t):
     root = scratch_path(t.spark, "snapshots")
-    for i, day in enumerate(("20240101", "20240201", "20240301")):
-        t.pages.filter(F.col("page_id") % 3 == i).write.parquet(f"{root}/url_dataset_valid_{day}")
+    for ending, day in ((".com", "20240101"), (".net", "20240201"), (".org", "20240301")):
+        t.pages.filter(F.endswith(urls.domain_of("url"), F.lit(ending))).write.parquet(f"{root}/url_dataset_valid_{day}")
     return traces.latest_snapshot(t.spark, root, "url_dataset_valid_").select("page_id", "url", "snapshot")
 
 

@@ -82,7 +82,7 @@ def _(t):
 
 @query("leaderboard", sql(G_ALL + MET, f"SELECT method, {R('f1')} AS f1, row_number() OVER (ORDER BY mm.f1 DESC, method) AS place FROM mm"))
 def _(t):
-    m = stats.binary_metrics(method_scores(t), ["method"]).orderBy(F.desc("f1"), "method").limit(100)
+    m = stats.binary_metrics(method_scores(t), ["method"])
     from pyspark.sql import Window
     return m.select("method", "f1", F.row_number().over(Window.orderBy(F.desc("f1"), "method")).alias("place"))  # a few methods
 
@@ -311,16 +311,16 @@ def _(t):
         F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("end_us") - F.col("start_us")) / 1e6 + 3e-9, 3).alias("seconds"))
 
 
-@query("rank_pool_sort", sql(HOSTS, "SELECT domain, coalesce(rnk, 99999) AS pool_rank FROM (SELECT domain, min(CASE WHEN source = 'observed' THEN page_id END) AS rnk FROM hosts GROUP BY 1) ORDER BY 2, 1 LIMIT 150"))
+@query("rank_pool_sort", sql(HOSTS, "SELECT domain, coalesce(rnk, 99999) AS pool_rank FROM (SELECT domain, min(CASE WHEN source = 'observed' THEN page_id END) AS rnk FROM hosts GROUP BY 1) ORDER BY 2, 1"))
 def _(t):
     p = t.hosts.groupBy("domain").agg(F.min(F.when(F.col("source") == "observed", F.col("page_id"))).alias("r"))
-    return p.select("domain", F.coalesce("r", F.lit(99999)).alias("pool_rank")).orderBy("pool_rank", "domain").limit(150)
+    return p.select("domain", F.coalesce("r", F.lit(99999)).alias("pool_rank")).orderBy("pool_rank", "domain")
 
 
-@query("pool_shuffle", sql(HOSTS, "SELECT url, md5('42|' || url) AS shuffle_key FROM (SELECT DISTINCT url FROM hosts) ORDER BY 2, 1 LIMIT 100"))
+@query("pool_shuffle", sql(HOSTS, "SELECT url, md5('42|' || url) AS shuffle_key FROM (SELECT DISTINCT url FROM hosts) ORDER BY 2, 1"))
 def _(t):
     p = t.hosts.select("url").distinct().withColumn("shuffle_key", ordered.hash_order(42, "url"))
-    return p.orderBy("shuffle_key", "url").limit(100)
+    return p.orderBy("shuffle_key", "url")
 
 
 @query("feature_vector", sql(G_ALL + ITG_CTE, f"SELECT trace_id, {R(' + '.join(f'{k + 1} * {c}' for k, c in enumerate(fixed.ITG_COLS) if c in ('num_nodes', 'num_edges', 'num_forms', 'has_password_input', 'diameter', 'out_degree_max')))} AS weighted FROM itg"))
@@ -355,10 +355,10 @@ def _(t):
 
 
 @query("pending_targets", sql(HOSTS, """SELECT source, url FROM (SELECT source, url, row_number() OVER (PARTITION BY source ORDER BY md5(url), url) AS rk FROM (SELECT DISTINCT source, url FROM hosts
-  WHERE substr(md5(url), 1, 12) NOT IN (SELECT substr(md5(url), 1, 12) FROM pages WHERE page_id % 4 = 0))) WHERE rk <= 60"""))
+  WHERE substr(md5(url), 1, 12) NOT IN (SELECT substr(md5(url), 1, 12) FROM pages WHERE starts_with(url, 'http://')))) WHERE rk <= 60"""))
 def _(t):
     from tracegraph.functions.text import short_md5
-    done = t.pages.filter("page_id % 4 = 0").select(short_md5("url").alias("hash")).distinct()
+    done = t.pages.filter("url LIKE 'http://%'").select(short_md5("url").alias("hash")).distinct()
     open_ = t.hosts.select("source", "url").distinct().withColumn("hash", short_md5("url")).join(done, "hash", "left_anti")
     parts = [open_.filter(F.col("source") == s).orderBy(F.md5("url"), "url").limit(60) for s in ("observed", "lookalike")]
     return parts[0].unionByName(parts[1]).select("source", "url")

@@ -177,7 +177,7 @@ class Tables:
         """Search results: page titles and headings under a query made of a brand and an action."""
         p = self.raw("pages").select(
             "page_id", "url", F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("t"),
-            F.regexp_extract("html", r"<p>([^<]{0,200})", 1).alias("para"))
+            F.regexp_extract("html", r"<p>([^<]*)", 1).alias("para"))
         brand = pick(fixed.QUERY_BRANDS, F.col("page_id") % len(fixed.QUERY_BRANDS))
         action = pick(fixed.QUERY_ACTIONS, F.floor(F.col("page_id") / 5) % len(fixed.QUERY_ACTIONS))
         phrase = pick(fixed.SNIPPET_PHRASES, F.floor(F.col("page_id") / 2) % len(fixed.SNIPPET_PHRASES))
