@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracegraph.llm import mixing, sharding
+from tracegraph.llm import mixing, pii, quality_rules, sharding
 from tracegraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,41 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+RULES_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+gc AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g),
+rp AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM gc WHERE n > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)),
+lf AS (SELECT doc_id, l, n,
+   (n > 0 AND (4 * len(regexp_extract_all(l, '[#*$%&|<>]')) > n OR 4 * len(regexp_extract_all(l, '[!?]{2}')) > n
+               OR (n >= 20 AND NOT regexp_matches(l, '[.!?,;:。،।…]'))))
+   OR (n BETWEEN 1 AND 10 AND (regexp_matches(l, '(^|\s)[|»›•>](\s|$)') OR regexp_matches(l, '(?i)^\W*(home|menu|log ?in|log ?out|sign ?in|sign ?up|register|next|previous|search|contact( us)?|about( us)?|back to top|share|read more|skip to content|sitemap|help|faq)\W*$')))
+   OR (n BETWEEN 1 AND 30 AND regexp_matches(l, '(?i)(all rights reserved|licensed under|released under the|cookie policy|we use cookies|privacy policy|terms of (use|service)|copyright|©|enable javascript|subscribe to|click here|powered by)')) AS bad
+   FROM l),
+ls AS (SELECT doc_id, sum(n) FILTER (bad) AS lost, count(*) FILTER (n > 0) - count(DISTINCT l) FILTER (n > 0) AS dup FROM lf GROUP BY doc_id),
+b AS (SELECT doc_id, len(w) AS n_words, length(t) - len(regexp_extract_all(t, '[\x20\x09-\x0D]')) AS word_chars,
+             len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, dup AS n_dup_lines, coalesce(rp.n, 0) AS n_repeat_words, coalesce(lost, 0) AS lost
+      FROM w JOIN ls USING (doc_id) LEFT JOIN rp USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost <= 0.5 * n_words AS kept
+FROM b"""
+
+
+@query("op7_line_first_rules", RULES_SQL)
+def _(spark, sf_dir):
+    judged = quality_rules.clean_lines(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op9_pii_spans")
+def _(spark, sf_dir):
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    said = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    spans = F.col("pii")
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS[:pii.BASE]],
+                        F.sha2(said(F.filter(spans, lambda s: s["rank"] < pii.BASE)).cast("binary"), 256).alias("base_sha256"), said(spans).alias("spans"))
