@@ -108,9 +108,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), factor: float = 1
         F.when(F.col("blocks") > 0, F.col("quota") % F.col("blocks")).otherwise(0).alias("extra"),
         F.when(F.col("blocks") > 0, hash60(F.lit(f"{seed} start"), F.col("key"), F.col("cell").cast("string")) % F.col("blocks")).otherwise(0).alias("start"))
 
-    stream = W.partitionBy("key", "cell").orderBy("h", F.col("doc_id").asc_nulls_first(), "size", "t")
+    # one column names the cell, so that a partitioning by source alone does not do for the window
+    cells = cells.select(F.concat_ws(" ", "cell", "key").alias("stream"), *[c for c in cells.columns if c not in ("key", "cell")])
+    placed = placed.withColumn("stream", F.concat_ws(" ", "cell", "key")).drop("key", "cell")
+    stream = W.partitionBy("stream").orderBy("h", F.col("doc_id").asc_nulls_first(), "size", "t")
     to = F.sum("size").over(stream.rowsBetween(W.unboundedPreceding, 0))
-    x = placed.withColumn("to", to).join(cells, ["key", "cell"]).withColumn("from", F.col("to") - F.col("size"))
+    x = placed.withColumn("to", to).join(cells, "stream").withColumn("from", F.col("to") - F.col("size"))
     end = F.col("start") + F.col("extra")
     x = x.withColumns({"a1": F.col("start") * block_words, "b1": F.least(F.least(end, F.col("blocks")) * block_words, F.col("words")),
                        "b2": F.greatest(F.lit(0), end - F.col("blocks")) * block_words})

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracegraph.llm import mixing, pii, quality_rules, sharding
+from tracegraph.llm import mixing, pii, quality_rules, sharding, warc
 from tracegraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,22 @@ def _(spark, sf_dir):
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     return found.select("doc_id", *[count(k) for k in pii.KINDS[:pii.BASE]],
                         F.sha2(said(F.filter(spans, lambda s: s["rank"] < pii.BASE)).cast("binary"), 256).alias("base_sha256"), said(spans).alias("spans"))
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha256(b) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
+
+
+@query("op2_warc_round_trip", WARC_SQL)
+def _(spark, sf_dir):
+    records = warc.archive_pages(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    key = lambda c: F.regexp_extract(c, "^urn:key:(-?[0-9]+)$", 1)
+    digest = F.when(F.col("record_type") == "response", F.sha2("payload", 256)).otherwise(F.col("payload_digest"))
+    size = F.when(F.col("record_type") == "response", F.octet_length("payload")).otherwise(F.col("payload_bytes"))
+    number = lambda c: F.when(key(c) != "", key(c).cast("bigint"))
+    return records.select(number("record_id").alias("page_id"), size.cast("bigint").alias("payload_bytes"), digest.alias("payload_digest"),
+                          "record_type", number("refers_to").alias("refers_to"))
