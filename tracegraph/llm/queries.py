@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracegraph.llm import mixing, pii, quality_rules, sharding, warc
+from tracegraph.llm import mixing, pii, quality_rules, sharding, simhash, warc
 from tracegraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,9 @@ def _(spark, sf_dir):
     number = lambda c: F.when(key(c) != "", key(c).cast("bigint"))
     return records.select(number("record_id").alias("page_id"), size.cast("bigint").alias("payload_bytes"), digest.alias("payload_digest"),
                           "record_type", number("refers_to").alias("refers_to"))
+
+
+@query("op5_simhash_anchor_covering")
+def _(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
