@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracegraph.llm import decontaminate, mixing, pii, quality_rules, sharding, simhash, warc
-from tracegraph.llm.common import table
+from tracegraph.llm import decontaminate, mixing, pii, quality_model, quality_rules, sharding, simhash, toxicity, warc
+from tracegraph.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -167,3 +167,19 @@ def _(spark, sf_dir):
     found = decontaminate.contamination(spark, rows.select("row", "doc.text"), table(spark, sf_dir, "benchmark"))
     return found.join(rows.select("row", "doc.doc_id"), "row").select(
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def _scored(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+@query("op1_kneser_ney_toxicity")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _scored(toxicity.train(spark, docs, table(spark, sf_dir, "labels")).score(docs), 0.7)
+
+
+@query("op3_compression_quality")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _scored(quality_model.train(spark, docs, table(spark, sf_dir, "labels")).score(docs), 0.5)
