@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracegraph.llm import decontaminate, mixing, pii, quality_model, quality_rules, sharding, simhash, toxicity, warc
+from tracegraph.llm import decontaminate, line_dedup, mixing, pii, quality_model, quality_rules, sharding, simhash, toxicity, warc
 from tracegraph.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +183,10 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return _scored(quality_model.train(spark, docs, table(spark, sf_dir, "labels")).score(docs), 0.5)
+
+
+@query("op10_patience_line_dedup")
+def _(spark, sf_dir):
+    clean = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    numbers = F.array_join(F.col("removed").cast("array<string>"), ",")
+    return clean.select("doc_id", "n_lines", "n_removed", "removed_words", numbers.alias("removed_lines"), "text")
