@@ -27,18 +27,18 @@ qi AS (SELECT tr.*, doc_status, coalesce(n_requests, 0) AS n_requests, coalesce(
    {PAT("page_title || ' ' || coalesce(rtext, '')", fixed.CAPTCHA_PATTERNS)} AS captcha, (end_us - start_us) / 1e6 AS dur
    FROM tr LEFT JOIN fds USING (trace_id) LEFT JOIN nrq USING (trace_id) LEFT JOIN hop USING (trace_id)),
 ql AS (SELECT *, list_filter([
-     CASE WHEN NOT success THEN 'crawl_failed: trace marked as unsuccessful' END,
-     CASE WHEN doc_status IN {IN(fixed.ERROR_STATUS)} THEN 'http_error: primary document returned ' || doc_status END,
+     CASE WHEN NOT success THEN 'crawl_failed: the crawl did not succeed' END,
+     CASE WHEN doc_status IN {IN(fixed.ERROR_STATUS)} THEN 'http_error: main document answered ' || doc_status END,
      CASE WHEN err IS NOT NULL THEN 'error_page_content: matched ''' || {LIST(fixed.ERROR_PATTERNS)}[err + 1] || '''' END,
      CASE WHEN park IS NOT NULL THEN 'parking_page: matched ''' || {LIST(fixed.PARKING_PATTERNS)}[park + 1] || '''' END,
-     CASE WHEN n_redirects > 10 THEN 'redirect_loop: ' || n_redirects || ' redirects (max=10)' END,
-     CASE WHEN n_redirects > 2 AND n_hops < n_redirects * 0.5 THEN 'circular_redirects: repeated URLs in redirect chain' END],
+     CASE WHEN n_redirects > 10 THEN 'redirect_loop: ' || n_redirects || ' hops, allowed 10' END,
+     CASE WHEN n_redirects > 2 AND n_hops < n_redirects * 0.5 THEN 'circular_redirects: most hops lead to known URLs' END],
      lambda x: x IS NOT NULL) AS issues,
-   list_filter([CASE WHEN doc_status IS NULL THEN 'no_doc_status: no document request status found' END,
+   list_filter([CASE WHEN doc_status IS NULL THEN 'no_doc_status: main document has no status' END,
      CASE WHEN captcha IS NOT NULL THEN 'captcha_detected: matched ''' || {LIST(fixed.CAPTCHA_PATTERNS)}[captcha + 1] || '''' END,
-     CASE WHEN dur < 0.5 THEN 'very_fast_crawl: ' || format('{{:.1f}}', dur) || 's (possible instant error)' END,
-     CASE WHEN dur > 300 THEN 'very_slow_crawl: ' || format('{{:.0f}}', dur) || 's (possible timeout)' END,
-     CASE WHEN page_title = '' THEN 'empty_title: page has no title' END], lambda x: x IS NOT NULL) AS warnings,
+     CASE WHEN dur < 0.5 THEN 'very_fast_crawl: took ' || format('{{:.1f}}', dur) || ' s' END,
+     CASE WHEN dur > 300 THEN 'very_slow_crawl: took ' || format('{{:.0f}}', dur) || ' s' END,
+     CASE WHEN page_title = '' THEN 'empty_title: title is missing' END], lambda x: x IS NOT NULL) AS warnings,
    round(greatest(0.0, least(1.0, 1.0 - (CASE WHEN NOT success THEN 0.5 ELSE 0 END)
      - (CASE WHEN doc_status IN {IN(fixed.ERROR_STATUS)} THEN 0.6 ELSE 0 END) - (CASE WHEN err IS NOT NULL THEN 0.4 ELSE 0 END)
      - (CASE WHEN park IS NOT NULL THEN 0.5 ELSE 0 END) - (CASE WHEN n_redirects > 10 THEN 0.4 ELSE 0 END)
@@ -108,14 +108,14 @@ def _(t):
 
 
 # ---------------------------------------------------------------- risk and verdict (flagship)
-RISK = [("has_password_input > 0 AND has_email_input > 0", 0.25, "'Requests both email and password'"),
-        ("num_redirects > 2", 0.15, "num_redirects || ' redirects detected'"),
-        ("external_redirects > 1", 0.15, "external_redirects || ' external domain redirects'"),
-        ("num_forms >= 2", 0.1, "num_forms || ' form submissions'"),
-        ("financial_fields_count > 0", 0.2, "financial_fields_count || ' financial data fields'"),
-        ("credential_fields_count >= 3", 0.1, "credential_fields_count || ' credential fields'"),
-        ("clustering_coefficient < 0.1 AND num_nodes > 3", 0.05, "'Low graph complexity'"),
-        ("form_to_node_ratio > 0.15", 0.1, "'High form-to-node ratio: ' || format('{:.2f}', form_to_node_ratio)")]
+RISK = [("has_password_input > 0 AND has_email_input > 0", 0.25, "'asks for an email address and a password'"),
+        ("num_redirects > 2", 0.15, "num_redirects || ' redirects'"),
+        ("external_redirects > 1", 0.15, "external_redirects || ' redirects to other domains'"),
+        ("num_forms >= 2", 0.1, "num_forms || ' forms'"),
+        ("financial_fields_count > 0", 0.2, "financial_fields_count || ' payment fields'"),
+        ("credential_fields_count >= 3", 0.1, "credential_fields_count || ' login fields'"),
+        ("clustering_coefficient < 0.1 AND num_nodes > 3", 0.05, "'sparse graph'"),
+        ("form_to_node_ratio > 0.15", 0.1, "'forms per node: ' || format('{:.2f}', form_to_node_ratio)")]
 RISK_CTE = ITG_CTE + ",\nrisk AS MATERIALIZED (SELECT *, least(round(" + " + ".join(f"(CASE WHEN {c} THEN {w} ELSE 0.0 END)" for c, w, _ in RISK) + \
     ", 4), 1.0)::DOUBLE AS risk_score, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN {x} END" for c, _, x in RISK) + \
     "], lambda x: x IS NOT NULL), '; ') AS risk_factors FROM itg)"
