@@ -61,12 +61,11 @@ def explain(tr: DataFrame, scored: DataFrame, attributions: DataFrame, contrib:
         paths, "trace_id", "left").join(first, "trace_id", "left")
     factors = F.array_join(F.transform(F.slice("top_features", 1, 3), lambda x: F.format_string("%s (%.1f%%)", x["feature"], x["attribution"] * 100)), ", ")
     text = F.concat_ws(
-        " ", F.format_string("The URL '%s' is classified as %s with %.1f%% confidence (risk score: %.0f/100).", "url", F.upper("label"),
-                             F.col("confidence") * 100, F.col("prob_phishing") * 100),
-        F.concat(F.lit("Primary factors: "), factors, F.lit(".")),
-        F.format_string("The %s feature category contributes most (%.0f%%) to this decision.", "main.category", F.col("main.share") * 100),
-        F.concat(F.lit("Suspicious interaction path: "), "description"),
-        F.concat(F.lit("Most anomalous feature: "), F.try_element_at("contrasts", F.lit(1))["description"]))
+        "; ", F.format_string("%s: %s, %.1f%% sure, score %.0f of 100", "url", "label", F.col("confidence") * 100, F.col("prob_phishing") * 100),
+        F.concat(F.lit("led by "), factors),
+        F.format_string("group with most weight: %s, %.0f%%", "main.category", F.col("main.share") * 100),
+        F.concat(F.lit("path: "), "description"),
+        F.concat(F.lit("furthest from benign: "), F.try_element_at("contrasts", F.lit(1))["description"]))
     return j.select("trace_id", "url", F.col("label").alias("prediction"), "confidence", (F.col("prob_phishing") * 100).alias("risk_score"),
                     "top_features", "categories", F.col("path").alias("critical_path"), "contrasts", text.alias("summary"))
 
