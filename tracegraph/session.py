@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -21,6 +20,7 @@ def local_session(cpus: int | str = "*", app: str = "tracegraph", partitions: in
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))  # one machine, so its own folder is shared
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -38,14 +38,19 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where none is set."""
+    """The folder of ``spark.checkpoint.dir``, which driver and executors must share.
+
+    Where it is unset, a folder of this machine does in local mode only; a cluster has to name one.
+    """
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if configured is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="spark-")
     if sc.getCheckpointDir() is None:
-        if configured is None:
-            configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None)
         sc.setCheckpointDir(configured)
-    return configured or sc.getCheckpointDir()
+    return configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
