@@ -8,7 +8,7 @@ from tracegraph.functions import fixed
 from tracegraph.operators import critical, embed, events, explain, graph, learn, paths, perturb, rules, stats, structure, views
 from tracegraph.plans.base_sql import G_ALL, IN, R, sql
 from tracegraph.plans.cat_stats import strata
-from tracegraph.plans.cat_views import ITG_CTE, ITG_NO_PR
+from tracegraph.plans.cat_views import ITG_CTE
 from tracegraph.plans.registry import query
 from tracegraph.session import land, scratch_path
 
@@ -233,8 +233,8 @@ def _(t):
 
 # ---------------------------------------------------------------- explanation
 EXP = ITG_CTE + """,
-lf AS (SELECT trace_id, y, feature, value::DOUBLE AS value FROM (SELECT itg.trace_id, y, unnest(['""" + "', '".join(ITG_NO_PR) + """']) AS feature,
-   unnest([""" + ", ".join(f"{c}::DOUBLE" for c in ITG_NO_PR) + """]) AS value FROM itg JOIN tr USING (trace_id))),
+lf AS (SELECT trace_id, y, feature, value::DOUBLE AS value FROM (SELECT itg.trace_id, y, unnest(['""" + "', '".join(fixed.ITG_COLS) + """']) AS feature,
+   unnest([""" + ", ".join(f"{c}::DOUBLE" for c in fixed.ITG_COLS) + """]) AS value FROM itg JOIN tr USING (trace_id))),
 im0 AS (SELECT feature, abs(covar_pop(value, y)) AS c, avg(value) AS mean, CASE WHEN stddev_pop(value) = 0 THEN 1.0 ELSE stddev_pop(value) END AS std FROM lf GROUP BY 1),
 im AS (SELECT feature, mean, std, (c / std) / (SELECT sum(c / std) FROM im0) AS importance FROM im0),
 at0 AS (SELECT trace_id, feature, value, importance * (1 + abs((value - mean) / std)) AS w FROM lf JOIN im USING (feature)),
@@ -255,7 +255,7 @@ def feature_table(t):
     """Importance (absolute correlation with the label, normalised) with mean and deviation, one row per feature."""
     d = labelled_itg(t)
     one = d.agg(F.array(*[F.struct(F.lit(c).alias("feature"), F.abs(F.covar_pop(c, "y")).alias("c"), F.avg(c).alias("mean"),
-                                   F.stddev_pop(c).alias("s")) for c in ITG_NO_PR]).alias("a"))
+                                   F.stddev_pop(c).alias("s")) for c in fixed.ITG_COLS]).alias("a"))
     f = one.select(F.explode("a").alias("a")).select("a.*").withColumn("std", F.when(F.col("s") == 0, 1.0).otherwise(F.col("s")))
     from pyspark.sql import Window
     f = f.withColumn("importance", F.col("c") / F.col("std")).withColumn("importance", F.col("importance") / F.sum("importance").over(Window.partitionBy(F.lit(1))))
@@ -264,7 +264,7 @@ def feature_table(t):
 
 def attributions(t):
     f = feature_table(t)
-    return explain.attribution(labelled_itg(t), f.select("feature", "importance"), f.select("feature", "mean", "std"), ITG_NO_PR)
+    return explain.attribution(labelled_itg(t), f.select("feature", "importance"), f.select("feature", "mean", "std"), fixed.ITG_COLS)
 
 
 @query("attribution", sql(G_ALL + EXP, f"SELECT trace_id, place, feature, {R('value')} AS value, {R('attribution')} AS attribution FROM att"))
@@ -291,7 +291,7 @@ def _(t):
 @query("contrastive", sql(G_ALL + EXP, f"SELECT trace_id, place, feature, {R('value')} AS value, {R('mean')} AS benign_avg, {R('z')} AS z FROM con"))
 def _(t):
     d = labelled_itg(t)
-    return explain.contrastive(d, stats.benign_prototype(d, ITG_NO_PR), ITG_NO_PR).drop("description")
+    return explain.contrastive(d, stats.benign_prototype(d, fixed.ITG_COLS), fixed.ITG_COLS).drop("description")
 
 
 def explanations(t):
@@ -300,7 +300,7 @@ def explanations(t):
     scored = v.select("trace_id", F.when(F.col("is_phishing") == 1, "phishing").otherwise("benign").alias("label"), "confidence",
                       F.col("risk_score").alias("prob_phishing"))
     a = land(attributions(t), "attributions")
-    con = explain.contrastive(d, stats.benign_prototype(d, ITG_NO_PR), ITG_NO_PR)
+    con = explain.contrastive(d, stats.benign_prototype(d, fixed.ITG_COLS), fixed.ITG_COLS)
     return explain.explain(t.tr, scored, a, explain.category_contrib(a), critical.critical_path(t.nodes, t.edges), con)
 
 

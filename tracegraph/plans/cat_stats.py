@@ -6,7 +6,7 @@ from tracegraph.functions import fixed, ordered
 from tracegraph.operators import domains, events, graph, paths, perturb, rules, stats, views
 from tracegraph.plans.base_sql import ALL, DIV, DOM, G_ALL, HOSTS, I, LIST, R, SERP, sql
 from tracegraph.plans.cat_rules import C48, DS, RISK_CTE, SS
-from tracegraph.plans.cat_views import (BASE4, CLEAN_SQL, CROSS_CTE, ITG_CTE, ITG_NO_PR, NET_CTE, S8, URL_CTE)
+from tracegraph.plans.cat_views import (BASE4, CLEAN_SQL, CROSS_CTE, ITG_CTE, NET_CTE, S8, URL_CTE)
 from tracegraph.plans.registry import query
 from tracegraph.session import land
 
@@ -163,9 +163,9 @@ def _(t):
 
 @query("benign_prototype", sql(G_ALL + ITG_CTE + """,
 bp AS (SELECT itg.* FROM itg JOIN tr USING (trace_id) WHERE y = 0)""", " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, {R(f'avg({c})')} AS mean, {R(f'CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END')} AS std FROM bp" for c in ITG_NO_PR)))
+    f"SELECT '{c}' AS feature, {R(f'avg({c})')} AS mean, {R(f'CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END')} AS std FROM bp" for c in fixed.ITG_COLS)))
 def _(t):
-    return stats.benign_prototype(t.itg.join(t.tr.select("trace_id", "y"), "trace_id"), ITG_NO_PR)
+    return stats.benign_prototype(t.itg.join(t.tr.select("trace_id", "y"), "trace_id"), fixed.ITG_COLS)
 
 
 @query("standard_scale", sql(ALL + NET_CTE + FOLD + """,

@@ -83,9 +83,22 @@ def _(t):
     return t.paths.select("trace_id", "max_redirect_depth")
 
 
-@query("pagerank_max")
+PR = """,
+prs AS MATERIALIZED (SELECT trace_id, src, dst, weight / sum(weight) OVER (PARTITION BY trace_id, src) AS p, FALSE AS own FROM edges
+   UNION ALL SELECT trace_id, node, node, 0.0, TRUE FROM nodes),
+prn AS MATERIALIZED (SELECT trace_id, node, count(*) OVER (PARTITION BY trace_id) AS n, (trace_id, node) NOT IN (SELECT (trace_id, src) FROM edges) AS loose FROM nodes),
+pr AS (SELECT trace_id, node, n, loose, 1.0::DOUBLE / n AS x, 0 AS k, FALSE AS done FROM prn
+   UNION ALL SELECT trace_id, node, n, loose, y, k + 1, sum(abs(y - x)) OVER (PARTITION BY trace_id) < n * 1e-6 FROM (
+     SELECT c.trace_id, s.dst AS node, max(n) AS n, bool_or(loose) FILTER (own) AS loose, max(x) FILTER (own) AS x,
+            0.85::DOUBLE * (sum(x * p) + max(lost) / max(n)) + 0.15::DOUBLE / max(n) AS y, max(k) AS k
+     FROM (SELECT *, coalesce(sum(x) FILTER (loose) OVER (PARTITION BY trace_id), 0) AS lost FROM pr WHERE NOT done AND k < 100) c
+     JOIN prs s ON s.trace_id = c.trace_id AND s.src = c.node GROUP BY 1, 2)),
+prm AS MATERIALIZED (SELECT trace_id, max(x) AS pagerank_max FROM pr WHERE done OR k = 100 GROUP BY 1)"""
+
+
+@query("pagerank_max", sql(G_ALL + PR, f"SELECT trace_id, {R('pagerank_max')} AS pagerank_max FROM prm"))
 def _(t):
-    return t.paths.select("trace_id", F.round("pagerank_max", 4).alias("pagerank_max"))
+    return t.paths.select("trace_id", "pagerank_max")
 
 
 # ---------------------------------------------------------------- views
@@ -216,8 +229,7 @@ def _(t):
     return views.base_views(t.tr, t.ev, t.rq, t.rd)
 
 
-ITG_NO_PR = [c for c in fixed.ITG_COLS if c != "pagerank_max"]
-ITG_CTE = DEG + CLUST + SIGMA + UDIST + CLOSE + BETW + f""",
+ITG_CTE = PR + DEG + CLUST + SIGMA + UDIST + CLOSE + BETW + f""",
 sens AS ({SENS}), urln AS ({URLN}),
 tim AS (SELECT trace_id, count(tus) FILTER (tus > 0) AS kk, CASE WHEN count(tus) FILTER (tus > 0) >= 2
    THEN (max(tus) - min(tus)) / 1e6 ELSE 0.0 END AS tt FROM nodes GROUP BY 1),
@@ -231,16 +243,16 @@ itg AS (SELECT nn.trace_id, nn.n AS num_nodes, coalesce(m, 0) AS num_edges, {DIV
    CASE WHEN kk > 1 THEN tt / (kk - 1) ELSE 0.0 END AS avg_time_between_events,
    CASE WHEN tt > 0 THEN kk / tt ELSE 0.0 END AS event_frequency,
    CASE WHEN nn.n > 2 THEN coalesce(b, 0.0) / ((nn.n - 1) * (nn.n - 2)) ELSE 0.0 END AS betweenness_centrality_max,
-   c AS closeness_centrality_max, coalesce(maxi, 0) AS in_degree_max, coalesce(maxo, 0) AS out_degree_max,
+   c AS closeness_centrality_max, coalesce(maxi, 0) AS in_degree_max, coalesce(maxo, 0) AS out_degree_max, pagerank_max,
    requests_sensitive_data, credential_fields_count, financial_fields_count
    FROM nn LEFT JOIN dg USING (trace_id) JOIN cl USING (trace_id) JOIN ubest USING (trace_id) JOIN clo USING (trace_id)
    LEFT JOIN bmax USING (trace_id) JOIN sens USING (trace_id) JOIN urln USING (trace_id) JOIN tim USING (trace_id)
-   JOIN rdep USING (trace_id))"""
+   JOIN rdep USING (trace_id) JOIN prm USING (trace_id))"""
 
 
-@query("itg_view", sql(G_ALL + ITG_CTE, f"SELECT trace_id, {ROUND(ITG_NO_PR)} FROM itg"))
+@query("itg_view", sql(G_ALL + ITG_CTE, f"SELECT trace_id, {ROUND(fixed.ITG_COLS)} FROM itg"))
 def _(t):
-    return views.itg_view(t.nodes, t.edges, t.paths).drop("pagerank_max")
+    return views.itg_view(t.nodes, t.edges, t.paths)
 
 
 @query("graph_available_mask", sql(G_ALL + DEG, f"""SELECT trace_id, {I('(n >= 2)::INT')} AS itg_available,
@@ -253,7 +265,7 @@ ENG_EXPR = {
     "density_x_form_ratio": "graph_density * form_to_node_ratio", "cluster_x_cred": "clustering_coefficient * credential_fields_count",
     "ext_redirect_ratio": f"external_redirects / {S8('num_redirects')}", "nodes_x_sensitive": "num_nodes * requests_sensitive_data",
     "between_x_time": "betweenness_centrality_max * total_interaction_time",
-    "closeness_x_cred": "closeness_centrality_max * credential_fields_count", "edge_node_ratio": f"num_edges / {S8('num_nodes')}",
+    "pagerank_x_freq": "pagerank_max * event_frequency", "closeness_x_cred": "closeness_centrality_max * credential_fields_count", "edge_node_ratio": f"num_edges / {S8('num_nodes')}",
     "diameter_x_depth": "diameter * max_redirect_depth",
     "degree_asymmetry": f"abs(in_degree_max - out_degree_max) / {S8('(in_degree_max + out_degree_max)')}",
     "auth_risk_score": "has_password_input + has_email_input + financial_fields_count",
@@ -295,8 +307,7 @@ def _(t):
 def proxy_sql() -> dict[str, str]:
     out = {}
     for i, (a, b) in enumerate(fixed.PROXY_PAIRS):
-        if "pagerank_max" not in (a, b):
-            out[f"wl_mul_{i}"], out[f"wl_dif_{i}"] = f"{a} * {b}", f"power({a} - {b}, 2)"
+        out[f"wl_mul_{i}"], out[f"wl_dif_{i}"] = f"{a} * {b}", f"power({a} - {b}, 2)"
     topo = "num_nodes num_edges avg_degree max_degree graph_density clustering_coefficient avg_path_length diameter".split()
     for i, a in enumerate(topo):
         out[f"sp_sq_{i}"] = f"{a} * {a}"
@@ -311,22 +322,22 @@ def _(t):
 
 
 @query("full_feature_matrix", sql(G_ALL + ITG_CTE, "SELECT trace_id, " + AS_ROUNDED(
-    {**{c: c for c in ITG_NO_PR}, **ENG_EXPR, **DRP_SQL, **proxy_sql()}) + " FROM itg"))
+    {**{c: c for c in fixed.ITG_COLS}, **ENG_EXPR, **DRP_SQL, **proxy_sql()}) + " FROM itg"))
 def _(t):
-    return coarse(views.full_feature_matrix(t.itg).select("trace_id", *ITG_NO_PR, *ENG_EXPR, *DRP_SQL, *proxy_sql()))
+    return coarse(views.full_feature_matrix(t.itg).select("trace_id", *fixed.ITG_COLS, *ENG_EXPR, *DRP_SQL, *proxy_sql()))
 
 
 @query("all_views", sql(G_ALL + CROSS_CTE + ITG_CTE, "SELECT tr.trace_id, " + ", ".join(
     [f"{R('u.' + c)} AS u_{c}" for c in fixed.URL_COLS] + [f"{R('n.' + c)} AS n_{c}" for c in fixed.NETWORK_COLS]
     + [f"{R('r.' + c)} AS r_{c}" for c in fixed.REDIRECT_COLS] + [f"{R('i.' + c)} AS i_{c}" for c in fixed.CONTENT_COLS]
     + [f"{R('x.' + c)} AS x_{c}" for c in views.CROSS_COLS]
-    + [f"CASE WHEN g.num_nodes >= 2 THEN {R('g.' + c)} ELSE 0.0 END AS g_{c}" for c in ITG_NO_PR])
+    + [f"CASE WHEN g.num_nodes >= 2 THEN {R('g.' + c)} ELSE 0.0 END AS g_{c}" for c in [*fixed.ITG_COLS, *ENG_EXPR] if c not in COARSE]
+    + [f"CASE WHEN g.num_nodes >= 2 THEN round(CAST(g.{c} AS DOUBLE) + 3e-9, {d}) ELSE 0.0 END AS g_{c}" for c, d in COARSE.items()])
     + """ FROM tr JOIN uv u USING (trace_id) JOIN nv n USING (trace_id) JOIN rv r USING (trace_id) JOIN iv i USING (trace_id)
-    JOIN xv x USING (trace_id) JOIN itg g USING (trace_id)"""))
+    JOIN xv x USING (trace_id) JOIN (SELECT *, """ + ", ".join(f"{e} AS {c}" for c, e in ENG_EXPR.items()) + """ FROM itg) g USING (trace_id)"""))
 def _(t):
-    full = views.all_views(t.tr, t.ev, t.rq, t.rd, t.itg)
-    drop = ["itg_available", "g_pagerank_max", *[f"g_{c}" for c in views.engineered_columns()]]
-    return full.drop(*drop)
+    full = views.all_views(t.tr, t.ev, t.rq, t.rd, t.itg).drop("itg_available")
+    return full.select(*[F.round(F.col(c) + NUDGE, COARSE[c[2:]]).alias(c) if c[2:] in COARSE and c.startswith("g_") else F.col(c) for c in full.columns])
 
 
 URLS_SQL = f""",
