@@ -261,7 +261,7 @@ ITG_CATEGORIES = {
 }
 # ---- truncation levels: name, events kept, redirects kept (fixed values) ----
 TRUNCATION_LEVELS = [("0-evt", 0, 0), ("1-evt", 1, 0), ("3-evt", 3, 1), ("8-evt", 8, 1), ("15-evt", 15, 1),
-                     ("all", 99999, 99999)]
+                     ("all", 1 << 62, 1 << 62)]  # all: no limit
 # ---- column subsets of the comparison methods (fixed values) ----
 METHOD_COLUMNS = {
     "crp_mlp": ("has_password_input has_email_input num_forms num_input_fields credential_fields_count "

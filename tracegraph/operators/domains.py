@@ -181,7 +181,7 @@ def query_score(df: DataFrame, query: str = "query", category: str = "category")
     return df.withColumn("expected_toxicity", F.least(F.round(score, 6), F.lit(1.0)))
 
 
-def query_generate(brands: DataFrame, urgency_brands: int = 20, samples: int = 3, max_queries: int | None = 2000) -> DataFrame:
+def query_generate(brands: DataFrame, urgency_brands: int = 20, samples: int = 3, max_queries: int | None = None) -> DataFrame:
     """Queries from brands (brand, brand_rank) and fixed phrase lists; a repeated text keeps its last writer.
 
     The phrase lists are exploded per brand row, so the work is linear in the

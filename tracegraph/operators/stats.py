@@ -115,8 +115,8 @@ def mutual_information(df: DataFrame, features: dict[str, list[str]], label: str
         "view").agg(F.sum("mi").alias("mutual_information"))
 
 
-def view_redundancy(df: DataFrame, features: dict[str, list[str]], first: int = 5) -> DataFrame:
-    """Mean absolute correlation between the first columns of every two views, from one pass of moments."""
+def view_redundancy(df: DataFrame, features: dict[str, list[str]], first: int | None = None) -> DataFrame:
+    """Mean absolute correlation between the columns of every two views (``first``: only so many of each), from one pass of moments."""
     heads = {v: cs[:first] for v, cs in features.items()}
     pairs = list(combinations(heads, 2))
     aggs, plan = [], []

@@ -418,9 +418,9 @@ def _(t):
 
 
 @query("crawl_targets", sql(SS, f"""SELECT url, 'serp_mining_' || engine AS source, {R('score')} AS score FROM sc WHERE score >= 0.25
-  ORDER BY sc.score DESC, page_id LIMIT 500"""))
+"""))
 def _(t):
-    s = domains.serp_score(t.serp).filter("score >= 0.25").orderBy(F.desc("score"), "page_id").limit(500)
+    s = domains.serp_score(t.serp).filter("score >= 0.25")
     return s.select("url", F.concat(F.lit("serp_mining_"), F.col("engine")).alias("source"), "score")
 
 
@@ -481,8 +481,7 @@ gen AS (SELECT lower(query) AS query_key, arg_max(query, (s, b, i)) AS query, ar
   arg_max(source, (s, b, i)) AS source FROM gen0 GROUP BY 1)"""
 
 
-@query("query_generate", sql(BR + gen_sql(), f"""SELECT query_key, query, category, source, {R(QS)} AS expected_toxicity FROM gen
-  ORDER BY {QS} DESC, query_key LIMIT 2000"""))
+@query("query_generate", sql(BR + gen_sql(), f"""SELECT query_key, query, category, source, {R(QS)} AS expected_toxicity FROM gen"""))
 def _(t):
     return domains.query_generate(mined_brands(t))
 

@@ -54,12 +54,12 @@ def _(t):
     return f["ev"].select("trace_id", "event_type", "url_after", "form_field").join(f["rq"].select("trace_id", "resource_type", "status"), "trace_id")
 
 
-@query("feature_scan", sql(G_ALL + ITG_CTE, f"SELECT trace_id, {R('num_nodes')} AS num_nodes, {R('diameter')} AS diameter, CASE WHEN y = 1 THEN 'phishing' ELSE 'benign' END AS label FROM itg JOIN tr USING (trace_id)"))
+@query("feature_scan", sql(G_ALL + ITG_CTE, "SELECT trace_id, " + ", ".join(f"{R(c)} AS {c}" for c in fixed.ITG_COLS) + ", CASE WHEN y = 1 THEN 'phishing' ELSE 'benign' END AS label FROM itg JOIN tr USING (trace_id)"))
 def _(t):
     path = scratch_path(t.spark, "features")
     d = t.itg.join(t.tr.select("trace_id", "y"), "trace_id")
     d.select("trace_id", F.struct(*fixed.ITG_COLS).alias("features"), F.when(F.col("y") == 1, "phishing").otherwise("benign").alias("label")).write.json(path)
-    return feeds.feature_scan(t.spark, path, fixed.ITG_COLS).select("trace_id", "num_nodes", "diameter", "label")
+    return feeds.feature_scan(t.spark, path, fixed.ITG_COLS).select("trace_id", *fixed.ITG_COLS, "label")
 
 
 @query("url_list_scan", sql(HOSTS, "SELECT source AS label, url, domain FROM hosts"))

@@ -156,9 +156,9 @@ def _(t):
     return stats.invariance_ratio(stats.binary_metrics(both, ["method", "stratum"]), ["method"])
 
 
-@query("class_means", sql(ALL + URL_CTE, f"SELECT y::BIGINT AS y, {R('avg(domain_len)')} AS domain_len, {R('avg(domain_entropy)')} AS domain_entropy FROM uv JOIN tr USING (trace_id) GROUP BY 1"))
+@query("class_means", sql(ALL + URL_CTE, "SELECT y::BIGINT AS y, " + ", ".join(f"{R(f'avg({c})')} AS {c}" for c in fixed.URL_COLS) + " FROM uv JOIN tr USING (trace_id) GROUP BY 1"))
 def _(t):
-    return views.url_view(t.tr).join(t.tr.select("trace_id", "y"), "trace_id").groupBy("y").agg(F.avg("domain_len").alias("domain_len"), F.avg("domain_entropy").alias("domain_entropy"))
+    return views.url_view(t.tr).join(t.tr.select("trace_id", "y"), "trace_id").groupBy("y").agg(*[F.avg(c).alias(c) for c in fixed.URL_COLS])
 
 
 @query("benign_prototype", sql(G_ALL + ITG_CTE + """,
@@ -168,14 +168,17 @@ def _(t):
     return stats.benign_prototype(t.itg.join(t.tr.select("trace_id", "y"), "trace_id"), fixed.ITG_COLS)
 
 
+def scaled_sql(c: str) -> str:
+    return R(f"({c} - (SELECT avg({c}) FROM nt WHERE is_train)) / (SELECT CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END FROM nt WHERE is_train)")
+
+
 @query("standard_scale", sql(ALL + NET_CTE + FOLD + """,
-nt AS (SELECT nv.*, pos < round(ny * 0.7) AS is_train FROM nv JOIN lab USING (trace_id)),
-mz AS (SELECT avg(total_requests) AS m1, stddev_pop(total_requests) AS s1, avg(ext_ratio) AS m2, stddev_pop(ext_ratio) AS s2 FROM nt WHERE is_train)""",
-    f"SELECT trace_id, {R('(total_requests - m1) / s1')} AS total_requests, {R('(ext_ratio - m2) / s2')} AS ext_ratio FROM nt, mz"))
+nt AS MATERIALIZED (SELECT nv.*, pos < round(ny * 0.7) AS is_train FROM nv JOIN lab USING (trace_id))""",
+    "SELECT trace_id, " + ", ".join(f"{scaled_sql(c)} AS {c}" for c in fixed.NETWORK_COLS) + " FROM nt"))
 def _(t):
-    n = views.network_view(views.request_stats(t.tr, t.rq)).select("trace_id", "total_requests", "ext_ratio")
+    n = views.network_view(views.request_stats(t.tr, t.rq)).select("trace_id", *fixed.NETWORK_COLS)
     d = stats.stratified_split(t.tr.filter("success").select("trace_id", "y")).join(n, "trace_id")
-    return stats.standard_scale(d.filter("is_train = 1"), d, ["total_requests", "ext_ratio"]).select("trace_id", "total_requests", "ext_ratio")
+    return stats.standard_scale(d.filter("is_train = 1"), d, fixed.NETWORK_COLS).select("trace_id", *fixed.NETWORK_COLS)
 
 
 FEATS = {"url": [f"u_{c}" for c in fixed.URL_COLS], "network": [f"n_{c}" for c in fixed.NETWORK_COLS],
@@ -203,7 +206,7 @@ def red_sql() -> str:
     from itertools import combinations
     parts = []
     for a, b in combinations(FEATS, 2):
-        cells = ", ".join(f"corr({x}, {y})" for x in FEATS[a][:5] for y in FEATS[b][:5])
+        cells = ", ".join(f"corr({x}, {y})" for x in FEATS[a] for y in FEATS[b])
         parts.append(f"SELECT '{a}' AS view_a, '{b}' AS view_b, [{cells}] AS c FROM vt")
     return ",\nrc AS (" + " UNION ALL ".join(parts) + "),\nrdn AS (SELECT view_a, view_b, coalesce(list_avg(list_transform(list_filter(c, lambda x: x IS NOT NULL AND NOT isnan(x)), lambda x: abs(x))), 0.0) AS redundancy FROM rc)"
 
@@ -323,14 +326,13 @@ def _(t):
     return p.orderBy("shuffle_key", "url")
 
 
-@query("feature_vector", sql(G_ALL + ITG_CTE, f"SELECT trace_id, {R(' + '.join(f'{k + 1} * {c}' for k, c in enumerate(fixed.ITG_COLS) if c in ('num_nodes', 'num_edges', 'num_forms', 'has_password_input', 'diameter', 'out_degree_max')))} AS weighted FROM itg"))
+@query("feature_vector", sql(G_ALL + ITG_CTE, f"SELECT trace_id, {R(' + '.join(f'{k + 1} * {c}' for k, c in enumerate(fixed.ITG_COLS)))} AS weighted FROM itg"))
 def _(t):
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.feature import VectorAssembler
     v = VectorAssembler(inputCols=fixed.ITG_COLS, outputCol="v").transform(t.itg).withColumn("a", vector_to_array("v"))
-    ix = [k for k, c in enumerate(fixed.ITG_COLS) if c in ("num_nodes", "num_edges", "num_forms", "has_password_input", "diameter", "out_degree_max")]
     total = F.lit(0.0)
-    for k in ix:
+    for k in range(len(fixed.ITG_COLS)):
         total = total + (k + 1) * F.col("a")[k]
     return v.select("trace_id", total.alias("weighted"))
 
@@ -342,7 +344,7 @@ def _(t):
 
 @query("truncate_trace", sql(G_ALL, """SELECT level, count(*) AS n_traces, sum(n)::BIGINT AS n_events, sum(m)::BIGINT AS n_redirects FROM (
   SELECT tr.trace_id, level, least(me, coalesce(e.n, 0)) AS n, least(mr, coalesce(r.n, 0)) AS m FROM tr, (VALUES ('0-evt', 0, 0), ('1-evt', 1, 0), ('3-evt', 3, 1),
-    ('8-evt', 8, 1), ('15-evt', 15, 1), ('all', 99999, 99999)) l(level, me, mr)
+    ('8-evt', 8, 1), ('15-evt', 15, 1), ('all', 4611686018427387904, 4611686018427387904)) l(level, me, mr)
   LEFT JOIN (SELECT trace_id, count(*) AS n FROM en GROUP BY 1) e ON e.trace_id = tr.trace_id LEFT JOIN (SELECT trace_id, count(*) AS n FROM rd GROUP BY 1) r ON r.trace_id = tr.trace_id) GROUP BY 1"""))
 def _(t):
     levels = F.array(*[F.struct(F.lit(n).alias("level"), F.lit(e).alias("me"), F.lit(r).alias("mr")) for n, e, r in fixed.TRUNCATION_LEVELS])
@@ -354,14 +356,12 @@ def _(t):
     return base.join(ne, "level", "left").join(nr, "level", "left").na.fill(0)
 
 
-@query("pending_targets", sql(HOSTS, """SELECT source, url FROM (SELECT source, url, row_number() OVER (PARTITION BY source ORDER BY md5(url), url) AS rk FROM (SELECT DISTINCT source, url FROM hosts
-  WHERE substr(md5(url), 1, 12) NOT IN (SELECT substr(md5(url), 1, 12) FROM pages WHERE starts_with(url, 'http://')))) WHERE rk <= 60"""))
+@query("pending_targets", sql(HOSTS, """SELECT DISTINCT source, url FROM hosts
+  WHERE substr(md5(url), 1, 12) NOT IN (SELECT substr(md5(url), 1, 12) FROM pages WHERE starts_with(url, 'http://'))"""))
 def _(t):
     from tracegraph.functions.text import short_md5
     done = t.pages.filter("url LIKE 'http://%'").select(short_md5("url").alias("hash")).distinct()
-    open_ = t.hosts.select("source", "url").distinct().withColumn("hash", short_md5("url")).join(done, "hash", "left_anti")
-    parts = [open_.filter(F.col("source") == s).orderBy(F.md5("url"), "url").limit(60) for s in ("observed", "lookalike")]
-    return parts[0].unionByName(parts[1]).select("source", "url")
+    return t.hosts.select("source", "url").distinct().withColumn("hash", short_md5("url")).join(done, "hash", "left_anti").select("source", "url")
 
 
 # ---------------------------------------------------------------- robustness transforms
@@ -450,33 +450,33 @@ def _(t):
 
 BEN = URL_CTE + """,
 bl AS (SELECT uv.*, y FROM uv JOIN tr USING (trace_id) WHERE success),
-pool AS (SELECT row_number() OVER (ORDER BY md5('7|' || trace_id), trace_id) - 1 AS slot, url_len AS bu, domain_len AS bd FROM bl WHERE y = 0)"""
+pool AS (SELECT row_number() OVER (ORDER BY md5('7|' || trace_id), trace_id) - 1 AS slot, """ + ", ".join(f"{c} AS b_{c}" for c in fixed.URL_COLS) + " FROM bl WHERE y = 0)"
 
 
 def blend_sql(k: float) -> str:
-    return f"""SELECT trace_id, {R(f'CASE WHEN bu IS NULL THEN url_len ELSE {k} * bu + (1 - {k}) * url_len END')} AS url_len,
-  {R(f'CASE WHEN bd IS NULL THEN domain_len ELSE {k} * bd + (1 - {k}) * domain_len END')} AS domain_len FROM bl
+    cols = ", ".join(f"{R(f'CASE WHEN slot IS NULL THEN {c} ELSE {k} * b_{c} + (1 - {k}) * {c} END')} AS {c}" for c in fixed.URL_COLS)
+    return f"""SELECT trace_id, {cols} FROM bl
   LEFT JOIN pool ON y = 1 AND slot = {C48("'benign|' || trace_id")} % (SELECT count(*) FROM pool)"""
 
 
 def labelled_url(t):
-    return views.url_view(t.tr).select("trace_id", "url_len", "domain_len").join(t.tr.filter("success").select("trace_id", "y"), "trace_id")
+    return views.url_view(t.tr).select("trace_id", *fixed.URL_COLS).join(t.tr.filter("success").select("trace_id", "y"), "trace_id")
 
 
 @query("benign_replacement", sql(ALL + BEN, blend_sql(1.0)))
 def _(t):
-    return perturb.benign_replacement(labelled_url(t), ["url_len", "domain_len"]).select("trace_id", "url_len", "domain_len")
+    return perturb.benign_replacement(labelled_url(t), fixed.URL_COLS).select("trace_id", *fixed.URL_COLS)
 
 
 @query("benign_replacement_half", sql(ALL + BEN, blend_sql(0.5)))
 def _(t):
-    return perturb.benign_replacement(labelled_url(t), ["url_len", "domain_len"], 0.5).select("trace_id", "url_len", "domain_len")
+    return perturb.benign_replacement(labelled_url(t), fixed.URL_COLS, 0.5).select("trace_id", *fixed.URL_COLS)
 
 
-@query("mean_substitution", sql(ALL + BEN, f"""SELECT trace_id, {R('CASE WHEN y = 1 THEN (SELECT avg(bu) FROM pool) ELSE url_len END')} AS url_len,
-  {R('CASE WHEN y = 1 THEN (SELECT avg(bd) FROM pool) ELSE domain_len END')} AS domain_len FROM bl"""))
+@query("mean_substitution", sql(ALL + BEN, "SELECT trace_id, " + ", ".join(
+    f"{R(f'CASE WHEN y = 1 THEN (SELECT avg(b_{c}) FROM pool) ELSE {c} END')} AS {c}" for c in fixed.URL_COLS) + " FROM bl"))
 def _(t):
-    return perturb.mean_substitution(labelled_url(t), ["url_len", "domain_len"]).select("trace_id", "url_len", "domain_len")
+    return perturb.mean_substitution(labelled_url(t), fixed.URL_COLS).select("trace_id", *fixed.URL_COLS)
 
 
 def lexical(df):
@@ -491,14 +491,14 @@ cva AS (SELECT bl.trace_id, y, (bl.url_len > 30 AND bl.domain_len > 15)::BIGINT
 @query("clean_vs_attacked_join", sql(ALL + CVA, "SELECT trace_id, y::BIGINT AS y, clean_pred, attacked_pred FROM cva"))
 def _(t):
     d = labelled_url(t)
-    return stats.clean_vs_attacked(lexical(d), lexical(perturb.benign_replacement(d, ["url_len", "domain_len"])))
+    return stats.clean_vs_attacked(lexical(d), lexical(perturb.benign_replacement(d, fixed.URL_COLS)))
 
 
 @query("evasion_rate", sql(ALL + CVA, f"""SELECT count(*) FILTER (y = 1 AND clean_pred = 1) AS detected, count(*) FILTER (y = 1 AND clean_pred = 1 AND attacked_pred = 0) AS evaded,
   {R('count(*) FILTER (y = 1 AND clean_pred = 1 AND attacked_pred = 0) / greatest(1, count(*) FILTER (y = 1 AND clean_pred = 1))')} AS evasion_rate FROM cva"""))
 def _(t):
     d = labelled_url(t)
-    return stats.evasion_rate(stats.clean_vs_attacked(lexical(d), lexical(perturb.benign_replacement(d, ["url_len", "domain_len"]))))
+    return stats.evasion_rate(stats.clean_vs_attacked(lexical(d), lexical(perturb.benign_replacement(d, fixed.URL_COLS))))
 
 
 @query("robustness_report")
