@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
 from tracegraph.functions import ordered
+from tracegraph.operators import stats
 from tracegraph.sources.adapter import time_slice
 
 
@@ -63,3 +65,18 @@ def test_permuted_input_changes_nothing(events):
     a = ordered.sequence(events, ["trace_id"], ["tus", "event_id"], time_slice(), "idx", {"prev": "url"})
     b = ordered.sequence(events.orderBy(F.rand(1)).repartition(13), ["trace_id"], ["tus", "event_id"], time_slice(), "idx", {"prev": "url"})
     assert a.exceptAll(b.select(a.columns)).isEmpty()
+
+
+def test_scores_at_one_end(spark):
+    """Nine tenths of the scores crowd into a thousandth of the range; ranks and percentiles stay exact."""
+    rows = [(i % 3 == 0, 0.999 + i * 1e-7 if i % 10 else i / 1000) for i in range(1000)]
+    df = spark.createDataFrame([(int(y), s) for y, s in rows], "y int, score double")
+    pos, neg = ([s for y, s in rows if bool(y) is v] for v in (True, False))
+    auc = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+    assert abs(stats.roc_auc(df.withColumn("k", F.lit(1)), ["k"]).first()["auc"] - auc) < 1e-9
+    got = ordered.exact_percentiles(df, "score", {"a": 0.3, "b": 0.9}).first()
+    want = np.percentile([s for _, s in rows], [30, 90])
+    assert abs(got["a"] - want[0]) < 1e-12 and abs(got["b"] - want[1]) < 1e-12
+    band = df.select("score").distinct()
+    sizes = ordered.with_band(band, "score", 16).groupBy("_band").count().toPandas()["count"]
+    assert sizes.max() < 4 * len(rows) / 16

@@ -91,12 +91,19 @@ def hash_order(seed: int, *cols: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
 
 
-def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float], bands: int = 1024,
-                      low: float = 0.0, high: float = 1.0) -> DataFrame:
+def with_band(df: DataFrame, value: str, bands: int) -> DataFrame:
+    """Add ``_band``, the number of the band of ``value``; band edges are approximate quantiles of its distinct
+    values, so bands fill evenly wherever the values crowd."""
+    steps = [i / bands for i in range(1, bands)]
+    edges = df.select(value).distinct().agg(F.percentile_approx(value, steps, 10 * bands).alias("e")).scalar()
+    v = F.col(value)
+    return df.withColumn("_e", edges).withColumn("_band", F.size(F.filter("_e", lambda e: e < v))).drop("_e")
+
+
+def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float], bands: int = 256) -> DataFrame:
     """Percentiles with linear interpolation as one row, by ranking distinct values in bands."""
     counts = df.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    band = F.greatest(F.lit(0), F.least(F.lit(bands - 1), F.floor((F.col("v") - low) / (high - low) * bands)))
-    ranked = running(counts, [], ["v"], band, {"upto": "n"})
+    ranked = running(with_band(counts, "v", bands), [], ["v"], F.col("_band"), {"upto": "n"})
     total = counts.agg(F.sum("n").alias("total"))
     ranked = ranked.withColumn("total", total.scalar())
     aggs = []

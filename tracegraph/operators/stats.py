@@ -61,8 +61,7 @@ def roc_auc(df: DataFrame, keys: list[str], label: str = "y", score: str = "scor
     """Area under the curve with half credit for ties, from running sums over distinct scores."""
     pairs = df.groupBy(*keys, F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("pos"),
                                                            F.count_if(F.col(label) != 1).alias("neg"))
-    band = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("s"))) * bands)
-    r = ordered.running(pairs, keys, ["s"], band, {"below": "neg"}, inclusive=False)
+    r = ordered.running(ordered.with_band(pairs, "s", bands), keys, ["s"], F.col("_band"), {"below": "neg"}, inclusive=False)
     a = r.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"),
                              F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return a.select(*keys, F.when(F.col("p") * F.col("n") > 0, F.col("u") / (F.col("p") * F.col("n"))).alias("auc"))

@@ -69,11 +69,11 @@ def _(t):
     return feeds.url_list_scan(t.spark, path).select("label", "url", "domain")
 
 
-@query("source_fallback", sql(ALL, """SELECT CASE WHEN nt >= 100 THEN 'traces' ELSE 'urls' END AS data_source, CASE WHEN nt >= 100 THEN nt ELSE np END AS n
-  FROM (SELECT (SELECT count(*) FROM tr) AS nt, (SELECT count(*) FROM pages) AS np)"""))
+@query("source_fallback", sql(ALL, """SELECT CASE WHEN nf >= 100 THEN 'confirmed' WHEN nt >= 100 THEN 'traces' ELSE 'urls' END AS data_source,
+  CASE WHEN nf >= 100 THEN nf WHEN nt >= 100 THEN nt ELSE np END AS n
+  FROM (SELECT (SELECT count(*) FROM tr WHERE y = 1) AS nf, (SELECT count(*) FROM tr) AS nt, (SELECT count(*) FROM pages) AS np)"""))
 def _(t):
-    nothing = t.pages.filter("page_id < 0").select("url")
-    d = traces.source_fallback([("features", nothing), ("traces", t.tr.select("url")), ("urls", t.pages.select("url"))])
+    d = traces.source_fallback([("confirmed", t.tr.filter("y = 1").select("url")), ("traces", t.tr.select("url")), ("urls", t.pages.select("url"))])
     return d.groupBy("data_source").agg(F.count(F.lit(1)).alias("n"))
 
 

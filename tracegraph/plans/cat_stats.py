@@ -508,15 +508,17 @@ def _(t):
         ev = land(ev, "attacked")
         nodes, edges = land(graph.itg_nodes(tr, ev, t.rd), "nodes"), graph.itg_edges(ev, t.rd)
         s = graph.sensitive_field_stats(nodes).join(graph.url_node_stats(nodes), "trace_id").join(
-            graph.degree_stats(nodes, edges), "trace_id").withColumn("clustering_coefficient", F.lit(0.0)).withColumn(
+            graph.degree_stats(nodes, edges), "trace_id").join(graph.clustering(nodes, edges), "trace_id").withColumn(
             "form_to_node_ratio", F.col("num_forms") / F.col("num_nodes"))
-        v = rules.risk_patterns(s).select("trace_id", (F.col("risk_score") > 0.4).cast("int").alias("pred"))
+        v = rules.heuristic_verdict(s).select("trace_id", F.col("is_phishing").alias("pred"))
         return land(v.join(t.tr.select("trace_id", "y"), "trace_id"), "verdict")
 
     clean = verdict(t.tr, t.ev)
     attacks = {"inject_nodes": (t.tr, perturb.inject_nodes(t.tr, t.ev)), "rewire_edges": (t.tr, perturb.rewire_edges(t.ev)),
                "inflate_graph": (t.tr, perturb.inflate_graph(t.tr, t.ev)), "decoy_links": (t.tr, perturb.decoy_links(t.tr, t.ev)),
-               "form_step_split": (t.tr, perturb.form_step_split(t.ev))}
+               "combined_structural": (t.tr, perturb.combined_structural(t.tr, t.ev)),
+               "decoy_navigation": (t.tr, perturb.decoy_navigation(t.tr, t.ev, t.rq)[0]),
+               "url_camouflage": (perturb.url_camouflage(t.tr), t.ev), "form_step_split": (t.tr, perturb.form_step_split(t.ev))}
     out = None
     for name, (tr, ev) in attacks.items():
         hit = verdict(tr, ev)
