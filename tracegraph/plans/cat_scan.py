@@ -28,30 +28,71 @@ def visit_docs(t):
                     urls.domain_of("page_url").alias("domain"), F.lit(1).alias("forms_submitted"), inner.alias("trace"))
 
 
+CHUNK = 16  # events in one document; a trace of any length becomes several
+
+
+def chunk_docs(t):
+    """Documents of up to CHUNK neighbouring events of a trace, with missing members, null statuses, map fields and hops."""
+    e = t.ev.join(t.rq.select("trace_id", "event_id", "resource_type", "status", "content_type"), ["trace_id", "event_id"])
+    step = F.struct("raw_idx", "tus", "event_type", "element_tag", "element_id", "url_before", "url_after", "form_field", "page_url", "resource_type",
+                    "status", "content_type")
+
+    def members(x):
+        at = (x["tus"] / 1e6).alias("timestamp")
+        fields = F.when(x["form_field"] != "", F.create_map(x["form_field"], F.lit("x"))).alias("form_data")
+        event = F.struct(at, *[x[c].alias(c) for c in ("event_type", "element_tag", "element_id", "url_before", "url_after")], fields)
+        return F.struct(event.alias("e"), F.struct(x["page_url"].alias("url"), F.lit("GET").alias("method"), x["resource_type"].alias("resource_type"),
+                                                   x["status"].alias("status"), x["content_type"].alias("content_type"), at).alias("r"))
+
+    part = F.floor(F.col("raw_idx") / CHUNK)
+    d = e.groupBy("trace_id", part.alias("part")).agg(F.transform(F.array_sort(F.collect_list(step)), members).alias("s")).join(
+        t.tr.select("trace_id", "y", "success"), "trace_id")
+    pages = F.col("s.r.url")
+    inner = F.struct(pages[0].alias("url"), F.col("s")[F.size("s") - 1]["e"]["url_after"].alias("final_url"), pages.alias("redirects"),
+                     F.col("s.e").alias("events"), F.col("s.r").alias("network_requests"))
+    # every third document keeps its members at the top, as some recorders write them
+    flat = F.col("part") % 3 == 2
+    return d.select(pages[0].alias("url"), F.md5(F.concat_ws("|", "trace_id", "part")).alias("hash"),
+                    F.when(F.col("y") == 1, "phishing").otherwise("benign").alias("label"), "success",
+                    F.when(flat, F.col("s.e")).alias("events"), F.when(flat, F.col("s.r")).alias("network_requests"), F.when(flat, pages).alias("redirects"),
+                    F.when(~flat, inner).alias("trace"))
+
+
 def landed_docs(t):
     path = scratch_path(t.spark, "documents")
-    docs = visit_docs(t)
+    docs = chunk_docs(t)
     for label in ("phishing", "benign"):
         docs.filter(F.col("label") == label).drop("label").write.json(f"{path}/{label}")
     return path
 
 
-@query("trace_scan", sql(ALL, """SELECT md5(e.event_id::VARCHAR) AS hash, e.page_url AS url, y::BIGINT AS y, e.event_type FROM ev e JOIN tr USING (trace_id) WHERE success"""))
+CHUNKS = """,
+cd AS (SELECT e.*, raw_idx // 16 AS part, raw_idx % 16 AS pos, md5(trace_id || '|' || (raw_idx // 16)) AS hash FROM ev e)"""
+
+
+@query("trace_scan", sql(ALL + CHUNKS, """SELECT hash, arg_min(page_url, raw_idx) AS url, any_value(y)::BIGINT AS y, count(*) AS n_events,
+  string_agg(event_type, ',' ORDER BY raw_idx) AS kinds FROM cd JOIN (SELECT trace_id, y, success FROM tr) tr USING (trace_id) WHERE success GROUP BY hash"""))
 def _(t):
-    d = traces.trace_scan(t.spark, landed_docs(t))
-    return d.select("hash", "url", "y", F.col("trace.events")[0]["event_type"].alias("event_type"))
+    d = traces.trace_scan(t.spark, landed_docs(t)).withColumn("kinds", F.coalesce(F.col("trace.events.event_type"), F.col("events.event_type")))
+    return d.select("hash", "url", "y", F.size("kinds").alias("n_events"), F.array_join("kinds", ",").alias("kinds"))
 
 
-@query("trace_scan_all", sql(ALL, """SELECT y::BIGINT AS y, success::BIGINT AS success, count(*) AS n, count(DISTINCT e.page_url) AS n_urls FROM ev e JOIN tr USING (trace_id) GROUP BY 1, 2"""))
+@query("trace_scan_all", sql(ALL + CHUNKS, """SELECT y::BIGINT AS y, success::BIGINT AS success, count(*) AS n, count(DISTINCT url) AS n_urls FROM (
+  SELECT hash, any_value(y) AS y, any_value(success) AS success, arg_min(page_url, raw_idx) AS url FROM cd JOIN (SELECT trace_id, y, success FROM tr) tr USING (trace_id) GROUP BY hash) GROUP BY 1, 2"""))
 def _(t):
     d = traces.trace_scan_all(t.spark, landed_docs(t))
     return d.groupBy("y", "success").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("url").alias("n_urls"))
 
 
-@query("trace_flatten", sql(ALL, """SELECT md5(e.event_id::VARCHAR) AS trace_id, e.event_type, e.url_after, r.resource_type, r.status::BIGINT AS status, e.form_field FROM ev e JOIN rq r USING (trace_id, event_id)"""))
+@query("trace_flatten", sql(ALL + CHUNKS, """SELECT hash AS trace_id, pos::BIGINT AS pos, event_type, url_after, resource_type, status::BIGINT AS status, form_field, page_url AS hop,
+  lag(page_url) OVER (PARTITION BY hash ORDER BY raw_idx) AS prev_url
+  FROM cd JOIN (SELECT trace_id, event_id, resource_type, status FROM rq) r USING (trace_id, event_id)"""))
 def _(t):
     f = traces.trace_flatten(traces.trace_scan(t.spark, landed_docs(t), only_success=False))
-    return f["ev"].select("trace_id", "event_type", "url_after", "form_field").join(f["rq"].select("trace_id", "resource_type", "status"), "trace_id")
+    rq = f["rq"].select("trace_id", F.col("event_id").alias("pos"), "resource_type", "status")
+    rd = f["rd"].select("trace_id", "pos", F.col("url").alias("hop"), "prev_url")
+    ev = f["ev"].select("trace_id", F.col("raw_idx").alias("pos"), "event_type", "url_after", "form_field")
+    return ev.join(rq, ["trace_id", "pos"]).join(rd, ["trace_id", "pos"])
 
 
 @query("feature_scan", sql(G_ALL + ITG_CTE, "SELECT trace_id, " + ", ".join(f"{R(c)} AS {c}" for c in fixed.ITG_COLS) + ", CASE WHEN y = 1 THEN 'phishing' ELSE 'benign' END AS label FROM itg JOIN tr USING (trace_id)"))
