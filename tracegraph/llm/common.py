@@ -6,13 +6,33 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tracegraph.session import land, prepare, scratch_path
+from tracegraph.session import prepare, scratch_path
 
-__all__ = ["WORD", "fresh", "held_out", "hash60", "land", "prepare", "scratch_path", "table", "word_count"]
+__all__ = ["WORD", "drop_landed", "fresh", "held_out", "hash60", "land", "prepare", "scratch_path", "table", "word_count"]
 
 WORD = r"[^\x20\x09-\x0D]+"  # fixed: a word is a maximal run without ASCII white space
 
 
+_landed: dict[str, list[str]] = {}
+
+
+def land(df: DataFrame, name: str) -> DataFrame:
+    """Write an operator's table to the shared folder and read it back; ``drop_landed`` removes it."""
+    spark = df.sparkSession
+    target = scratch_path(spark, name)
+    _landed.setdefault(spark.sparkContext.applicationId, []).append(target)
+    df.write.parquet(target)
+    return spark.read.schema(df.schema).parquet(target)
+
+
+def drop_landed(spark: SparkSession) -> None:
+    """Delete the tables that operators have landed so far. For callers whose results are stored elsewhere."""
+    conf, hadoop = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in _landed.pop(spark.sparkContext.applicationId, []):
+        target = hadoop.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
