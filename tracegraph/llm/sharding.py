@@ -31,12 +31,11 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, order: str = "doc_id", text
     """
     body = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b""))
     src = docs.select(
-        F.struct(F.col(f"`{order}`").alias("key"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]).alias("row"),
-        (F.octet_length(body) + F.lit(1)).cast("bigint").alias("size"),
-        F.crc32(body).alias("text_crc32"),
-        F.monotonically_increasing_id().alias("seq"),
-    )
-    ranged = src.repartitionByRange("row.key", "text_crc32", "seq").withColumn("part", F.spark_partition_id())
+        F.monotonically_increasing_id().alias("seq"), F.col(f"`{order}`").alias("key"), (F.octet_length(body) + F.lit(1)).cast("bigint").alias("size"),
+        F.crc32(body).alias("text_crc32"), F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]).alias("row"))
+    if carry:
+        src = land(src, "carried")  # the wide rows stay where they are until their places are known
+    ranged = src.drop("row").repartitionByRange("key", "text_crc32", "seq").withColumn("part", F.spark_partition_id())
     laid = land(ranged, "byte-ranges")
 
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
@@ -47,7 +46,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, order: str = "doc_id", text
         F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"),
         F.sum("bytes").over(W.partitionBy()).alias("all_bytes"),
     )
-    running = W.partitionBy("part").orderBy("row.key", "text_crc32", "seq")
+    running = W.partitionBy("part").orderBy("key", "text_crc32", "seq")
     end = F.sum("size").over(running.rowsBetween(W.unboundedPreceding, 0))
     # offsets: one row per partition of the range exchange, a bound set by the session
     placed = (
@@ -58,10 +57,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, order: str = "doc_id", text
         .withColumn("at", F.col("rows_before") + F.col("nth") - 1)
     )
     first = placed.groupBy("shard").agg(F.min("at").alias("first"))  # at most `shards` rows
-    return placed.join(F.broadcast(first), "shard").select(
-        F.col("row.key").alias(order), *[F.col(f"row.c{i}").alias(c) for i, c in enumerate(carry)],
-        "size", "text_crc32", "shard", (F.col("at") - F.col("first")).alias("slot"),
-    )
+    out = placed.join(F.broadcast(first), "shard").select("seq", "key", "size", "text_crc32", "shard", (F.col("at") - F.col("first")).alias("slot"))
+    if carry:
+        out = out.join(src.select("seq", "row"), "seq")
+    return out.select(F.col("key").alias(order), *[F.col(f"row.c{i}").alias(c) for i, c in enumerate(carry)], "size", "text_crc32", "shard", "slot")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
