@@ -1,32 +1,38 @@
 """A corpus pipeline of five operators: quality, near-duplicates, benchmarks, source mix, shards.
 
 Every stage takes the whole table that its predecessor kept. ``run`` writes each stage's rows to the
-shared folder and reads them back, so a lost executor costs one stage at most.
+shared folder and reads them back, so a lost executor costs one stage at most. A stage begins by
+deleting the tables that operators of earlier stages have landed: their results are written by then.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracegraph.llm import decontaminate, mixing, quality_model, sharding, simhash
-from tracegraph.llm.common import WORD, fresh, land, table
+from tracegraph.llm.common import WORD, drop_landed, fresh, land, table
+from tracegraph.session import land as keep
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the compression classifier rejects."""
+    drop_landed(spark)
     return quality_model.keep_good(spark, docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each near-duplicate group."""
+    drop_landed(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold benchmark passages."""
+    drop_landed(spark)
     return decontaminate.drop_contaminated(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -38,36 +44,35 @@ def _cut(text: str, ranges: list[dict], word) -> str:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: each document as often as it is taken, a partial copy cut to its words; n_chars follows the text."""
+    drop_landed(spark)
     columns, schema = docs.columns, docs.schema
-    mixed = mixing.mix(docs, carry=columns)
-    # the mix returns doc_id once more: take the carried columns by their place
-    picked = mixed.toDF(*[f"m{i}" for i in range(len(mixed.columns))])
-    first, last = 1, len(columns)
-    rows = picked.select(*[F.col(f"m{first + i}").alias(c) for i, c in enumerate(columns)],
-                         F.col(f"m{len(mixed.columns) - 2}").alias(fresh(columns, "_copies")), F.col(f"m{len(mixed.columns) - 1}").alias(fresh(columns, "_cuts")))
-    copies, cuts = rows.columns[last], rows.columns[last + 1]
-    whole = rows.filter(F.col(copies) > 0).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
-    part = rows.filter(F.size(cuts) > 0)
+    rows = decontaminate.numbered(docs, columns)
+    taken = mixing.mix(rows.select("row", "doc.doc_id", "doc.text", "doc.source"), carry=["row"])
+    copies = land(taken.filter("taken > 0").select("row", "copies", "cuts"), "copies")
+    none = F.array().cast(copies.schema["cuts"].dataType)
+    each = F.concat(F.array_repeat(none, F.col("copies").cast("int")), F.when(F.size("cuts") > 0, F.array("cuts")).otherwise(F.array()))
+    cuts = fresh(columns, "_cuts")
     text, chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else -1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
         word = re.compile(WORD)
         for batch in batches:
-            texts = [_cut(t, c, word) for t, c in zip(batch.column(text).to_pylist(), batch.column(len(columns)).to_pylist())]
             cols = list(batch.columns[:len(columns)])
-            cols[text] = pa.array(texts, pa.string())
-            if chars >= 0:
-                cols[chars] = pa.array([len(t) for t in texts], pa.int64()).cast(cols[chars].type)
+            ranges = batch.column(len(columns)).to_pylist()
+            if any(ranges):
+                texts = [_cut(t, c, word) if c else t for t, c in zip(cols[text].to_pylist(), ranges)]
+                cols[text] = pa.array(texts, cols[text].type)
+                if chars >= 0:
+                    own = cols[chars].to_pylist()
+                    cols[chars] = pa.array([len(t) if c else n for t, c, n in zip(texts, ranges, own)], cols[chars].type)
             yield pa.RecordBatch.from_arrays(cols, names=columns)
 
-    pieces = part.select(*[f"`{c}`" for c in columns], cuts).mapInArrow(cut, schema)
-    return whole.select(*[f"`{c}`" for c in columns]).union(pieces)
+    return rows.join(copies, "row").select("doc.*", F.explode(each).alias(cuts)).mapInArrow(cut, schema)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its shard of eight of nearly equal bytes and its place there."""
+    drop_landed(spark)
     return sharding.shard_by_bytes(docs, shards=8, carry=[c for c in docs.columns if c != "doc_id"])
 
 
@@ -86,5 +91,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = land(stage(spark, docs, sf_dir), name)
+        docs = keep(stage(spark, docs, sf_dir), name)
     return docs
