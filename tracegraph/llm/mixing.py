@@ -94,8 +94,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), factor: float = 1
         "target", "seats", [], ["key"]).withColumnRenamed("quota", "source_quota")
     cells_of = F.greatest(F.lit(1), F.ceil(F.col("docs") / CELL_DOCS)).cast("bigint")
     placed = sized.join(quotas.select("key", "source_size", "target", "docs", "source_quota"), "key").withColumn("cell", F.col("h") % cells_of)
+    # one column names the cell, so that a partitioning by source alone does not do for what follows
+    placed = placed.withColumn("stream", F.concat_ws(" ", "cell", "key"))
 
-    cells = placed.groupBy("key", "cell").agg(F.sum("size").alias("words"), F.first("source_quota").alias("source_quota"))
+    cells = placed.groupBy("stream").agg(F.first("key").alias("key"), F.first("cell").alias("cell"), F.sum("size").alias("words"),
+                                         F.first("source_quota").alias("source_quota"))
     cells = cells.withColumn("shard", F.floor(F.col("cell") / SHARD_CELLS))
     shards = cells.groupBy("key", "shard").agg(F.sum("words").alias("shard_words"), F.first("source_quota").alias("source_quota"))
     shards = sainte_lague(shards, "shard_words", "source_quota", ["key"], ["shard"]).select(
@@ -103,14 +106,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), factor: float = 1
     cells = sainte_lague(cells.drop("source_quota").join(shards, ["key", "shard"]), "words", "shard_quota", ["key", "shard"], ["cell"])
     cells = cells.withColumn("blocks", F.ceil(F.col("words") / block_words)).withColumn(
         "quota", F.least("quota", most * F.col("blocks"))).select(
-        "key", "cell", "words", "blocks",
+        "stream", "words", "blocks",
         F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(0).alias("copies"),
         F.when(F.col("blocks") > 0, F.col("quota") % F.col("blocks")).otherwise(0).alias("extra"),
         F.when(F.col("blocks") > 0, hash60(F.lit(f"{seed} start"), F.col("key"), F.col("cell").cast("string")) % F.col("blocks")).otherwise(0).alias("start"))
 
-    # one column names the cell, so that a partitioning by source alone does not do for the window
-    cells = cells.select(F.concat_ws(" ", "cell", "key").alias("stream"), *[c for c in cells.columns if c not in ("key", "cell")])
-    placed = placed.withColumn("stream", F.concat_ws(" ", "cell", "key")).drop("key", "cell")
+    placed = placed.drop("key", "cell")
     stream = W.partitionBy("stream").orderBy("h", F.col("doc_id").asc_nulls_first(), "size", "t")
     to = F.sum("size").over(stream.rowsBetween(W.unboundedPreceding, 0))
     x = placed.withColumn("to", to).join(cells, "stream").withColumn("from", F.col("to") - F.col("size"))
