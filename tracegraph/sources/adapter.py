@@ -60,7 +60,8 @@ class Tables:
             "event_id", "user_id", tus.alias("tus"), F.col("event_type").alias("kind"), k.alias("k"))
         e = e.withColumn("trace_id", F.col("user_id") * 100 + F.floor((F.col("tus") - BASE_MICROS) / WEEK))
         e = e.withColumn("page_id", F.col("k") % self.n_pages)
-        return e.join(self.pages.withColumnRenamed("url", "page_url"), "page_id")
+        # events are parsed and joined once; ev, rq, rd and tr read the result
+        return land(e.join(self.pages.withColumnRenamed("url", "page_url"), "page_id"), "visits")
 
     @cached_property
     def ev(self) -> DataFrame:
