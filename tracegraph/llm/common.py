@@ -3,33 +3,46 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracegraph.session import prepare, scratch_path
 
-__all__ = ["WORD", "drop_landed", "fresh", "held_out", "hash60", "land", "prepare", "scratch_path", "table", "word_count"]
+__all__ = ["WORD", "delete", "fresh", "held_out", "hash60", "land", "noting", "prepare", "scratch_path", "table", "word_count"]
 
 WORD = r"[^\x20\x09-\x0D]+"  # fixed: a word is a maximal run without ASCII white space
 
 
-_landed: dict[str, list[str]] = {}
+_notes: ContextVar[list[str] | None] = ContextVar("notes", default=None)
 
 
 def land(df: DataFrame, name: str) -> DataFrame:
-    """Write an operator's table to the shared folder and read it back; ``drop_landed`` removes it."""
+    """Write a table to the shared folder and read it back. Inside ``noting`` its path is noted."""
     spark = df.sparkSession
     target = scratch_path(spark, name)
-    _landed.setdefault(spark.sparkContext.applicationId, []).append(target)
+    if (noted := _notes.get()) is not None:
+        noted.append(target)
     df.write.parquet(target)
     return spark.read.schema(df.schema).parquet(target)
 
 
-def drop_landed(spark: SparkSession) -> None:
-    """Delete the tables that operators have landed so far. For callers whose results are stored elsewhere."""
+@contextmanager
+def noting(paths: list[str]):
+    """Note the tables that are landed inside, so that ``delete`` can remove them once their readers are done."""
+    token = _notes.set(paths)
+    try:
+        yield
+    finally:
+        _notes.reset(token)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete noted tables and clear the list."""
     conf, hadoop = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs
-    for path in _landed.pop(spark.sparkContext.applicationId, []):
-        target = hadoop.Path(path)
+    while paths:
+        target = hadoop.Path(paths.pop())
         target.getFileSystem(conf).delete(target, True)
 
 
