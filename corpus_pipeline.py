@@ -9,30 +9,47 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracegraph.llm import decontaminate, mixing, quality_model, sharding, simhash
-from tracegraph.llm.common import WORD, drop_landed, fresh, land, table
+from tracegraph.llm.common import WORD, delete, fresh, land, noting, table
 from tracegraph.session import land as keep
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_landed: dict[str, list[str]] = {}  # by application: what the last stage landed
 
+
+def staged(stage: Stage) -> Stage:
+    """A stage that first deletes what the stage before it has landed; tables landed by anything else stay."""
+
+    @wraps(stage)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        paths = _landed.setdefault(spark.sparkContext.applicationId, [])
+        delete(spark, paths)
+        with noting(paths):
+            return stage(spark, docs, sf_dir)
+
+    return call
+
+
+@staged
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the compression classifier rejects."""
-    drop_landed(spark)
     return quality_model.keep_good(spark, docs, table(spark, sf_dir, "labels"))
 
 
+@staged
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each near-duplicate group."""
-    drop_landed(spark)
     return simhash.drop_near_duplicates(docs)
 
 
+@staged
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold benchmark passages."""
-    drop_landed(spark)
     return decontaminate.drop_contaminated(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -42,9 +59,9 @@ def _cut(text: str, ranges: list[dict], word) -> str:
     return "\n".join(text[ends[r["from"]][0]:ends[r["to"] - 1][1]] for r in ranges)
 
 
+@staged
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: each document as often as it is taken, a partial copy cut to its words; n_chars follows the text."""
-    drop_landed(spark)
     columns, schema = docs.columns, docs.schema
     rows = decontaminate.numbered(docs, columns)
     taken = mixing.mix(rows.select("row", "doc.doc_id", "doc.text", "doc.source"), carry=["row"])
@@ -70,13 +87,13 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return rows.join(copies, "row").select("doc.*", F.explode(each).alias(cuts)).mapInArrow(cut, schema)
 
 
+@staged
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its shard of eight of nearly equal bytes and its place there."""
-    drop_landed(spark)
     return sharding.shard_by_bytes(docs, shards=8, carry=[c for c in docs.columns if c != "doc_id"])
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality_classifier", quality_stage),
     ("simhash_near_dedup", near_duplicate_stage),
     ("benchmark_decontamination", decontamination_stage),
