@@ -84,19 +84,19 @@ def _(t):
 
 
 PR = """,
-prs AS MATERIALIZED (SELECT trace_id, src, dst, weight / sum(weight) OVER (PARTITION BY trace_id, src) AS p, FALSE AS own FROM edges
+rank_steps AS MATERIALIZED (SELECT trace_id, src, dst, weight / sum(weight) OVER (PARTITION BY trace_id, src) AS p, FALSE AS own FROM edges
    UNION ALL SELECT trace_id, node, node, 0.0, TRUE FROM nodes),
-prn AS MATERIALIZED (SELECT trace_id, node, count(*) OVER (PARTITION BY trace_id) AS n, (trace_id, node) NOT IN (SELECT (trace_id, src) FROM edges) AS loose FROM nodes),
-pr AS (SELECT trace_id, node, n, loose, 1.0::DOUBLE / n AS x, 0 AS k, FALSE AS done FROM prn
+rank_start AS MATERIALIZED (SELECT trace_id, node, count(*) OVER (PARTITION BY trace_id) AS n, (trace_id, node) NOT IN (SELECT (trace_id, src) FROM edges) AS loose FROM nodes),
+rank_walk AS (SELECT trace_id, node, n, loose, 1.0::DOUBLE / n AS x, 0 AS k, FALSE AS done FROM rank_start
    UNION ALL SELECT trace_id, node, n, loose, y, k + 1, sum(abs(y - x)) OVER (PARTITION BY trace_id) < n * 1e-6 FROM (
      SELECT c.trace_id, s.dst AS node, max(n) AS n, bool_or(loose) FILTER (own) AS loose, max(x) FILTER (own) AS x,
             0.85::DOUBLE * (sum(x * p) + max(lost) / max(n)) + 0.15::DOUBLE / max(n) AS y, max(k) AS k
-     FROM (SELECT *, coalesce(sum(x) FILTER (loose) OVER (PARTITION BY trace_id), 0) AS lost FROM pr WHERE NOT done AND k < 100) c
-     JOIN prs s ON s.trace_id = c.trace_id AND s.src = c.node GROUP BY 1, 2)),
-prm AS MATERIALIZED (SELECT trace_id, max(x) AS pagerank_max FROM pr WHERE done OR k = 100 GROUP BY 1)"""
+     FROM (SELECT *, coalesce(sum(x) FILTER (loose) OVER (PARTITION BY trace_id), 0) AS lost FROM rank_walk WHERE NOT done AND k < 100) c
+     JOIN rank_steps s ON s.trace_id = c.trace_id AND s.src = c.node GROUP BY 1, 2)),
+rank_best AS MATERIALIZED (SELECT trace_id, max(x) AS pagerank_max FROM rank_walk WHERE done OR k = 100 GROUP BY 1)"""
 
 
-@query("pagerank_max", sql(G_ALL + PR, f"SELECT trace_id, {R('pagerank_max')} AS pagerank_max FROM prm"))
+@query("pagerank_max", sql(G_ALL + PR, f"SELECT trace_id, {R('pagerank_max')} AS pagerank_max FROM rank_best"))
 def _(t):
     return t.paths.select("trace_id", "pagerank_max")
 
@@ -247,7 +247,7 @@ itg AS (SELECT nn.trace_id, nn.n AS num_nodes, coalesce(m, 0) AS num_edges, {DIV
    requests_sensitive_data, credential_fields_count, financial_fields_count
    FROM nn LEFT JOIN dg USING (trace_id) JOIN cl USING (trace_id) JOIN ubest USING (trace_id) JOIN clo USING (trace_id)
    LEFT JOIN bmax USING (trace_id) JOIN sens USING (trace_id) JOIN urln USING (trace_id) JOIN tim USING (trace_id)
-   JOIN rdep USING (trace_id) JOIN prm USING (trace_id))"""
+   JOIN rdep USING (trace_id) JOIN rank_best USING (trace_id))"""
 
 
 @query("itg_view", sql(G_ALL + ITG_CTE, f"SELECT trace_id, {ROUND(fixed.ITG_COLS)} FROM itg"))
