@@ -35,6 +35,15 @@ def texts_of(docs: DataFrame, chosen: DataFrame, key: str = "doc_id", text: str
     return d.join(F.broadcast(chosen), "key").groupBy(*chosen.columns).agg(F.min("text").alias("text"))
 
 
+def fit_curve(measured: DataFrame, width: int) -> Logistic:
+    """The curve of (y, x) rows, a bounded sample; they are put in one order here, so that reruns agree to the last digit."""
+    rows = measured.toPandas()
+    x = np.array(rows["x"].tolist(), dtype=float).reshape(-1, width)
+    y = rows["y"].to_numpy(dtype=float)
+    order = np.lexsort((*x.T, y))
+    return Logistic.fit(x[order], y[order])
+
+
 @dataclass(frozen=True)
 class Logistic:
     """P(y = 1) of standardised features; a fit without both classes gives the share of ones (one half without rows)."""

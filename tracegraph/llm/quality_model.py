@@ -16,7 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tracegraph.llm.calibrate import Logistic, for_curve, sample, texts_of, training_labels
+from tracegraph.llm.calibrate import Logistic, fit_curve, for_curve, sample, texts_of, training_labels
 from tracegraph.llm.common import fresh, hash60, land
 
 BLOCK = 2048
@@ -115,8 +115,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str =
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(parts, pa.binary())], names=["y", "block"])
 
     drawn = texts.filter("part = 'd' AND text <> ''").select("y", hash60(F.col("key").cast("string")).alias("h"), "text")
-    got = drawn.mapInArrow(cut, "y int, block binary").orderBy("y", "block").toPandas()
-    good, bad = (train_dictionary([bytes(b) for b in got.loc[got["y"] == y, "block"]]) for y in (1, 0))
+    got = drawn.mapInArrow(cut, "y int, block binary").toPandas()
+    good, bad = (train_dictionary(sorted(bytes(b) for b in got.loc[got["y"] == y, "block"])) for y in (1, 0))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = Compressors(good, bad)
@@ -124,9 +124,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str =
             x = [list(tools.features(t.as_py())) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
-    fit = texts.filter("part = 'f'").select("key", "y", "text").mapInArrow(measure, "y int, x array<double>").orderBy("y", "x").toPandas()
-    x = np.array(fit["x"].tolist(), dtype=float).reshape(-1, 5)
-    return QualityModel(good, bad, Logistic.fit(x, fit["y"].to_numpy(dtype=float)))
+    fit = texts.filter("part = 'f'").select("key", "y", "text").mapInArrow(measure, "y int, x array<double>")
+    return QualityModel(good, bad, fit_curve(fit, 5))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
