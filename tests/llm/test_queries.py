@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tracegraph.llm.line_dedup import common_blocks
+from tracegraph.llm.line_dedup import common_blocks, dedup_lines
 from tracegraph.llm.queries import ORACLES, QUERIES
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -120,6 +120,27 @@ def test_line_dedup(spark, texts):
         assert (r.n_lines, r.n_removed, r.removed_lines) == (len(lines[r.doc_id]), len(at), ",".join(map(str, sorted(at))))
 
 
+def _stands_earlier(docs, min_words=20):
+    """For each document the lines that lie in a run of ``min_words`` words standing in any earlier one, run by run."""
+    out = {}
+    runs = lambda d: {(i, j) for i in range(len(d)) for j in range(i + 1, len(d) + 1) if sum(len(v.split()) for v in d[i:j]) >= min_words}
+    for k, d in enumerate(docs):
+        before = {tuple(e[i:j]) for e in docs[:k] for i, j in runs(e)}
+        out[k] = sorted({p for i, j in runs(d) if tuple(d[i:j]) in before for p in range(i, j)})
+    return out
+
+
+def test_line_dedup_against_all_earlier(spark):
+    rng = np.random.default_rng(7)
+    line = [f"{'abcdefghijklmn'[k]} " + " ".join(f"w{k}" for _ in range(n - 1)) for k, n in enumerate([12, 12, 3, 1, 8, 8, 8, 25, 19, 2, 4, 6, 1, 15])]
+    line = [v.rstrip() for v in line]
+    docs = [[line[0]], [line[1]], [line[0], line[1]], [line[0], line[1]], [line[9], line[3], line[10], line[8], line[3]], [line[8], line[3], line[9], line[10], line[3]]]
+    docs += [[line[k] for k in rng.integers(0, len(line), rng.integers(1, 9))] for _ in range(60)]
+    df = spark.createDataFrame([(i, "\n".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: r.removed for r in dedup_lines(df).collect()}
+    assert got[3] == [0, 1] and got == _stands_earlier(docs)
+
+
 def test_pipeline(spark):
     """Each stage on the rows of the one before, by a plain version in the driver."""
     import corpus_pipeline as cp

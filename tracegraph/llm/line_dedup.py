@@ -1,20 +1,23 @@
 """Line de-duplication by pairwise alignment.
 
-Every line that stands in several documents points to the earliest document that holds it; a
-document is paired with each document that its lines point to. So the pairs come from the lines
-they share, one for each rare line or the many holders of a common one with its first holder, and
-grow with the shared lines, never with the square of a group. The two documents of a pair are
-aligned by patience diff over their shared lines, and aligned blocks of enough words go from the later one.
+Every line that stands in several documents points to the earliest document that holds it, and so does
+every shortest run of neighbouring lines with enough words; a document is paired with each document that
+its lines and runs point to. So the pairs grow with the shared lines, never with the square of a group,
+and whatever block stands in any earlier document, a pair holds each of its lines in a run of enough words.
+The two documents of a pair are aligned by patience diff over their shared lines, and aligned blocks of
+enough words go from the later one, with the runs that the alignment leaves over.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tracegraph.llm.common import WORD, fresh, land
 
@@ -66,11 +69,41 @@ def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     return out[:-1]
 
 
+def shortest_runs(body: Sequence[tuple], min_words: int) -> set[tuple[int, int]]:
+    """Runs of neighbouring lines, as (begin, end) into ``body``, that reach ``min_words`` and would not without their first or without their last line.
+
+    Every line of a block of ``min_words`` lies in such a run inside the block: in the shortest from the block's first line on, or else in
+    the shortest that ends with the line.
+    """
+    out, begin, words = set(), 0, 0
+    for end, (place, _, n) in enumerate(body):  # the shortest run that ends here
+        if end and place != body[end - 1][0] + 1:
+            begin, words = end, 0
+        words += n
+        while begin < end and words - body[begin][2] >= min_words:
+            words -= body[begin][2]
+            begin += 1
+        if words >= min_words:
+            out.add((begin, end + 1))
+    end, words = len(body), 0
+    for begin in range(len(body) - 1, -1, -1):  # the shortest run that begins here
+        if begin + 1 < len(body) and body[begin][0] + 1 != body[begin + 1][0]:
+            end, words = begin + 1, 0
+        words += body[begin][2]
+        while end > begin + 1 and words - body[end - 1][2] >= min_words:
+            end -= 1
+            words -= body[end][2]
+        if words >= min_words:
+            out.add((begin, end))
+    return out
+
+
 def common_blocks(later: Sequence[tuple], earlier: Sequence[tuple], min_words: int = MIN_WORDS) -> set[int]:
     """Lines of ``later`` in aligned blocks of ``min_words`` words or more; both are lists of (place, code, words).
 
     A block is a run of lines that are neighbours in both. Once deleted, the rest is aligned again, so that
-    blocks that stand in another order are found too.
+    blocks that stand in another order are found too. Where the alignment ends with lines left, runs that it passed
+    over (for a longer chain of small blocks, or with lines of a block that is gone) go as well.
     """
     gone: set[int] = set()
     shared = {c for _, c, _ in earlier}
@@ -88,7 +121,9 @@ def common_blocks(later: Sequence[tuple], earlier: Sequence[tuple], min_words: i
             last = place
         found = {rest[i][0] for block in blocks if sum(rest[i][2] for i in block) >= min_words for i in block}
         if not found:
-            return gone
+            codes = lambda body, run: tuple(c for _, c, _ in body[slice(*run)])
+            there = {codes(b, run) for run in shortest_runs(b, min_words)}
+            return gone | {later[k][0] for run in shortest_runs(later, min_words) if codes(later, run) in there for k in range(*run)}
         gone |= found
         rest = [x for x in rest if x[0] not in found]
     return gone
@@ -118,17 +153,41 @@ def _align(min_words: int):
     return run
 
 
+def _run_codes(min_words: int):
+    """From (row, key, body) to (row, key, run), a code for each shortest run of several lines; a run of one line is the line."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, codes = [], []
+            for k, body in enumerate(batch.column("body")):
+                triples = [(x["place"], x["code"], x["words"]) for x in body.as_py()]
+                new = {_code(c for _, c, _ in triples[i:j]) for i, j in shortest_runs(triples, min_words) if j - i > 1}
+                codes += new
+                at += [k] * len(new)
+            taken = batch.select(["row", "key"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(codes, pa.binary())], names=["row", "key", "run"])
+
+    return run
+
+
+def _code(codes: Iterable[int]) -> bytes:
+    return blake2b(np.fromiter(codes, np.int64).tobytes(), digest_size=16).digest()
+
+
 def repeated_lines(rows: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """For ``rows`` (row, key, text), where a smaller key is earlier (null last, then the row number): (row, n_lines) and (row, at) of the lines to delete."""
     lines = land(_lines(rows), "lines")
     earliest = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row"))
-    first = land(lines.groupBy("code").agg(earliest.alias("e"), F.min("row").alias("low"), F.max("row").alias("high"))
-                 .filter("low <> high").select("code", F.col("e.row").alias("first")), "first-holders")
-    shared = land(lines.drop("key", "at").join(first, "code"), "shared-lines")
-    pairs = shared.filter("first <> row").select("row", "first").distinct()
+    holders = lambda held, c: held.groupBy(c).agg(earliest.alias("e"), F.min("row").alias("low"), F.max("row").alias("high")).filter(
+        "low <> high").select(c, F.col("e.row").alias("first"))
+    first = land(holders(lines, "code"), "first-holders")
+    shared = land(lines.drop("at").join(first, "code"), "shared-lines")
     # a document is one row here; its shared lines are at most its own lines
-    bodies = land(shared.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "code", "words"))).alias("body"), F.sum("words").alias("w"))
-                  .filter(F.col("w") >= min_words).select("row", "body"), "shared-bodies")
+    bodies = land(shared.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "code", "words"))).alias("body"), F.sum("words").alias("w"), F.min("key").alias("key"))
+                  .filter(F.col("w") >= min_words).select("row", "key", "body"), "shared-bodies")
+    runs = land(bodies.mapInArrow(_run_codes(min_words), T.StructType([*bodies.select("row", "key").schema.fields, T.StructField("run", T.BinaryType())])), "runs")
+    pairs = shared.select("row", "first").unionByName(runs.join(land(holders(runs, "run"), "first-runs"), "run").select("row", "first")).filter(
+        "first <> row").distinct()
+    bodies = bodies.drop("key")
     later = land(pairs.join(bodies, "row").select("row", "first", F.col("body").alias("later")), "pairs")
     both = later.join(bodies.select(F.col("row").alias("first"), F.col("body").alias("earlier")), "first").select("row", "later", "earlier")
     found = both.mapInArrow(_align(min_words), "row bigint, places array<int>").select("row", F.explode("places").alias("place")).distinct()
