@@ -51,6 +51,13 @@ def test_toxicity_finds_rare_forms(spark):
     assert got[1001] > 0.7 > 0.5 > got[1002]
 
 
+def test_toxicity_keeps_every_gram(spark):
+    near = [97 + 256 * k for k in range(3)]
+    counts = spark.createDataFrame([(g + 8388593 * j, 1 + j, 2) for g in near for j in range(4)], "gram long, toxic long, ordinary long")
+    got = {r.key for r in toxicity.evidence_table(counts).collect()}
+    assert {g + 8388593 * j for g in near for j in range(4)} < got
+
+
 def test_quality(spark, odd, none, labels):
     for docs in (odd, none):
         for lab in (labels, labels.limit(0)):
