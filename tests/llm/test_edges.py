@@ -51,6 +51,19 @@ def test_toxicity_finds_rare_forms(spark):
     assert got[1001] > 0.7 > 0.5 > got[1002]
 
 
+def test_toxicity_in_many_mild_words_and_in_phrases(spark):
+    rng = np.random.default_rng(3)
+    words = [f"{a}{b}{c}" for a in "bdgklm" for b in "aeiou" for c in "nrst"]  # 60 mild ones in each half, each some times likelier in its class
+    share = lambda y: np.r_[np.full(60, 0.2 + 0.6 * y), np.full(60, 0.8 - 0.6 * y)] / 60
+    mild = [(i, " ".join(rng.choice(words, 40, p=share(i % 2)))) for i in range(400)]
+    phrase = [(i, " ".join(("cold river" if (j + i) % 2 else "old mill") if i % 2 else ("cold mill" if (j + i) % 2 else "old river") for j in rng.integers(0, 2, 20))) for i in range(400)]
+    lab = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    for docs in (mild, phrase):
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        got = {r.doc_id: r.score for r in toxicity.train(spark, df, lab).score(df).collect()}
+        assert np.mean([(got[i] > 0.5) == i % 2 for i in range(300, 400)]) > 0.95
+
+
 def test_toxicity_keeps_every_gram(spark):
     near = [97 + 256 * k for k in range(3)]
     counts = spark.createDataFrame([(g + 8388593 * j, 1 + j, 2) for g in near for j in range(4)], "gram long, toxic long, ordinary long")
