@@ -71,6 +71,14 @@ def test_toxicity_keeps_every_gram(spark):
     assert {g + 8388593 * j for g in near for j in range(4)} < got
 
 
+def test_account_number_before_other_tokens(spark):
+    number = "DE89 3704 0044 0532 0130 00"
+    texts = [f"{number}{after}" for after in (" BIC COBADEFFXXX", " 2024", " GB82 WEST 1234 5698 7654 32", ", paid", "")] + ["DE88 3704 0044 0532 0130 00 BIC"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [s.text for s in r.pii if s.kind == "iban"] for r in pii.find_pii(docs).collect()}
+    assert got == {0: [number], 1: [number], 2: [number, "GB82 WEST 1234 5698 7654 32"], 3: [number], 4: [number], 5: []}
+
+
 def test_quality(spark, odd, none, labels):
     for docs in (odd, none):
         for lab in (labels, labels.limit(0)):
