@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracegraph.session import prepare, scratch_path
 
-__all__ = ["WORD", "delete", "fresh", "held_out", "hash60", "land", "noting", "prepare", "scratch_path", "table", "word_count"]
+__all__ = ["WORD", "delete", "fresh", "held_out", "hash60", "land", "least_rows", "noting", "prepare", "scratch_path", "table", "word_count"]
 
 WORD = r"[^\x20\x09-\x0D]+"  # fixed: a word is a maximal run without ASCII white space
 
@@ -71,3 +71,29 @@ def hash60(*parts: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def least_rows(df: DataFrame, key: str, rows: int, bins: int = 4096, near: int = 65536) -> DataFrame:
+    """The rows of ``df`` up to a bound on the integer ``key`` that lets through at least ``rows`` of them (all, if there are fewer).
+
+    The bound is narrowed by counts over equal ranges of the key until its last range holds at most ``near`` rows or one value,
+    so that a limit on the rest takes little more than it needs. At most ``bins`` counts a step reach the driver. Null keys are left out.
+    """
+    keys = df.select(F.col(key).cast("bigint").alias("k")).filter("k IS NOT NULL")
+    low, high = keys.agg(F.min("k"), F.max("k")).first()
+    if low is None:
+        return df.filter(F.col(key).isNotNull())
+    before = 0
+    while True:
+        width = max(1, -(-(high - low + 1) // bins))
+        cell = F.expr(f"(k - CAST({low} AS DECIMAL(20, 0))) div {width}")
+        counts = dict(map(tuple, keys.filter(F.col("k").between(low, high)).groupBy(cell.cast("int").alias("cell")).count().collect()))
+        for at in sorted(counts):
+            if before + counts[at] >= rows:
+                break
+            before += counts[at]
+        else:
+            return df.filter(F.col(key) <= high)
+        low, high = low + at * width, min(high, low + (at + 1) * width - 1)
+        if width == 1 or counts[at] <= near:
+            return df.filter(F.col(key) <= high)

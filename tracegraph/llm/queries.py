@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracegraph.llm import decontaminate, line_dedup, mixing, pii, quality_model, quality_rules, sharding, simhash, toxicity, warc
+from tracegraph.llm import decontaminate, line_dedup, mixing, pii, quality_model, quality_rules, sharding, simhash, toxicity, vector_codes, warc
 from tracegraph.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +190,30 @@ def _(spark, sf_dir):
     clean = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     numbers = F.array_join(F.col("removed").cast("array<string>"), ",")
     return clean.select("doc_id", "n_lines", "n_removed", "removed_words", numbers.alias("removed_lines"), "text")
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Chained passes: nearest entries by exact inner products of integers held as doubles, then means rounded down."""
+    ctes = [r"""k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+   WHERE embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))),
+p AS MATERIALIZED (SELECT vec_id, part, list_slice(v, part * (len(v) // 4) + 1, (part + 1) * (len(v) // 4)) AS q FROM k, range(4) r(part)),
+c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, q AS c FROM p
+       WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 256))"""]
+    for n in range(rounds + 1):
+        ctes.append(f"""a{n} AS MATERIALIZED (SELECT vec_id, part, any_value(q) AS q, min([d, e]) AS best FROM
+   (SELECT vec_id, part, q, e::DOUBLE AS e, list_inner_product(q, q) - 2 * list_inner_product(q, c) + list_inner_product(c, c) AS d FROM p JOIN c{n} USING (part))
+   GROUP BY vec_id, part)""")
+        if n < rounds:
+            ctes.append(f"""m{n} AS (SELECT part, e, list(m ORDER BY i) AS c FROM (SELECT part, best[2] AS e, i, floor(sum(q[i]) / count(*)) AS m
+   FROM a{n}, range(1, 4097) r(i) WHERE i <= len(q) GROUP BY ALL) GROUP BY part, e),
+c{n + 1} AS MATERIALIZED (SELECT c{n}.part, c{n}.e, coalesce(m{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN m{n} ON c{n}.part = m{n}.part AND c{n}.e = m{n}.e)""")
+    return "WITH " + ",\n".join(ctes) + f""",
+s AS (SELECT sha256(string_agg(list_aggregate(list_transform(c, lambda x: x::BIGINT::VARCHAR), 'string_agg', ','), ',' ORDER BY part, e)) AS h FROM c{rounds}),
+r AS (SELECT vec_id, string_agg(printf('%02x', best[2]::INT), '' ORDER BY part) AS code, sum(best[1])::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT h FROM s) AS codebooks_sha256 FROM r JOIN k USING (vec_id)"""
+
+
+@query("op13_slice_intersect_codes", _codes_sql())
+def _(spark, sf_dir):
+    coded = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
