@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracegraph.llm import decontaminate, line_dedup, mixing, pii, quality_model, quality_rules, sharding, simhash, toxicity, vector_codes, warc
+from tracegraph.llm import decontaminate, line_dedup, mixing, pii, prefix_trie, quality_model, quality_rules, sharding, simhash, toxicity, vector_codes, warc
 from tracegraph.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,3 +217,37 @@ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS labe
 def _(spark, sf_dir):
     coded = vector_codes.compress(table(spark, sf_dir, "embeddings"))
     return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+TRIE_SQL = r"""
+WITH RECURSIVE bits(i, k, v) AS (SELECT i, 0, i::BIGINT FROM range(256) r(i)
+   UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+t8 AS (SELECT i, v FROM bits WHERE k = 8),
+own AS (SELECT conv_id AS c, count(*) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+crc(c, pos, v) AS (SELECT c, 0, 4294967295::BIGINT FROM own
+   UNION ALL SELECT c, pos + 1, xor(crc.v >> 8, t8.v) FROM crc JOIN t8 ON t8.i = xor(crc.v, ascii(substr(c::VARCHAR, pos + 1, 1))) & 255 WHERE pos < length(c::VARCHAR)),
+h AS (SELECT c, xor(v, 4294967295) % 4 AS h FROM crc WHERE pos = length(c::VARCHAR)),
+t AS (SELECT conv_id AS c, turn, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w,
+             md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS code FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, code, w, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, code) - 1 AS k FROM t),
+cv AS (SELECT own.c, own.c - own.c % 20 AS b, h, least(h, coalesce(o.own, 0)) AS lent FROM own JOIN h USING (c) LEFT JOIN own o ON o.c = own.c - own.c % 20),
+s AS (SELECT c, k - h + lent + 1 AS d, code, w FROM n JOIN cv USING (c) WHERE k >= h
+      UNION ALL SELECT cv.c, k + 1, code, w FROM cv JOIN n ON n.c = cv.b WHERE k < h),
+f AS (SELECT cv.c, coalesce(codes, '') AS codes, coalesce(ws, []) AS ws FROM cv LEFT JOIN
+      (SELECT c, string_agg(code, '' ORDER BY d) AS codes, list(w ORDER BY d) AS ws FROM s GROUP BY c) g USING (c)),
+x AS (SELECT c, codes, ws, unnest(range(0, len(ws) + 1)) AS d FROM f),
+nd AS (SELECT left(codes, 32 * d) AS key, d, min(c) AS c, count(*) AS n, max(coalesce(ws[d], 0)) AS w,
+              string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(ws) = d) AS e FROM x GROUP BY ALL),
+kd AS (SELECT left(key, 32 * (d - 1)) AS key, count(*) AS kids FROM nd WHERE d > 0 GROUP BY ALL),
+tr AS (SELECT nd.*, coalesce(kids, 0) AS kids FROM nd LEFT JOIN kd ON kd.key = nd.key),
+su AS (SELECT left(key, 32 * a) AS key, sum((n - 1) * w)::BIGINT AS saved, count(*) FILTER (kids = 0) AS leaves
+       FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM tr) GROUP BY ALL)
+SELECT tr.c AS conv_id, tr.d::BIGINT AS depth, up.c AS parent_conv_id, tr.n::BIGINT AS n_convs, tr.kids AS n_children, leaves AS n_leaves,
+       saved AS saved_tokens, sha256(coalesce(tr.e, '')) AS ends_sha256
+FROM tr JOIN su USING (key) LEFT JOIN tr up ON tr.d > 0 AND up.d = tr.d - 1 AND up.key = left(tr.key, 32 * (tr.d - 1))"""
+
+
+@query("op12_z_fast_trie", TRIE_SQL)
+def _(spark, sf_dir):
+    trie = prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+    return trie.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
