@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracegraph.llm import decontaminate, line_dedup, mixing, pii, prefix_trie, quality_model, quality_rules, sharding, simhash, toxicity, vector_codes, warc
+from tracegraph.llm import decontaminate, language_id, line_dedup, mixing, pii, prefix_trie, quality_model, quality_rules, sharding, simhash, toxicity, vector_codes, warc
 from tracegraph.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -251,3 +251,10 @@ FROM tr JOIN su USING (key) LEFT JOIN tr up ON tr.d > 0 AND up.d = tr.d - 1 AND
 def _(spark, sf_dir):
     trie = prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
     return trie.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+@query("op11_ftrl_language_id")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = language_id.train(docs).predict(docs.select("doc_id", "text"))
+    return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
