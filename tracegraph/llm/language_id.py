@@ -4,7 +4,7 @@
    stands between them becomes one blank, so n-grams know where words begin and end.
 2. Document frequencies of the vocabulary over all documents; a feature's value is (1 + ln count) * ln(N / df), rows scaled to length one.
 3. Weights by follow-the-regularised-leader (per-coordinate rates, elastic net: ``L1`` keeps a weight at zero until its summed gradient passes it,
-   ``L2`` shrinks the rest). The sample is dealt to ``SHARDS`` tasks; after each round over the sample the leaders' states are averaged.
+   ``L2`` shrinks the rest). The sample is dealt to leaders, one for about ``SHARD_ROWS`` rows, each of which passes ``PASSES`` times over its rows before the states are averaged, ``ROUNDS`` times.
 4. Temperature: one number that divides the logits, fitted to the sample rows which no weight was learned from.
 
 Vocabulary and weights lie in files of the shared folder that tasks read; their size follows the sample's bound, not the number of documents.
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
@@ -26,7 +27,7 @@ from tracegraph.llm.warc import open_file
 NGRAMS = 4  # letters of the longest n-gram
 MIN_DOCS = 3  # sampled texts that an n-gram of the vocabulary stands in
 LANG_ROWS = 2000  # labelled documents of each language in the sample
-SHARDS, EPOCHS = 8, 3
+SHARD_ROWS, ROUNDS, PASSES = 1000, 1, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.001
 BINS = 4096
 PIECE = 1 << 19  # letters that are coded at a time
@@ -306,8 +307,9 @@ def train(docs: DataFrame, rows: int = LANG_ROWS, seed: int = 42, key: str = "do
     if not langs:
         return LanguageModel(None, (), 1.0)
     number = F.array_position(F.lit(list(langs)), F.col("lang")) - 1
+    shards = max(1, -(-sample.count() // SHARD_ROWS))
     dealt = hash60(F.lit(f"{seed} shard"), F.col("key").cast("string"))
-    sample = land(sample.select("text", number.cast("int").alias("y"), (dealt % 5 == 0).alias("spared"), (F.floor(dealt / 5) % SHARDS).cast("int").alias("shard"), "key"), "language-rows")
+    sample = land(sample.select("text", number.cast("int").alias("y"), (dealt % 5 == 0).alias("spared"), (F.floor(dealt / 5) % shards).cast("int").alias("shard"), "key"), "language-rows")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,9 +349,9 @@ def train(docs: DataFrame, rows: int = LANG_ROWS, seed: int = 42, key: str = "do
     state = f"{base}/state-0.npz"
     with open_file(state, "wb") as file:
         np.savez(file, z=np.zeros(shape), n=np.zeros(shape))
-    for epoch in range(EPOCHS):
-        mixed = _mixed(learning, path, state, shape)
-        state = f"{base}/state-{epoch + 1}.npz"
+    for step in range(ROUNDS):
+        mixed = _mixed(learning, shards, path, state, shape)
+        state = f"{base}/state-{step + 1}.npz"
         with open_file(state, "wb") as file:
             np.savez(file, z=mixed.z, n=mixed.n)
     final = _store(f"{base}/weights.parquet", codes, idf, mixed.weights())
@@ -366,27 +368,31 @@ def train(docs: DataFrame, rows: int = LANG_ROWS, seed: int = 42, key: str = "do
     return LanguageModel(final, langs, fit_temperature(np.array(logits["x"].tolist(), dtype=float).reshape(-1, len(langs)), logits["y"].to_numpy(dtype=int)))
 
 
-def _mixed(learning: DataFrame, path: str, state: str, shape: tuple[int, int]) -> Leader:
+def _mixed(learning: DataFrame, shards: int, path: str, state: str, shape: tuple[int, int]) -> Leader:
     """One round: every shard goes on from the common state over its own rows, and the states are averaged."""
 
-    def epoch(rows: pa.Table) -> pa.Table:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))  # shards of the bounded sample
+        if not table.num_rows:
+            return
         look, idf, _ = _vocabulary(path)
-        with open_file(state, "rb") as file:
-            stored = np.load(file)
-            leader = Leader(stored["z"], stored["n"])
-        rows = rows.sort_by([("o", "ascending"), ("text", "ascending")])
-        texts, ys = rows["text"].to_pylist(), rows["y"].to_pylist()
-        for part in portions(texts):
-            for (f, v), y in zip(_with_constant(*rows_of(texts[part], look, idf), part.stop - part.start, shape[0] - 1), ys[part]):
-                leader.learn(f, v, y)
-        used = np.flatnonzero(leader.n.any(1))
-        cols = [pa.array(np.repeat(used, shape[1])), pa.array(np.tile(np.arange(shape[1]), len(used))), pa.array(leader.z[used].ravel()), pa.array(leader.n[used].ravel())]
-        return pa.Table.from_arrays(cols, names=["feature", "lang", "z", "n"])
-
-    states = learning.groupBy("shard").applyInArrow(epoch, "feature bigint, lang bigint, z double, n double")
-    shards = learning.select("shard").distinct().count()
+        for shard in sorted(set(table["shard"].to_pylist())):
+            rows = table.filter(pc.equal(table["shard"], shard)).sort_by([("o", "ascending"), ("text", "ascending")])
+            with open_file(state, "rb") as file:
+                stored = np.load(file)
+                leader = Leader(stored["z"], stored["n"])
+            texts, ys = rows["text"].to_pylist(), rows["y"].to_pylist()
+            seen = [x for part in portions(texts) for x in _with_constant(*rows_of(texts[part], look, idf), part.stop - part.start, shape[0] - 1)]
+            for _ in range(PASSES):
+                for (f, v), y in zip(seen, ys):
+                    leader.learn(f, v, y)
+            used = np.flatnonzero(leader.n.any(1))
+            cols = [np.repeat(used, shape[1]), np.tile(np.arange(shape[1]), len(used)), leader.z[used].ravel(), leader.n[used].ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["feature", "lang", "z", "n"])
+
+    states = learning.repartitionByRange(shards, "shard").mapInArrow(learn, "feature bigint, lang bigint, z double, n double")
     # a sum of rounded numbers would depend on its order
-    mean = lambda c: F.sum(F.col(c).cast("decimal(38, 12)")) / shards
+    mean = lambda c: F.sum(F.col(c).cast("decimal(38, 12)")) / F.lit(shards)
     got = states.groupBy("feature", "lang").agg(mean("z").cast("double").alias("z"), mean("n").cast("double").alias("n")).toPandas()
     out = Leader(np.zeros(shape), np.zeros(shape))
     out.z[got["feature"], got["lang"]], out.n[got["feature"], got["lang"]] = got["z"], got["n"]
