@@ -29,7 +29,7 @@ MIN_DOCS = 3  # sampled texts that an n-gram of the vocabulary stands in
 LANG_ROWS = 2000  # labelled documents of each language in the sample
 SHARD_ROWS, ROUNDS, PASSES = 1000, 1, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.001
-BINS = 4096
+BINS, SALTS = 4096, 32
 PIECE = 1 << 19  # letters that are coded at a time
 UNKNOWN = "und"
 MIX = np.int64(-7046029254386353131)
@@ -288,15 +288,19 @@ def sample_by_language(docs: DataFrame, rows: int, seed: int, key: str, text: st
     Rows without id or language are not learned from; of rows that repeat id and language the least text counts. The hash is cut by counts
     over its upper bits, so that only rows near the sample are ordered.
     """
+    ids = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{lang}`").cast("string").alias("lang"))
+    ids = ids.filter(F.col("key").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("key"))).distinct()
     h = hash60(F.lit(str(seed)), F.col("key").cast("string"))
-    rows_in = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
-    open_rows = rows_in.filter(F.col("key").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("key"))).withColumn("h", h)
-    cell = F.expr(f"CAST(h div {(1 << 60) // BINS} AS INT)")
-    counts = open_rows.select("key", "lang", cell.alias("cell")).distinct().groupBy("lang", "cell").count()
+    ids = ids.withColumn("h", h).withColumns({"cell": F.expr(f"CAST(h div {(1 << 60) // BINS} AS INT)"), "salt": F.expr(f"CAST(h % {SALTS} AS INT)")})
+    counts = ids.groupBy("lang", "cell").count()
     before = F.sum("count").over(W.partitionBy("lang").orderBy("cell")) - F.col("count")
     cut = counts.withColumn("before", before).filter(F.col("before") < rows).groupBy("lang").agg(F.max("cell").alias("last"))
-    near = open_rows.withColumn("cell", cell).join(cut, "lang").filter("cell <= last").groupBy("lang", "h", "key").agg(F.min("text").alias("text"))
-    return near.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("h", "key"))).filter(F.col("nth") <= rows).select("key", "text", "lang")
+    # a language may have most rows, so it is joined in salted parts
+    cut = cut.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    near = ids.join(cut, ["lang", "salt"]).filter("cell <= last").select("lang", "h", "key")
+    chosen = land(near.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("h", "key"))).filter(F.col("nth") <= rows).select("key", "lang"), "language-ids")
+    texts = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{lang}`").cast("string").alias("lang"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    return texts.join(chosen, ["key", "lang"]).groupBy("key", "lang").agg(F.min("text").alias("text"))
 
 
 def train(docs: DataFrame, rows: int = LANG_ROWS, seed: int = 42, key: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
@@ -309,7 +313,8 @@ def train(docs: DataFrame, rows: int = LANG_ROWS, seed: int = 42, key: str = "do
     number = F.array_position(F.lit(list(langs)), F.col("lang")) - 1
     shards = max(1, -(-sample.count() // SHARD_ROWS))
     dealt = hash60(F.lit(f"{seed} shard"), F.col("key").cast("string"))
-    sample = land(sample.select("text", number.cast("int").alias("y"), (dealt % 5 == 0).alias("spared"), (F.floor(dealt / 5) % shards).cast("int").alias("shard"), "key"), "language-rows")
+    sample = land(sample.withColumn("dealt", dealt).select("text", number.cast("int").alias("y"), (F.col("dealt") % 5 == 0).alias("spared"),
+                                F.expr(f"CAST(dealt div 5 % {shards} AS INT)").alias("shard"), "key"), "language-rows")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -372,9 +377,10 @@ def _mixed(learning: DataFrame, shards: int, path: str, state: str, shape: tuple
     """One round: every shard goes on from the common state over its own rows, and the states are averaged."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))  # shards of the bounded sample
-        if not table.num_rows:
+        rows = [b for b in batches if b.num_rows]  # shards of the bounded sample
+        if not rows:
             return
+        table = pa.Table.from_batches(rows)
         look, idf, _ = _vocabulary(path)
         for shard in sorted(set(table["shard"].to_pylist())):
             rows = table.filter(pc.equal(table["shard"], shard)).sort_by([("o", "ascending"), ("text", "ascending")])
