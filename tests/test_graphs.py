@@ -1,5 +1,7 @@
-"""Small graphs with known answers; small-trace and large-trace paths must agree."""
+"""Small graphs with known answers, random ones against brute force, and long chains."""
 
+import random
+import time
 from collections import deque
 
 import pytest
@@ -73,13 +75,86 @@ def brute_pagerank(names, links):
     return max(x.values())
 
 
-def test_small_and_large_paths_agree(tables):
+def test_page_rank_packed_and_by_messages_agree(tables):
     n, e = tables
-    small, large = rows(paths.path_metrics(n, e)), rows(paths.path_metrics(n, e, limit=0, block=2))
+    small, large = rows(paths.pagerank_max(n, e)), rows(paths.pagerank_max(n, e, packed=0))
     assert small.keys() == large.keys()
-    for k, a in small.items():
-        for c, v in a.items():
-            assert large[k][c] == pytest.approx(v, abs=1e-9), (k, c)
+    assert all(large[k]["x"] == pytest.approx(v["x"], abs=1e-9) for k, v in small.items())
+
+
+def randoms(seed):
+    rng, out = random.Random(seed), {}
+    for k in range(12):
+        names = [("u" if rng.random() < 0.3 or i == 0 else rng.choice("aps")) + str(i) for i in range(rng.randint(1, 14))]
+        links = {(a, b) for a, b in zip(names, names[1:]) if rng.random() < 0.8} | {(rng.choice(names), rng.choice(names)) for _ in range(rng.randint(0, 9))}
+        out[k] = (names, [(a, b, rng.randint(1, 3)) for a, b in sorted(links)])
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_graphs(spark, seed):
+    graphs = randoms(seed)
+    n, e = g.tables(spark, graphs)
+    got, hist = rows(paths.path_metrics(n, e)), {}
+    for r in paths.distance_histogram(n, e).collect():
+        hist[r.trace_id, r.d] = r.n_pairs
+    way, pruned, weak = rows(critical.critical_path(n, e)), rows(critical.prune_reachability(n, e)), rows(paths.weak_components(n, e))
+    scores = {(r.trace_id, r.node): r.score for r in critical.node_scores(n).collect()}
+    for k, (names, links) in graphs.items():
+        dist = brute(names, links)
+        assert got[k]["betweenness_centrality_max"] == pytest.approx(brute_betweenness(names, links))
+        assert got[k]["max_redirect_depth"] == max(max(d.values()) for s, d in dist.items() if s.startswith("u"))
+        want = {}
+        for d in (v for row in dist.values() for v in row.values()):
+            want[d] = want.get(d, 0) + 1
+        assert {d: c for (t, d), c in hist.items() if t == k} == want
+        und = brute(names, links + [(b, a, w) for a, b, w in links])
+        parts = sorted({tuple(sorted(d, key=names.index)) for d in und.values()}, key=lambda c: (-len(c), names.index(c[0])))
+        assert got[k]["num_connected_components"] == weak[k]["num_connected_components"] == len(parts)
+        big = parts[0]
+        total = sum(sum(und[s].values()) for s in big)
+        assert got[k]["avg_path_length"] == pytest.approx(total / (len(big) * (len(big) - 1)) if len(big) > 1 else 0)
+        assert got[k]["diameter"] == max(max(und[s].values()) for s in big)
+        into = [(sum(1 for d in dist.values() if t in d), sum(d[t] for d in dist.values() if t in d)) for t in names]
+        assert got[k]["closeness_centrality_max"] == pytest.approx(max((r - 1) ** 2 / s / max(len(names) - 1, 1) if s else 0 for r, s in into))
+        score = {x: scores[k, x] for x in names}
+        target = max(names, key=lambda x: (score[x], -names.index(x)))
+        if target in dist[names[0]] and len(names) > 1:
+            assert way[k]["path"].count(" > ") == dist[names[0]][target]
+        keep = {x for x in names if score[x] / 6 >= 0.3 or x == names[0]}
+        cut = brute(names, [x for x in links if x[1] in keep])
+        hits = lambda d: sum(score[x] / 6 >= 0.5 for x in d[names[0]])  # noqa: E731,B023
+        assert (pruned[k]["credentials_before"], pruned[k]["credentials_after"]) == (hits(dist), hits(cut))
+
+
+def chain(n, shuffled=False):
+    order = list(range(n))
+    if shuffled:
+        random.Random(3).shuffle(order)
+    names = [f"a{i}" for i in range(n)]
+    return ["u0", *names], [("u0", names[order[0]], 1)] + [(names[a], names[b], 1) for a, b in zip(order, order[1:])]
+
+
+def test_a_long_chain(spark):
+    n, e = g.tables(spark, {1: chain(999), 2: g.PATH6})
+    start = time.time()
+    got = rows(paths.path_metrics(n, e))[1]
+    assert time.time() - start < 60
+    assert (got["diameter"], got["max_redirect_depth"], got["n_nodes"], got["num_connected_components"]) == (999, 999, 1000, 1)
+    assert got["avg_path_length"] == pytest.approx(1001 / 3)
+    assert got["betweenness_centrality_max"] == pytest.approx(499 * 500 / (999 * 998))
+    path = rows(critical.critical_path(n, e))[1]
+    assert path["path"].startswith("root > ") and critical.prune_reachability(n, e).count() == 2
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_components_of_a_long_chain(spark, monkeypatch, shuffled):
+    rounds = []
+    plain = paths.land_measured
+    monkeypatch.setattr(paths, "land_measured", lambda df, name, **m: (rounds.append(name), plain(df, name, **m))[1])
+    got = rows(paths.weak_components(*g.tables(spark, {1: chain(10_000, shuffled), 2: g.SPLIT})))
+    assert (got[1]["num_connected_components"], got[2]["num_connected_components"]) == (1, 2)
+    assert rounds.count("labels") < 20
 
 
 def test_metrics_match_brute_force(tables):
@@ -110,10 +185,7 @@ def test_degrees_and_clustering(tables):
 
 
 def test_distance_histogram(tables):
-    n, e = tables
-    a = sorted(map(tuple, paths.distance_histogram(n, e).collect()))
-    b = sorted(map(tuple, paths.distance_histogram(n, e, limit=0, block=3).collect()))
-    assert a == b
+    a = sorted(map(tuple, paths.distance_histogram(*tables).collect()))
     want = {}
     for k, (names, links) in g.ALL.items():
         for d in brute(names, links).values():
@@ -122,17 +194,10 @@ def test_distance_histogram(tables):
     assert {(r[0], r[1]): r[2] for r in a} == want
 
 
-def test_critical_path_small_and_large(tables):
-    n, e = tables
-    small, large = rows(critical.critical_path(n, e)), rows(critical.critical_path(n, e, limit=0))
-    assert small == large
-    assert small[8]["path"] == "root > form_input: > submit: > form_input:"
-    assert small[7]["description"].startswith("Insufficient")
-
-
-def test_prune_small_and_large(tables):
-    n, e = tables
-    assert rows(critical.prune_reachability(n, e)) == rows(critical.prune_reachability(n, e, limit=0))
+def test_critical_path(tables):
+    got = rows(critical.critical_path(*tables))
+    assert got[8]["path"] == "root > form_input: > submit: > form_input:"
+    assert got[7]["description"].startswith("Insufficient")
 
 
 def test_wl_equal_graphs_share_labels(spark):

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracegraph.functions.text import any_word
-from tracegraph.operators.paths import bfs, by_size
+from tracegraph.operators.paths import distances_from, numbered, unfolded
 from tracegraph.session import land
 
-OUT = "trace_id long, target string, path string, reachable boolean"
-PRUNED = "trace_id long, credentials_before long, credentials_after long"
+PATH_SEP = "\x1f"
 
 
 def suspicion() -> Column:
@@ -34,99 +29,44 @@ def node_scores(nodes: DataFrame) -> DataFrame:
                         suspicion().alias("score"))
 
 
-def _walk(root: str, order: dict, adj: dict) -> dict:
-    """Breadth-first parents from the root, neighbours in node order."""
-    parent, queue = {root: None}, deque([root])
-    while queue:
-        here = queue.popleft()
-        for nxt in sorted(adj.get(here, ()), key=order.get):
-            if nxt not in parent:
-                parent[nxt] = here
-                queue.append(nxt)
-    return parent
-
-
-def _adjacency(row) -> dict:
-    adj: dict = {}
-    for s, t in zip(row.src, row.dst):
-        adj.setdefault(s, []).append(t)
-    return adj
-
-
-def _path_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for r in batch.itertuples(index=False):
-            order = {v: i for i, v in enumerate(r.ids)}
-            best = max(range(len(r.ids)), key=lambda i: (r.score[i], -i))
-            parent = _walk(r.ids[0], order, _adjacency(r))
-            hit = r.ids[best] in parent
-            if hit:
-                chain, at = [], r.ids[best]
-                while at is not None:
-                    chain.append(at)
-                    at = parent[at]
-                chain.reverse()
-            else:
-                chain = [r.ids[i] for i in sorted(range(len(r.ids)), key=lambda i: (-r.score[i], i))[:5]]
-            rows.append((r.trace_id, r.label[best], "\x1f".join(r.label[order[v]] for v in chain), hit))
-        yield pd.DataFrame(rows, columns=["trace_id", "target", "path", "reachable"])
-
-
-def _packed(scores: DataFrame, edges: DataFrame) -> DataFrame:
-    parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = scores.repartition(parts, "trace_id").groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct(
-        "node_seq", F.xxhash64("node").alias("id"), "label", "score"))).alias("n"))
-    e = edges.repartition(parts, "trace_id").groupBy("trace_id").agg(F.collect_list(F.struct(
-        F.xxhash64("src").alias("s"), F.xxhash64("dst").alias("t"))).alias("e"))
-    none = F.expr("cast(array() as array<struct<s:bigint,t:bigint>>)")
-    return n.join(e, "trace_id", "left").withColumn("e", F.coalesce("e", none)).select(
-        "trace_id", F.col("n.id").alias("ids"), F.col("n.label").alias("label"), F.col("n.score").alias("score"),
-        F.col("e.s").alias("src"), F.col("e.t").alias("dst"))
-
-
-def _large_paths(scores: DataFrame, edges: DataFrame) -> DataFrame:
-    """Backwards from the target, one level of the root's breadth-first table at a time."""
-    scores, edges = land(scores, "scores"), land(edges, "edges")
-    table, depth = bfs(edges, scores.filter("is_root"))
-    target = scores.groupBy("trace_id").agg(F.max_by(F.struct("node", "label"), F.struct("score", -F.col("node_seq"))).alias("t"))
-    info = scores.select("trace_id", "node", "node_seq", "label")
-    at = target.select("trace_id", F.col("t.node").alias("node"), F.col("t.label").alias("target"))
-    open_ = at.withColumn("path", F.lit("")).withColumn("reachable", F.lit(False))
-    for d in range(depth - 1, -1, -1):
-        here = open_.join(table.filter(F.col("d") == d).select("trace_id", "node", F.lit(True).alias("on")), ["trace_id", "node"], "left").join(
-            info.select("trace_id", "node", "label"), ["trace_id", "node"])
-        here = here.select("trace_id", "node", "target", (F.col("reachable") | F.coalesce("on", F.lit(False))).alias("reachable"),
-                           F.when(F.col("on") | F.col("reachable"), F.concat_ws("\x1f", "label", F.when(F.col("path") != "", F.col("path"))))
-                           .otherwise(F.col("path")).alias("path"))
-        if d > 0:
-            prev = edges.join(table.filter(F.col("d") == d - 1).select("trace_id", F.col("node").alias("src")), ["trace_id", "src"]).join(
-                info.select("trace_id", F.col("node").alias("src"), "node_seq"), ["trace_id", "src"]).groupBy(
-                "trace_id", F.col("dst").alias("node")).agg(F.min_by("src", "node_seq").alias("src"))
-            here = here.join(prev, ["trace_id", "node"], "left").select(
-                "trace_id", F.when(F.col("reachable"), F.col("src")).otherwise(F.col("node")).alias("node"), "target", "reachable", "path")
-        open_ = land(here, "critical")
-    lost = open_.filter("NOT reachable").select("trace_id", "target")
-    top = scores.join(lost, "trace_id", "left_semi")
-    best = None
+def _rooted(scores: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links between node numbers, and the hop distance (trace_id, t, d) of every node that the root reaches."""
+    links = land(numbered(scores, edges), "links")
+    return links, distances_from(scores.filter("is_root").select("trace_id", F.col("node_seq").alias("t")), links)
+
+
+def critical_nodes(scores: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (trace_id, target, path, reachable): labels on the shortest path from the root to the node with the best score (the first of equals).
+
+    Of equally near predecessors the one that stands first in the trace is taken. Where the root doesn't reach the target, the five best nodes stand in for the path.
+    """
+    scores = land(scores, "scores")
+    links, reached = _rooted(scores, edges)
+    target = scores.groupBy("trace_id").agg(F.max_by(F.struct(F.col("node_seq").alias("t"), "label"), F.struct("score", -F.col("node_seq"))).alias("b"))
+    target = land(target.select("trace_id", "b.t", F.col("b.label").alias("target")).join(reached.withColumnRenamed("d", "depth"), ["trace_id", "t"], "left"), "targets")
+    near = links.join(reached.withColumnsRenamed({"t": "s", "d": "before"}), ["trace_id", "s"]).join(reached, ["trace_id", "t"])
+    parents = near.filter("d = before + 1").groupBy("trace_id", "t").agg(F.min("s").alias("p"))
+    on = unfolded(target.filter("depth IS NOT NULL"), parents)
+    steps = on.join(reached, ["trace_id", "t"]).join(scores.select("trace_id", F.col("node_seq").alias("t"), "label"), ["trace_id", "t"])
+    path = steps.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("d", "label"))).alias("l"))
+    found = target.filter("depth IS NOT NULL").join(path, "trace_id").select("trace_id", "target", F.array_join("l.label", PATH_SEP).alias("path"), F.lit(True).alias("reachable"))
+    lost = target.filter("depth IS NULL").select("trace_id", "target")
+    if lost.isEmpty():
+        return found
+    top, best = scores.join(lost, "trace_id", "left_semi"), None
     for _ in range(5):  # five rounds of "next best" keep every group an aggregate
         rest = top if best is None else top.join(best.select("trace_id", "node"), ["trace_id", "node"], "left_anti")
         nxt = rest.groupBy("trace_id").agg(F.max_by(F.struct("node", "label", "score", "node_seq"), F.struct("score", -F.col("node_seq"))).alias("r"))
         nxt = nxt.select("trace_id", "r.*")
         best = land(nxt if best is None else best.unionByName(nxt), "top-nodes")
     tail = best.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "node_seq", "label"))).alias("l"))
-    tail = lost.join(tail, "trace_id").select("trace_id", "target", F.array_join("l.label", "\x1f").alias("path"), F.lit(False).alias("reachable"))
-    return open_.filter("reachable").select("trace_id", "target", "path", "reachable").unionByName(tail)
+    return found.unionByName(lost.join(tail, "trace_id").select("trace_id", "target", F.array_join("l.label", PATH_SEP).alias("path"), F.lit(False).alias("reachable")))
 
 
-def critical_path(nodes: DataFrame, edges: DataFrame, limit: int = 512) -> DataFrame:
+def critical_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Shortest path from the root to the most suspicious node, as labels and as text."""
-    scores = node_scores(nodes)
-    n, e, big_n, big_e = by_size(scores, edges, limit)
-    raw = _packed(n, e).mapInPandas(_path_batches, OUT)
-    if big_n is not None:
-        raw = raw.unionByName(_large_paths(big_n, big_e))
-    parts = F.split("path", "\x1f")
+    raw = critical_nodes(node_scores(nodes), edges)
+    parts = F.split("path", PATH_SEP)
     last = F.size(parts) - 1
     text = F.array_join(F.transform(parts, lambda x, i: F.when(i == 0, F.concat(F.lit("Entry: "), x)).when(
         i == last, F.concat(F.lit("Target: "), x)).otherwise(F.concat(F.lit("Step "), i.cast("string"), F.lit(": "), x))), " -> ")
@@ -137,43 +77,17 @@ def critical_path(nodes: DataFrame, edges: DataFrame, limit: int = 512) -> DataF
         F.when(short, "Insufficient interaction data for path analysis.").otherwise(text).alias("description"))
 
 
-def reach_from_root(scores: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes the root reaches, by frontier joins of all traces at once."""
-    return bfs(edges, scores.filter("is_root"))[0].select("trace_id", "node")
-
-
-def _prune_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for r in batch.itertuples(index=False):
-            order = {v: i for i, v in enumerate(r.ids)}
-            kept = {v for i, v in enumerate(r.ids) if i == 0 or r.score[i] >= r.threshold}
-            cred = {v for i, v in enumerate(r.ids) if r.score[i] >= r.credential}
-            adj = _adjacency(r)
-            before = _walk(r.ids[0], order, adj)
-            after = _walk(r.ids[0], order, {s: [t for t in ts if t in kept] for s, ts in adj.items() if s in kept})
-            rows.append((r.trace_id, len(cred & before.keys()), len(cred & after.keys())))
-        yield pd.DataFrame(rows, columns=["trace_id", "credentials_before", "credentials_after"])
-
-
-def prune_reachability(nodes: DataFrame, edges: DataFrame, threshold: float = 0.3, credential: float = 0.5,
-                       limit: int = 512) -> DataFrame:
+def prune_reachability(nodes: DataFrame, edges: DataFrame, threshold: float = 0.3, credential: float = 0.5) -> DataFrame:
     """Credential nodes the root reaches before and after dropping low-score nodes (the root always stays)."""
-    scores = node_scores(nodes).withColumn("score", F.least(F.lit(1.0), F.col("score") / 6.0))
-    n, e, big_n, big_e = by_size(scores, edges, limit)
-    packed = _packed(n, e).withColumn("threshold", F.lit(threshold)).withColumn("credential", F.lit(credential))
-    out = packed.mapInPandas(_prune_batches, PRUNED)
-    if big_n is not None:
-        big_n, big_e = land(big_n, "scores"), land(big_e, "edges")
-        cred = big_n.filter(F.col("score") >= credential).select("trace_id", "node")
-        keep = big_n.filter(F.col("is_root") | (F.col("score") >= threshold)).select("trace_id", F.col("node").alias("dst"))
-        pruned = land(big_e.join(keep, ["trace_id", "dst"], "left_semi"), "pruned")
-        a = reach_from_root(big_n, big_e).join(cred, ["trace_id", "node"]).withColumn("a", F.lit(1)).withColumn("b", F.lit(0))
-        b = reach_from_root(big_n, pruned).join(cred, ["trace_id", "node"]).withColumn("a", F.lit(0)).withColumn("b", F.lit(1))
-        both = big_n.filter("is_root").select("trace_id", "node").withColumn("a", F.lit(0)).withColumn("b", F.lit(0))
-        out = out.unionByName(both.unionByName(a).unionByName(b).groupBy("trace_id").agg(
-            F.sum("a").alias("credentials_before"), F.sum("b").alias("credentials_after")))
-    return out
+    scores = land(node_scores(nodes).withColumn("score", F.least(F.lit(1.0), F.col("score") / 6.0)), "scores")
+    links = numbered(scores, edges)
+    kept = scores.filter(F.col("is_root") | (F.col("score") >= threshold)).select("trace_id", F.col("node_seq").alias("t"))
+    both = links.withColumn("cut", F.lit(False)).unionByName(links.join(kept, ["trace_id", "t"], "left_semi").withColumn("cut", F.lit(True)))
+    roots = scores.filter("is_root").select("trace_id", F.col("node_seq").alias("t"), F.explode(F.array(F.lit(False), F.lit(True))).alias("cut"))
+    met = distances_from(roots, both, ["trace_id", "cut"])
+    hits = scores.filter(F.col("score") >= credential).select("trace_id", F.col("node_seq").alias("t")).join(met, ["trace_id", "t"])
+    counts = hits.groupBy("trace_id").agg(F.count_if(~F.col("cut")).alias("credentials_before"), F.count_if("cut").alias("credentials_after"))
+    return scores.filter("is_root").select("trace_id").join(counts, "trace_id", "left").na.fill(0)
 
 
 def branching_reduction(nodes: DataFrame, edges: DataFrame, threshold: float = 0.3) -> DataFrame:

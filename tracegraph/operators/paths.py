@@ -1,42 +1,148 @@
-"""Path metrics of every trace graph: distances, centralities, components.
+"""Path metrics of every trace graph: distances, path counts, centralities, components.
 
-Traces are small and many, so a trace with at most ``limit`` nodes is measured
-inside one task by the short numpy helper below. Larger traces, of any size,
-take the level-by-level breadth-first joins keyed by (trace, source, node), a
-block of sources at a time: no task ever holds a whole large trace, and only
-per-source and per-node sums are kept between blocks.
+One plan for traces of every size. Distances double: a pair between k and 2 k hops apart is a pair exactly k apart
+followed by a known one, so the number of rounds is the logarithm of the longest distance, and every round is a join and an
+aggregate over (trace, source, node) rows. Betweenness doubles in the same way, by the dependency of a pair on targets at most k hops
+further. What needs one source only takes jumps of 1, 2, 4, ... hops, and components need no pairs: labels hook and jump over the
+edges. Nodes go by ``node_seq``, unique in a trace.
+
+PageRank has to repeat the stated iteration; traces of at most ``PACKED`` nodes run it in one task, larger ones by message joins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from tracegraph.functions.text import div
-from tracegraph.session import land, scratch_path
+from tracegraph.session import land, land_measured, scratch_path
+
+PACKED = 512
+
+
+def numbered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges (trace_id, s, t) between node numbers, without loops."""
+    ids = nodes.select("trace_id", "node", "node_seq")
+    out = edges.select("trace_id", "src", "dst").join(ids.withColumnsRenamed({"node": "src", "node_seq": "s"}), ["trace_id", "src"])
+    out = out.join(ids.withColumnsRenamed({"node": "dst", "node_seq": "t"}), ["trace_id", "dst"])
+    return out.select("trace_id", "s", "t").filter("s <> t").distinct()
+
+
+def turned(links: DataFrame) -> DataFrame:
+    """The links with their reverses, each once."""
+    return links.unionByName(links.select("trace_id", F.col("t").alias("s"), F.col("s").alias("t"))).distinct()
+
+
+# ---------------------------------------------------------------- all pairs
+
+def all_pairs(nodes: DataFrame, links: DataFrame, both: bool = False) -> DataFrame:
+    """Rows (trace_id, s, t, d, sigma): hop distance and number of shortest paths of every ordered pair that is joined by one, d = 0 included.
+
+    Every round appends one folder to a table: the pairs from k + 1 to 2 k hops apart. Where links lead ``both`` ways, only pairs with s <= t are kept.
+    """
+    spark, base, k = links.sparkSession, scratch_path(links.sparkSession, "pairs"), 1
+    start = nodes.select("trace_id", F.col("node_seq").alias("s"), F.col("node_seq").alias("t"), F.lit(0).alias("d"), F.lit(1.0).alias("sigma"))
+    one = links.select("trace_id", "s", "t", F.lit(1).alias("d"), F.lit(1.0).alias("sigma"))
+    new = start.unionByName(one.filter("s < t") if both else one)
+    while True:
+        seen = Observation()
+        new.observe(seen, F.count_if(F.col("d") == k).alias("far")).write.parquet(f"{base}/upto={k}")
+        known = spark.read.schema(start.schema).parquet(base).select(*start.columns)
+        if not seen.get["far"]:
+            return known
+        ways = known.filter("d > 0")
+        if both:
+            ways = ways.unionByName(ways.select("trace_id", F.col("t").alias("s"), F.col("s").alias("t"), "d", "sigma"))
+        head = ways.filter(F.col("d") == k).select("trace_id", "s", F.col("t").alias("m"), F.col("sigma").alias("a"))
+        tail = ways.select("trace_id", F.col("s").alias("m"), "t", F.col("d").alias("e"), F.col("sigma").alias("b"))
+        met = head.join(tail, ["trace_id", "m"]).filter("s < t" if both else "s <> t")
+        # one exchange by pair serves both sums and the join
+        met = met.repartition("trace_id", "s", "t").groupBy("trace_id", "s", "t", (F.col("e") + k).alias("d")).agg(F.sum(F.col("a") * F.col("b")).alias("sigma"))
+        met = met.join(known.select("trace_id", "s", "t"), ["trace_id", "s", "t"], "left_anti")
+        new = met.groupBy("trace_id", "s", "t").agg(F.min_by(F.struct("d", "sigma"), "d").alias("r")).select("trace_id", "s", "t", "r.d", "r.sigma")
+        k *= 2
+
+
+def dependencies(pairs: DataFrame) -> DataFrame:
+    """Rows (trace_id, s, v, dep): the shares of the shortest paths from s that run through v, summed over all targets behind v.
+
+    After a round ``dep`` covers the targets at most k hops behind v; those up to 2 k follow through the nodes exactly k behind it.
+    """
+    def through(k: int, share) -> DataFrame:
+        jump = pairs.filter(F.col("d") == k).select("trace_id", F.col("s").alias("v"), F.col("t").alias("w"), F.col("sigma").alias("between"))
+        there = table.select("trace_id", "s", F.col("v").alias("w"), (F.col("d") - k).alias("d"), (share / F.col("sigma")).alias("share")).filter("share > 0 AND d > 0")
+        # v lies on the way to w only if it stands exactly k before it, which the join on d asks
+        got = there.join(jump, ["trace_id", "w"]).groupBy("trace_id", "s", "v", "d").agg(F.sum(F.col("between") * F.col("share")).alias("more"))
+        return land(table.join(got, ["trace_id", "s", "v", "d"], "left").select(
+            "trace_id", "s", "v", "d", "sigma", (F.col("dep") + F.col("sigma") * F.coalesce("more", F.lit(0.0))).alias("dep")), "dependency")
+
+    last = pairs.agg(F.max("d")).first()[0] or 0
+    table = pairs.filter("d > 0").select("trace_id", "s", F.col("t").alias("v"), "d", "sigma", F.lit(0.0).alias("dep"))
+    table, k = through(1, F.lit(1.0)), 1
+    while k < last - 1:
+        table = through(k, F.col("dep"))
+        k *= 2
+    return table.select("trace_id", "s", "v", "dep")
 
-OUT = ("trace_id long, num_connected_components long, avg_path_length double, diameter long, "
-       "betweenness_centrality_max double, closeness_centrality_max double, pagerank_max double, "
-       "max_redirect_depth long, n_nodes long")
 
+# ---------------------------------------------------------------- one source
+
+def distances_from(roots: DataFrame, links: DataFrame, keys: Sequence[str] = ("trace_id",)) -> DataFrame:
+    """Rows (keys, t, d): hop distance of every node that a root (keys, t) reaches.
+
+    The k-th round adds jumps of 2^k hops, so a node d hops away is met by the jumps that make up d. It ends when no node is that far away.
+    """
+    keys, k = list(keys), 1
+    jumps, found = land(links.select(*keys, "s", "t"), "jumps"), roots.select(*keys, "t", F.lit(0).alias("d"))
+    while True:
+        step = found.withColumnRenamed("t", "s").join(jumps, [*keys, "s"]).select(*keys, "t", (F.col("d") + k).alias("d"))
+        found, seen = land_measured(found.unionByName(step).groupBy(*keys, "t").agg(F.min("d").alias("d")), "reached", far=F.count_if(F.col("d") >= k))
+        if not seen["far"]:
+            return found
+        twice = jumps.withColumnRenamed("t", "m").join(jumps.withColumnRenamed("s", "m"), [*keys, "m"])
+        jumps = land(twice.select(*keys, "s", "t").filter("s <> t").distinct(), "jumps")
+        k *= 2
+
+
+def unfolded(ends: DataFrame, parents: DataFrame) -> DataFrame:
+    """Rows (trace_id, t): the nodes ``ends`` and all their ancestors under ``parents`` (trace_id, t, p), which must be free of cycles.
+
+    Ancestors 1, 2, 4, ... steps up are joined in turn, each round with the square of the table before.
+    """
+    on, rows = ends.select("trace_id", "t"), F.count(F.lit(1))
+    up, seen = land_measured(parents, "ancestors", rows=rows)
+    while seen["rows"]:
+        on = land(on.unionByName(on.join(up, ["trace_id", "t"]).select("trace_id", F.col("p").alias("t"))), "path")
+        twice = up.select("trace_id", "t", F.col("p").alias("m")).join(up.withColumnRenamed("t", "m"), ["trace_id", "m"]).select("trace_id", "t", "p")
+        up, seen = land_measured(twice, "ancestors", rows=rows)
+    return on
+
+
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (trace_id, t, comp): the least node number of each node's undirected component.
+
+    Every node keeps a label, at first its own number. In a round the labels of neighbours' labels are offered to a node and to its label,
+    and the least offer wins; rounds follow the logarithm of the longest chain.
+    """
+    both, before = land(turned(links), "both-ways"), None
+    f = nodes.select("trace_id", F.col("node_seq").alias("t"), F.col("node_seq").alias("f"))
+    while True:
+        g = f.select("trace_id", F.col("t").alias("f"), F.col("f").alias("g"))
+        state = f.join(g, ["trace_id", "f"])
+        offers = both.join(state.select("trace_id", F.col("t").alias("s"), F.col("g").alias("offer")), ["trace_id", "s"]).groupBy("trace_id", "t").agg(F.min("offer").alias("offer"))
+        asked = state.join(offers, ["trace_id", "t"], "left").withColumn("offer", F.least(F.coalesce("offer", "g"), "g"))
+        ways = F.array(F.struct("t", "offer"), F.struct(F.col("f").alias("t"), "offer"))
+        won = asked.select("trace_id", F.explode(ways).alias("x")).groupBy("trace_id", "x.t").agg(F.min("x.offer").alias("f"))
+        f, seen = land_measured(won, "labels", total=F.sum(F.col("f").cast("decimal(38,0)")))
+        if seen["total"] == before:
+            return f.withColumnRenamed("f", "comp")
+        before = seen["total"]
 
-def _distances(adj: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All-pairs hop distance (-1 unreachable) and shortest-path counts."""
-    n = len(adj)
-    dist, sigma = np.full((n, n), -1), np.eye(n)
-    np.fill_diagonal(dist, 0)
-    front, d = np.eye(n), 0
-    while front.any():
-        front = front @ adj
-        front[dist >= 0] = 0
-        d += 1
-        dist[front > 0] = d
-        sigma += front
-    return dist, sigma
 
+# ---------------------------------------------------------------- page rank
 
 def _pagerank(w: np.ndarray, alpha: float = 0.85, tol: float = 1e-6, rounds: int = 100) -> np.ndarray:
     n = len(w)
@@ -51,129 +157,26 @@ def _pagerank(w: np.ndarray, alpha: float = 0.85, tol: float = 1e-6, rounds: int
     return x
 
 
-def _measure(row) -> tuple:
-    index = {v: i for i, v in enumerate(row.ids)}
-    n = len(index)
-    w = np.zeros((n, n))
-    for s, t, x in zip(row.src, row.dst, row.weight):
-        w[index[s], index[t]] = x
-    adj = (w > 0).astype(float)
-    dist, sigma = _distances(adj)
-    und, _ = _distances(np.maximum(adj, adj.T))
-    comp = (und >= 0).argmax(axis=1)  # first reachable node names the component
-    names, sizes = np.unique(comp, return_counts=True)
-    big = comp == names[sizes.argmax()]
-    inner = und[np.ix_(big, big)]
-    k = len(inner)
-    reach = (dist >= 0).sum(axis=0)
-    total = np.where(dist > 0, dist, 0).sum(axis=0)
-    close = np.where(total > 0, (reach - 1.0) ** 2 / np.maximum(total, 1) / max(n - 1, 1), 0.0)
-    between = np.zeros(n)
-    if n > 2:
-        safe = np.where(sigma > 0, sigma, 1.0)
-        for v in range(n):
-            via = (dist[:, [v]] >= 0) & (dist[[v], :] >= 0) & (dist[:, [v]] + dist[[v], :] == dist)
-            via[v, :] = False
-            via[:, v] = False
-            between[v] = (np.outer(sigma[:, v], sigma[v]) / safe)[via].sum()
-        between /= (n - 1) * (n - 2)
-    url = np.asarray(row.is_url, dtype=bool)
-    depth = int(dist[url].max()) if url.any() else 0
-    return (row.trace_id, len(names), inner.sum() / (k * (k - 1)) if k > 1 else 0.0, int(inner.max()), between.max(),
-            close.max(), _pagerank(w).max(), depth, n)
-
-
-def _measure_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in OUT.split(", ")]
+def _rank_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame([_measure(r) for r in batch.itertuples(index=False)], columns=names)
+        rows = []
+        for r in batch.itertuples(index=False):
+            index = {v: i for i, v in enumerate(r.ids)}
+            w = np.zeros((len(index), len(index)))
+            for s, t, x in zip(r.src, r.dst, r.weight):
+                w[index[s], index[t]] = x
+            rows.append((r.trace_id, _pagerank(w).max()))
+        yield pd.DataFrame(rows, columns=["trace_id", "x"])
 
 
 def _packed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row per trace with its node and edge lists; only for traces known to be small."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nodes, edges = nodes.repartition(parts, "trace_id"), edges.repartition(parts, "trace_id")
-    n = nodes.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct(
-        "node_seq", F.xxhash64("node").alias("id"), (F.col("node_type") == "url").alias("u")))).alias("n"))
-    e = edges.groupBy("trace_id").agg(F.collect_list(F.struct(
-        F.xxhash64("src").alias("s"), F.xxhash64("dst").alias("t"), "weight")).alias("e"))
-    packed = n.join(e, "trace_id", "left").withColumn("e", F.coalesce("e", F.expr(
-        "cast(array() as array<struct<s:bigint,t:bigint,weight:double>>)")))
-    return packed.select("trace_id", F.col("n.id").alias("ids"), F.col("n.u").alias("is_url"),
-                         F.col("e.s").alias("src"), F.col("e.t").alias("dst"), F.col("e.weight").alias("weight"))
-
-
-def by_size(nodes: DataFrame, edges: DataFrame, limit: int):
-    """Split the traces at ``limit`` nodes: (small nodes, small edges, large nodes, large edges)."""
-    size = nodes.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"))
-    large = land(size.filter(F.col("n") > limit).select("trace_id"), "large-traces")
-    if large.isEmpty():
-        return nodes, edges, None, None
-    return (nodes.join(large, "trace_id", "left_anti"), edges.join(large, "trace_id", "left_anti"),
-            nodes.join(large, "trace_id", "left_semi"), edges.join(large, "trace_id", "left_semi"))
-
-
-def _histogram_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for r in batch.itertuples(index=False):
-            index = {v: i for i, v in enumerate(r.ids)}
-            adj = np.zeros((len(index), len(index)))
-            for s, t in zip(r.src, r.dst):
-                adj[index[s], index[t]] = 1.0
-            dist, sigma = _distances(adj)
-            rows += [(r.trace_id, d, (dist == d).sum(), sigma[dist == d].sum()) for d in range(dist.max() + 1)]
-        yield pd.DataFrame(rows, columns=["trace_id", "d", "n_pairs", "n_paths"])
-
-
-def bfs(edges: DataFrame, sources: DataFrame) -> tuple[DataFrame, int]:
-    """All breadth-first levels as one table (trace_id, source, node, sigma, d) and their number.
-
-    Each level is one ``d=`` folder of the table, so the next round reads every
-    node seen so far with a single scan and a single anti join.
-    """
-    spark, base = edges.sparkSession, scratch_path(edges.sparkSession, "bfs")
-    key = ["trace_id", "source", "node"]
-    step = edges.select("trace_id", F.col("src").alias("node"), F.col("dst").alias("next"))
-    first = sources.select("trace_id", F.col("node").alias("source"), "node", F.lit(1.0).alias("sigma"))
-    schema = first.withColumn("d", F.lit(0)).schema
-    first.write.parquet(f"{base}/d=0")
-    depth = 1
-    while True:
-        seen = spark.read.schema(schema).parquet(base)
-        nxt = seen.filter(F.col("d") == depth - 1).join(step, ["trace_id", "node"]).groupBy(
-            "trace_id", "source", F.col("next").alias("node")).agg(F.sum("sigma").alias("sigma"))
-        nxt.join(seen.select(*key), key, "left_anti").select(*key, "sigma").write.parquet(f"{base}/d={depth}")
-        table = spark.read.schema(schema).parquet(base)
-        if table.filter(F.col("d") == depth).isEmpty():
-            return table, depth
-        depth += 1
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _dependency(table: DataFrame, depth: int, edges: DataFrame) -> DataFrame:
-    """Sum over sources of the pair dependencies of every node, deepest level first."""
-    step = edges.select("trace_id", F.col("src").alias("node"), F.col("dst").alias("next"))
-    below = table.filter(F.col("d") == depth - 1).withColumn("delta", F.lit(0.0))
-    parts = []
-    for d in range(depth - 2, 0, -1):
-        level = table.filter(F.col("d") == d)
-        child = below.select("trace_id", "source", F.col("node").alias("next"),
-                             ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
-        got = level.join(step, ["trace_id", "node"]).join(child, ["trace_id", "source", "next"]).groupBy(
-            "trace_id", "source", "node").agg(F.sum("share").alias("share"))
-        below = land(level.join(got, ["trace_id", "source", "node"], "left").withColumn(
-            "delta", F.coalesce(F.col("share"), F.lit(0.0)) * F.col("sigma")).drop("share"), "dependency")
-        parts.append(below.select("trace_id", "node", "delta"))
-    if not parts:
-        return table.filter("d = 0").select("trace_id", "node", F.lit(0.0).alias("delta"))
-    return _union(parts).groupBy("trace_id", "node").agg(F.sum("delta").alias("delta"))
+    n = nodes.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("node_seq", F.xxhash64("node").alias("id")))).alias("n"))
+    e = edges.groupBy("trace_id").agg(F.collect_list(F.struct(F.xxhash64("src").alias("s"), F.xxhash64("dst").alias("t"), "weight")).alias("e"))
+    packed = n.join(e, "trace_id", "left").withColumn("e", F.coalesce("e", F.expr("cast(array() as array<struct<s:bigint,t:bigint,weight:double>>)")))
+    return packed.select("trace_id", F.col("n.id").alias("ids"), F.col("e.s").alias("src"), F.col("e.t").alias("dst"), F.col("e.weight").alias("weight"))
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tol: float = 1e-6,
@@ -200,70 +203,56 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tol: float
     return cur.select(*keys, "x")
 
 
-def _large(nodes: DataFrame, edges: DataFrame, block: int) -> DataFrame:
-    nodes, edges = land(nodes, "large-nodes"), land(edges, "large-edges")
+def pagerank_max(nodes: DataFrame, edges: DataFrame, packed: int = PACKED) -> DataFrame:
+    """Rows (trace_id, x): the largest PageRank of each trace. Both ways give the same numbers."""
     size = nodes.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"))
-    biggest = size.agg(F.max("n")).first()[0]
-    blocks = max(1, -(-biggest // block))
-    both = land(edges.select("trace_id", "src", "dst").unionByName(
-        edges.select("trace_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "large-both")
-    seq = nodes.select("trace_id", "node", "node_seq")
-    to_node, from_url, depend, reach = [], [], [], []
-    for b in range(blocks):
-        part = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == b)
-        pairs, depth = bfs(edges, part)
-        to_node.append(land(pairs.groupBy("trace_id", "node").agg(F.sum("d").alias("s"), F.count(F.lit(1)).alias("r")),
-                            "closeness"))
-        from_url.append(pairs.join(part.filter("node_type = 'url'").select("trace_id", F.col("node").alias("source")),
-                                   ["trace_id", "source"], "left_semi").groupBy("trace_id").agg(F.max("d").alias("d")))
-        depend.append(_dependency(pairs, depth, edges))
-        around, _ = bfs(both, part)
-        reach.append(land(around.join(seq, ["trace_id", "node"]).groupBy("trace_id", "source").agg(
-            F.sum("d").alias("s"), F.max("d").alias("far"), F.count(F.lit(1)).alias("r"),
-            F.min("node_seq").alias("comp")), "reach"))
-    comp = _union(reach).groupBy("trace_id", "comp").agg(F.sum("s").alias("s"), F.max("far").alias("far"),
-                                                         F.count(F.lit(1)).alias("k"))
+    large = land(size.filter(F.col("n") > packed).select("trace_id"), "large-traces")
+    ranks = f"trace_id {dict(nodes.dtypes)['trace_id']}, x double"
+    if large.isEmpty():
+        return _packed(nodes, edges).mapInPandas(_rank_batches, ranks)
+    side = lambda how: (nodes.join(large, "trace_id", how), edges.join(large, "trace_id", how))
+    small = _packed(*side("left_anti")).mapInPandas(_rank_batches, ranks)
+    return small.unionByName(pagerank(*side("left_semi")).groupBy("trace_id").agg(F.max("x").alias("x")))
+
+
+# ---------------------------------------------------------------- metrics
+
+def path_metrics(nodes: DataFrame, edges: DataFrame, packed: int = PACKED) -> DataFrame:
+    """One row of path metrics per trace."""
+    nodes = land(nodes.select("trace_id", "node", "node_seq", "node_type"), "path-nodes")
+    links = land(numbered(nodes, edges), "path-links")
+    ahead, around = all_pairs(nodes, links), all_pairs(nodes, turned(links), both=True)
+    size = nodes.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"))
+
+    ends = F.when(F.col("s") == F.col("t"), F.array("t")).otherwise(F.array("s", "t"))
+    around = around.select("trace_id", F.explode(ends).alias("t"), "d").groupBy("trace_id", "t").agg(F.sum("d").alias("s"), F.max("d").alias("far"))
+    comp = around.join(components(nodes, links), ["trace_id", "t"]).groupBy("trace_id", "comp").agg(
+        F.sum("s").alias("s"), F.max("far").alias("far"), F.count(F.lit(1)).alias("k"))
     best = comp.groupBy("trace_id").agg(F.count(F.lit(1)).alias("num_connected_components"),
                                         F.min_by(F.struct("s", "far", "k"), F.struct(-F.col("k"), "comp")).alias("c"))
-    close = _union(to_node).groupBy("trace_id", "node").agg(F.sum("s").alias("s"), F.sum("r").alias("r"))
-    close = close.join(size, "trace_id").groupBy("trace_id").agg(F.max(
+    close = ahead.groupBy("trace_id", "t").agg(F.sum("d").alias("s"), F.count(F.lit(1)).alias("r")).join(size, "trace_id").groupBy("trace_id").agg(F.max(
         div((F.col("r") - 1) * (F.col("r") - 1), F.col("s") * F.greatest(F.lit(1), F.col("n") - 1))).alias("close"))
-    between = _union(depend).groupBy("trace_id", "node").agg(F.sum("delta").alias("b")).groupBy("trace_id").agg(
-        F.max("b").alias("b"))
-    deepest = _union(from_url).groupBy("trace_id").agg(F.max("d").alias("depth"))
-    rank = pagerank(nodes, edges).groupBy("trace_id").agg(F.max("x").alias("x"))
+    between = dependencies(ahead).groupBy("trace_id", "v").agg(F.sum("dep").alias("b")).groupBy("trace_id").agg(F.max("b").alias("b"))
+    urls = nodes.filter("node_type = 'url'").select("trace_id", F.col("node_seq").alias("s"))
+    deepest = ahead.join(urls, ["trace_id", "s"], "left_semi").groupBy("trace_id").agg(F.max("d").alias("depth"))
     j = size.join(best, "trace_id").join(close, "trace_id").join(between, "trace_id", "left").join(
-        deepest, "trace_id", "left").join(rank, "trace_id")
+        deepest, "trace_id", "left").join(pagerank_max(nodes, edges, packed), "trace_id")
     k, n = F.col("c.k"), F.col("n")
     return j.select(
-        "trace_id", F.col("num_connected_components").cast("long"),
-        div(F.col("c.s"), k * (k - 1)).alias("avg_path_length"), F.col("c.far").cast("long").alias("diameter"),
-        F.when(n > 2, div(F.coalesce("b", F.lit(0.0)), (n - 1) * (n - 2))).otherwise(0.0)
-        .alias("betweenness_centrality_max"), F.col("close").alias("closeness_centrality_max"),
-        F.col("x").alias("pagerank_max"), F.coalesce(F.col("depth"), F.lit(0)).cast("long").alias("max_redirect_depth"),
-        n.cast("long").alias("n_nodes"))
+        "trace_id", F.col("num_connected_components").cast("long"), div(F.col("c.s"), k * (k - 1)).alias("avg_path_length"),
+        F.col("c.far").cast("long").alias("diameter"),
+        F.when(n > 2, div(F.coalesce("b", F.lit(0.0)), (n - 1) * (n - 2))).otherwise(0.0).alias("betweenness_centrality_max"),
+        F.col("close").alias("closeness_centrality_max"), F.col("x").alias("pagerank_max"),
+        F.coalesce(F.col("depth"), F.lit(0)).cast("long").alias("max_redirect_depth"), n.cast("long").alias("n_nodes"))
 
 
-def path_metrics(nodes: DataFrame, edges: DataFrame, limit: int = 512, block: int = 1024) -> DataFrame:
-    """One row of path metrics per trace."""
-    n, e, big_n, big_e = by_size(nodes, edges, limit)
-    small = _packed(n, e).mapInPandas(_measure_batches, OUT)
-    return small if big_n is None else small.unionByName(_large(big_n, big_e, block))
+def distance_histogram(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Ordered node pairs and shortest paths per trace and hop distance."""
+    pairs = all_pairs(nodes, land(numbered(nodes, edges), "path-links"))
+    return pairs.groupBy("trace_id", F.col("d").cast("long").alias("d")).agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.sum("sigma").cast("long").alias("n_paths"))
 
 
-def distance_histogram(nodes: DataFrame, edges: DataFrame, limit: int = 512, block: int = 1024) -> DataFrame:
-    """Ordered node pairs and shortest paths per trace and hop distance."""
-    n, e, big_n, big_e = by_size(nodes, edges, limit)
-    out = _packed(n, e).mapInPandas(_histogram_batches, "trace_id long, d long, n_pairs long, n_paths double")
-    if big_n is not None:
-        big_n, big_e = land(big_n, "large-nodes"), land(big_e, "large-edges")
-        biggest = big_n.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        blocks = max(1, -(-biggest // block))
-        parts = []
-        for b in range(blocks):
-            table, _ = bfs(big_e, big_n.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == b))
-            parts.append(table.groupBy("trace_id", F.col("d").cast("long").alias("d")).agg(
-                F.count(F.lit(1)).alias("n_pairs"), F.sum("sigma").alias("n_paths")))
-        out = out.unionByName(_union(parts).groupBy("trace_id", "d").agg(
-            F.sum("n_pairs").alias("n_pairs"), F.sum("n_paths").alias("n_paths")))
-    return out.withColumn("n_paths", F.col("n_paths").cast("long"))
+def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Number of undirected components per trace, without distances."""
+    return components(nodes, land(numbered(nodes, edges), "path-links")).groupBy("trace_id").agg(F.countDistinct("comp").alias("num_connected_components"))

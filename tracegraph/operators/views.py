@@ -152,13 +152,22 @@ def content_view(tr: DataFrame, ev: DataFrame) -> DataFrame:
     return _page_view(tr, a)
 
 
+def _local(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    j = graph.degree_stats(nodes, edges).join(graph.clustering(nodes, edges), "trace_id").join(
+        graph.sensitive_field_stats(nodes), "trace_id").join(graph.url_node_stats(nodes), "trace_id").join(graph.node_time_stats(nodes), "trace_id")
+    return j.withColumn("form_to_node_ratio", div("num_forms", "num_nodes"))
+
+
+def local_view(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The graph features that need no paths between distant nodes."""
+    j = _local(nodes, edges)
+    return j.select("trace_id", *[F.col(c).cast("double").alias(c) for c in fixed.ITG_COLS if c in j.columns])
+
+
 def itg_view(nodes: DataFrame, edges: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
     """The 30 graph features of every trace."""
     metrics = paths.path_metrics(nodes, edges) if metrics is None else metrics
-    j = graph.degree_stats(nodes, edges).join(graph.clustering(nodes, edges), "trace_id").join(
-        graph.sensitive_field_stats(nodes), "trace_id").join(graph.url_node_stats(nodes), "trace_id").join(
-        graph.node_time_stats(nodes), "trace_id").join(metrics, "trace_id")
-    j = j.withColumn("form_to_node_ratio", div("num_forms", "num_nodes"))
+    j = _local(nodes, edges).join(metrics, "trace_id")
     return j.select("trace_id", *[F.col(c).cast("double").alias(c) for c in fixed.ITG_COLS])
 
 

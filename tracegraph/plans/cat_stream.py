@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from tracegraph import schema
 from tracegraph.operators import domains
-from tracegraph.plans.base_sql import ALL, HOSTS, I, R, sql
-from tracegraph.plans.cat_rules import DS
+from tracegraph.plans.base_sql import ALL, GRAPH, HOSTS, I, R, sql
+from tracegraph.plans.cat_rules import DS, RISK_CTE
+from tracegraph.plans.cat_scan import CHUNKS, chunk_docs
 from tracegraph.plans.cat_stats import RUNS, runs
 from tracegraph.plans.registry import query
 from tracegraph.session import land, scratch_path
@@ -46,13 +48,24 @@ def docs(t):
                        F.timestamp_micros("start_us").alias("ts"))
 
 
-@query("trace_stream_verdict", sql(ALL, "SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN forms_submitted >= 2 THEN 'phishing' ELSE 'benign' END AS verdict FROM tr) GROUP BY 1"))
+DOC_GRAPH = CHUNKS + """,
+dev AS (SELECT hash AS trace_id, pos AS raw_idx, url_before, url_after, event_type, element_tag, element_id, element_class, tus, form_field,
+   first_value(page_url) OVER (PARTITION BY hash ORDER BY pos) AS root_url FROM cd),
+drd AS (SELECT hash AS trace_id, page_url AS url, pos, lag(page_url) OVER (PARTITION BY hash ORDER BY pos) AS prev_url FROM cd),
+dtr AS (SELECT trace_id, any_value(root_url) AS url FROM dev GROUP BY 1)""" + GRAPH.replace("FROM ev ", "FROM dev ").replace("FROM rd", "FROM drd").replace("FROM tr", "FROM dtr")
+
+
+@query("trace_stream_verdict", sql(ALL + DOC_GRAPH + RISK_CTE, f"""SELECT trace_id AS hash, CASE WHEN risk_score > 0.5 THEN 'phishing' ELSE 'benign' END AS verdict,
+  {R('CASE WHEN risk_score > 0.5 THEN risk_score ELSE 1 - risk_score END')} AS confidence, risk_factors, 'heuristic' AS method FROM risk"""))
 def _(t):
-    out = scratch_path(t.spark, "verdicts")
-    q = streams.trace_stream_verdict(landed_stream(t, docs(t)), lambda b: b.withColumn("prediction", (F.col("forms") >= 2).cast("int")),
-                                     out, scratch_path(t.spark, "stream-checkpoint"))
-    q.awaitTermination()
-    return t.spark.read.parquet(out).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+    d = chunk_docs(t).withColumn("source", F.lit("feed"))
+    # every fifth document comes twice, in files of different batches
+    path, out, chk = scratch_path(t.spark, "landing"), scratch_path(t.spark, "verdicts"), scratch_path(t.spark, "stream-checkpoint")
+    again = F.when(F.crc32("hash") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    d.withColumn("again", F.explode(again)).repartitionByRange(2, "again").drop("again").write.json(path)
+    for _ in range(2):  # the second run finds nothing new
+        streams.trace_stream_verdict(streams.read_stream(t.spark, path, schema.TRACE, "json", files_per_batch=1), out, chk).awaitTermination()
+    return t.spark.read.parquet(out).select("hash", "verdict", "confidence", "risk_factors", "method")
 
 
 @query("promote_stream", sql(ALL, "SELECT CASE WHEN y = 1 THEN 'phishing' ELSE 'benign' END AS label, count(*) AS n FROM tr WHERE success GROUP BY 1"))
@@ -128,8 +141,12 @@ def _(t):
     step = (F.when(F.col("event_type") == "submit", "S").when(F.col("event_type") == "screenshot", "E")
             .when(F.col("url_after") != F.col("url_before"), "A").otherwise("-"))
     e = t.ev.select("trace_id", "tus", "event_id", step.alias("step")).filter("step <> '-'")
-    # one file per trace group keeps a trace's events in one batch, in order
-    path = scratch_path(t.spark, "landing")
-    e.repartition(4, "trace_id").sortWithinPartitions("trace_id", "tus", "event_id").write.parquet(path)
-    s = streams.dual_submission_stream(streams.read_stream(t.spark, path, "trace_id long, tus long, event_id long, step string", files_per_batch=2))
-    return drained(t, s).groupBy("trace_id").agg(F.max("n_resubmits").alias("n_resubmits"))
+    path, out, chk = (scratch_path(t.spark, n) for n in ("landing", "resubmits", "stream-checkpoint"))
+    # events of a trace lie in any file and order; a far-off marker row then pushes the watermark past all of them
+    e.repartition(3, F.xxhash64("event_id")).write.parquet(path)
+    s = streams.dual_submission_stream(streams.read_stream(t.spark, path, "trace_id long, tus long, event_id long, step string", files_per_batch=1), "400 days")
+    streams.run_available(s, out, chk)
+    t.spark.range(1).select((-F.lit(1)).cast("long").alias("trace_id"), F.lit(4102444800000000).cast("long").alias("tus"), F.lit(-1).cast("long").alias("event_id"),
+                            F.lit("-").alias("step")).write.mode("append").parquet(path)
+    streams.run_available(s, out, chk)
+    return t.spark.read.schema(s.schema).parquet(out).groupBy("trace_id").agg(F.max("n_resubmits").alias("n_resubmits"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tracegraph.operators import critical, embed, structure
 from tracegraph.plans.base_sql import ALL, ANY, DOM, G_ALL, I, NETLOC, PATH, QUERY, R, SCHEME, sql
 from tracegraph.plans.cat_rules import BAG, C48
+from tracegraph.plans.cat_views import DIST
 from tracegraph.plans.registry import query
 
 SENSITIVE = ANY("form_field", ["password", "pass", "pwd", "email", "ssn", "card", "credit"])
@@ -128,7 +129,24 @@ def _(t):
     return critical.node_scores(t.nodes).select("trace_id", "node", "score")
 
 
-@query("critical_path")
+NODE_LABEL = "CASE WHEN n.node_seq = -1 THEN 'root' WHEN node_type = 'url' THEN 'redirect' ELSE concat_ws(':', node_type, element_tag) END"
+CRIT = DIST + f""",
+cl AS MATERIALIZED (SELECT n.trace_id, n.node_seq, score, {NODE_LABEL} AS label FROM nodes n JOIN nsc c ON c.trace_id = n.trace_id AND c.node = n.node),
+far AS MATERIALIZED (SELECT trace_id, t, d FROM reach WHERE s = -1),
+par AS MATERIALIZED (SELECT e.trace_id, e.t, min(e.s) AS p FROM ie e JOIN far a ON a.trace_id = e.trace_id AND a.t = e.s
+   JOIN far b ON b.trace_id = e.trace_id AND b.t = e.t WHERE b.d = a.d + 1 GROUP BY 1, 2),
+tgt AS MATERIALIZED (SELECT trace_id, arg_max(node_seq, (score, -node_seq)) AS t, arg_max(label, (score, -node_seq)) AS target, count(*) AS k FROM cl GROUP BY 1),
+way(trace_id, t, d) AS (SELECT g.trace_id, g.t, f.d FROM tgt g JOIN far f ON f.trace_id = g.trace_id AND f.t = g.t
+   UNION ALL SELECT w.trace_id, p.p, w.d - 1 FROM way w JOIN par p ON p.trace_id = w.trace_id AND p.t = w.t),
+wl8 AS (SELECT w.trace_id, list(label ORDER BY d) AS l FROM way w JOIN cl ON cl.trace_id = w.trace_id AND cl.node_seq = w.t GROUP BY 1),
+tp8 AS (SELECT trace_id, list(label ORDER BY score DESC, node_seq)[1:5] AS l FROM cl GROUP BY 1),
+cpl AS (SELECT g.trace_id, target, k, coalesce(wl8.l, tp8.l) AS l FROM tgt g JOIN tp8 USING (trace_id) LEFT JOIN wl8 USING (trace_id)),
+critical AS (SELECT trace_id, target, CASE WHEN k <= 1 THEN '' ELSE array_to_string(l, ' > ') END AS path,
+   CASE WHEN k <= 1 THEN 'Insufficient interaction data for path analysis.' ELSE array_to_string(list_transform(l, lambda x, i:
+     CASE WHEN i = 1 THEN 'Entry: ' || x WHEN i = len(l) THEN 'Target: ' || x ELSE 'Step ' || (i - 1) || ': ' || x END), ' -> ') END AS description FROM cpl)"""
+
+
+@query("critical_path", sql(G_ALL + SC + CRIT, "SELECT * FROM critical"))
 def _(t):
     return critical.critical_path(t.nodes, t.edges)
 

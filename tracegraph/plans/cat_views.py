@@ -62,7 +62,7 @@ def _(t):
 @query("wcc", sql(G_ALL + DIST + UDIST, f"""SELECT trace_id, {I('num_connected_components')} AS num_connected_components
   FROM ubest"""))
 def _(t):
-    return t.paths.select("trace_id", "num_connected_components")
+    return paths.weak_components(t.nodes, t.edges)
 
 
 @query("closeness_max", sql(G_ALL + DIST + CLOSE, f"SELECT trace_id, {R('c')} AS closeness_centrality_max FROM clo"))
