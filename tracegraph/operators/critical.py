@@ -67,9 +67,10 @@ def critical_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Shortest path from the root to the most suspicious node, as labels and as text."""
     raw = critical_nodes(node_scores(nodes), edges)
     parts = F.split("path", PATH_SEP)
-    last = F.size(parts) - 1
-    text = F.array_join(F.transform(parts, lambda x, i: F.when(i == 0, F.concat(F.lit("Entry: "), x)).when(
-        i == last, F.concat(F.lit("Target: "), x)).otherwise(F.concat(F.lit("Step "), i.cast("string"), F.lit(": "), x))), " -> ")
+    n = F.size(parts)
+    steps = F.transform(F.slice(parts, F.lit(2), F.greatest(n - 2, F.lit(0))), lambda x, i: F.concat(F.lit("Step "), (i + 1).cast("string"), F.lit(": "), x))
+    target = F.when(n > 1, F.array(F.concat(F.lit("Target: "), F.element_at(parts, -1)))).otherwise(F.array().cast("array<string>"))
+    text = F.array_join(F.concat(F.array(F.concat(F.lit("Entry: "), parts[0])), steps, target), " -> ")
     size = nodes.groupBy("trace_id").agg(F.count(F.lit(1)).alias("k"))
     short = F.col("k") <= 1
     return raw.join(size, "trace_id").select(
