@@ -23,7 +23,6 @@ from tracegraph.llm.common import land, scratch_path
 MAGIC = b"\x1f\x8b\x08"
 BLOCK = 1 << 20
 CHAIN = 16  # members that must follow one another where a range starts inside a file
-HEADER_LIMIT = 1 << 20  # a candidate without the end of its headers by then is no record
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "path string, bytes bigint, records bigint"
 RECORD = ("path string, offset bigint, record_id string, record_type string, target_uri string, refers_to string, "
@@ -155,24 +154,22 @@ class _Window:
 
 def _member(w: _Window, place: int) -> tuple[bytes, int] | None:
     """The content of the member at ``place`` and its end; None if it is no WARC record."""
-    unpack, out, at, checked = zlib.decompressobj(31), [], place, False
-    size = 0
+    unpack, out, at, begun, checked = zlib.decompressobj(31), [], place, False, False
     while not unpack.eof:
         while at >= w.at + len(w.data):
             if not w.more():
                 return None
-        chunk = w.data[at - w.at:at - w.at + (BLOCK if checked else 4096)]
+        chunk = w.data[at - w.at:at - w.at + (BLOCK if begun else 4096)]
         try:
             out.append(unpack.decompress(chunk))
         except zlib.error:
             return None
-        size += len(out[-1])
         at += len(chunk) - len(unpack.unused_data)
         if not checked:
             head = b"".join(out)
-            if not b"WARC/".startswith(head[:5]) or (b"\r\n\r\n" not in head and size > HEADER_LIMIT):
+            if not b"WARC/".startswith(head[:5]):
                 return None
-            out, checked = [head], b"\r\n\r\n" in head
+            out, begun, checked = [head], len(head) >= 5, b"\r\n\r\n" in head  # headers are read to their end, however long
     return (b"".join(out), at) if checked else None
 
 
@@ -259,7 +256,13 @@ def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = 8
 def archive_pages(spark: SparkSession, pages: DataFrame, level: int = 3, split_bytes: int = 8 << 20) -> DataFrame:
     """Write ``pages`` (page_id, url, html) to archives in the shared folder and return the records read back from them.
 
-    Any null, empty or repeated row makes a record; an empty table makes no archive and gives no records.
+    Any null, empty or repeated row makes a record; an empty table makes no archive and gives no records. An archive that gives
+    another number of records than were written to it is an error.
     """
     manifest = write_archives(with_revisits(pages), scratch_path(spark, "warc"), level)
-    return read_archives(spark, manifest, split_bytes)
+    records = read_archives(spark, manifest, split_bytes)
+    counted = records.groupBy("path").agg(F.count("*").alias("found"))
+    wrong = manifest.join(counted, "path", "left").filter(F.coalesce("found", F.lit(0)) != F.col("records")).select("path", "records", "found").take(5)
+    if wrong:
+        raise ValueError(f"archives with lost records: {wrong}")
+    return records
