@@ -22,17 +22,21 @@ IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20:
                 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
 _FIXED = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items())
 IBAN = rf"(?<![A-Za-z0-9])(?:{_FIXED}|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}(?![A-Za-z0-9]))"
+# a long value of keys and tokens: letters and digits without a break
+SECRET = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+=*+"
 # a cheaper look that every text with a match passes
-GUARD = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]"}
-PATTERN = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN}
+GUARD = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]",
+         "secret": r"[A-Za-z0-9+/_-]{20}"}
+PATTERN = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "secret": SECRET}
 KINDS = list(PATTERN)  # base kinds first; the order breaks ties of equal starts
 BASE = 4
 # score without context; words within CONTEXT code points raise or lower it
-PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.85}
+PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.85, "secret": 0.3}
+GAIN = {"secret": 0.3}  # by what a word nearby raises the score, 0.15 for other kinds
 RAISES = {"email": "mail|contact|write", "ip": "ip|host|server|address", "card": "card|visa|master|credit|pay", "phone": "phone|tel|call|mobile|fax",
-          "iban": "iban|account|bank|transfer"}
+          "iban": "iban|account|bank|transfer", "secret": "token|key|api|secret|passw|pwd|auth|credential|bearer"}
 LOWERS = "order|invoice|version|serial|isbn|sample|test"
-CONTEXT = 40
+CONTEXT = 40  # code points on either side
 CHUNK = 256
 
 
@@ -73,6 +77,11 @@ def _confirmed(kind: str, match: Column) -> Column:
     if kind == "iban":
         plain = F.replace(match, F.lit(" "), F.lit(""))
         return F.when(F.length(plain).between(15, 34), _mod97(plain)).otherwise(False)
+    if kind == "secret":
+        # length, both letters and digits, and too many different characters for a word, a number or a rule of signs
+        count = lambda p: F.regexp_count(match, F.lit(p))
+        varied = F.size(F.array_distinct(F.split(match, ""))) >= 10
+        return F.when(F.length(match) <= 512, (count("[0-9]") >= 4) & (count("[A-Za-z]") >= 4) & varied).otherwise(False)
     return F.lit(True)
 
 
@@ -91,7 +100,7 @@ def _spans(text: Column, kind: str) -> Column:
             end = F.get(ends, i)
             start = end - F.length(m)
             around = F.lower(F.substring(text, F.greatest(start - CONTEXT + 1, F.lit(1)).cast("int"), (F.length(m) + 2 * CONTEXT).cast("int")))
-            score = (F.lit(PRIOR[kind]) + F.when(around.rlike(rf"\b({RAISES[kind]})"), 0.15).otherwise(0.0)
+            score = (F.lit(PRIOR[kind]) + F.when(around.rlike(rf"\b({RAISES[kind]})"), GAIN.get(kind, 0.15)).otherwise(0.0)
                      - F.when(around.rlike(rf"\b({LOWERS})"), 0.2).otherwise(0.0))
             return F.struct(start.cast("bigint").alias("start"), F.lit(rank).alias("rank"), end.cast("bigint").alias("end"),
                             F.lit(kind).alias("kind"), m.alias("text"), F.round(score, 2).alias("score"))
@@ -107,7 +116,7 @@ def find_pii(docs: DataFrame, text: str = "text", min_score: float = 0.5) -> Dat
     """Add ``pii`` to ``docs``: array of (start, rank, end, kind, text, score), by start, then kind.
 
     Spans of the base kinds (email, ip, card, phone) stay whatever their score; an account number (iban) needs a
-    right mod-97 checksum and ``min_score``. Spans of different kinds may overlap. A null or empty text has no
+    right mod-97 checksum and ``min_score``, a secret (the value of a key or token) its length, characters and ``min_score``, which it reaches by a word nearby. Spans of different kinds may overlap. A null or empty text has no
     spans, repeated rows get equal ones, an empty table stays empty, and a column named ``pii`` gives way.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() == "pii"])

@@ -118,7 +118,8 @@ def _(spark, sf_dir):
     spans = F.col("pii")
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     return found.select("doc_id", *[count(k) for k in pii.KINDS[:pii.BASE]],
-                        F.sha2(said(F.filter(spans, lambda s: s["rank"] < pii.BASE)).cast("binary"), 256).alias("base_sha256"), said(spans).alias("spans"))
+                        F.sha2(said(F.filter(spans, lambda s: s["rank"] < pii.BASE)).cast("binary"), 256).alias("base_sha256"), said(spans).alias("spans"),
+                        F.size(spans).cast("bigint").alias("n_spans"), *[count(k) for k in pii.KINDS[pii.BASE:]])
 
 
 WARC_SQL = """
