@@ -1,95 +1,48 @@
 """A corpus pipeline of five operators: quality, near-duplicates, benchmarks, source mix, shards.
 
 Every stage takes the whole table that its predecessor kept. ``run`` writes each stage's rows to the
-shared folder and reads them back, so a lost executor costs one stage at most. A stage begins by
-deleting the tables that operators of earlier stages have landed: their results are written by then.
+shared folder and reads them back, so a lost executor costs one stage at most; what the stage has landed on
+the way is deleted once its rows are written.
+
+Rows without text or id, repeated rows and tables without rows pass through every stage as its operator says; columns
+of any name are kept, and the columns that sharding adds get longer names where they are taken.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
-from functools import wraps
+from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tracegraph.llm import decontaminate, mixing, quality_model, sharding, simhash
-from tracegraph.llm.common import WORD, delete, fresh, land, noting, table
+from tracegraph.llm.common import delete, noting, table
 from tracegraph.session import land as keep
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_landed: dict[str, list[str]] = {}  # by application: what the last stage landed
-
-
-def staged(stage: Stage) -> Stage:
-    """A stage that first deletes what the stage before it has landed; tables landed by anything else stay."""
-
-    @wraps(stage)
-    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        paths = _landed.setdefault(spark.sparkContext.applicationId, [])
-        delete(spark, paths)
-        with noting(paths):
-            return stage(spark, docs, sf_dir)
 
-    return call
 
-
-@staged
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the compression classifier rejects."""
+    """Drops the documents that the compression classifier rejects; texts without words are scored like any other, and without labels nothing is rejected by more than the constant score."""
     return quality_model.keep_good(spark, docs, table(spark, sf_dir, "labels"))
 
 
-@staged
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each near-duplicate group."""
+    """Keeps the document with the least id of each near-duplicate group; rows without id lose to those with one, texts without words are one group."""
     return simhash.drop_near_duplicates(docs)
 
 
-@staged
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold benchmark passages."""
+    """Drops documents that hold benchmark passages; rows without text or a benchmark without items lose nothing."""
     return decontaminate.drop_contaminated(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
-def _cut(text: str, ranges: list[dict], word) -> str:
-    """The words of the ranges with what stands between them."""
-    ends = [(m.start(), m.end()) for m in word.finditer(text)]
-    return "\n".join(text[ends[r["from"]][0]:ends[r["to"] - 1][1]] for r in ranges)
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix itself: each document as often as it is taken, a partial copy cut to its words; n_chars follows the text, and rows without words are not taken."""
+    return mixing.mixed(docs)
 
 
-@staged
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: each document as often as it is taken, a partial copy cut to its words; n_chars follows the text."""
-    columns, schema = docs.columns, docs.schema
-    rows = decontaminate.numbered(docs, columns)
-    taken = mixing.mix(rows.select("row", "doc.doc_id", "doc.text", "doc.source"), carry=["row"])
-    copies = land(taken.filter("taken > 0").select("row", "copies", "cuts"), "copies")
-    none = F.array().cast(copies.schema["cuts"].dataType)
-    each = F.concat(F.array_repeat(none, F.col("copies").cast("int")), F.when(F.size("cuts") > 0, F.array("cuts")).otherwise(F.array()))
-    cuts = fresh(columns, "_cuts")
-    text, chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else -1
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word = re.compile(WORD)
-        for batch in batches:
-            cols = list(batch.columns[:len(columns)])
-            ranges = batch.column(len(columns)).to_pylist()
-            if any(ranges):
-                texts = [_cut(t, c, word) if c else t for t, c in zip(cols[text].to_pylist(), ranges)]
-                cols[text] = pa.array(texts, cols[text].type)
-                if chars >= 0:
-                    own = cols[chars].to_pylist()
-                    cols[chars] = pa.array([len(t) if c else n for t, c, n in zip(texts, ranges, own)], cols[chars].type)
-            yield pa.RecordBatch.from_arrays(cols, names=columns)
-
-    return rows.join(copies, "row").select("doc.*", F.explode(each).alias(cuts)).mapInArrow(cut, schema)
-
-
-@staged
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its shard of eight of nearly equal bytes and its place there."""
+    """Every row with its shard of eight of nearly equal bytes and its place there; equal ids are ordered by text, null ids come first."""
     return sharding.shard_by_bytes(docs, shards=8, carry=[c for c in docs.columns if c != "doc_id"])
 
 
@@ -108,5 +61,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        steps: list[str] = []
+        with noting(steps):
+            rows = stage(spark, docs, sf_dir)
+        docs = keep(rows, name)
+        delete(spark, steps)
     return docs

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tracegraph.llm.common import land
+from tracegraph.llm.common import delete, land, noting
 
 WINDOW = 13
 BITS = 23  # the bitmap of test terms has 2^BITS places: one MB however many items there are
@@ -204,5 +204,9 @@ def numbered(docs: DataFrame, keep: list[str]) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
     """``docs`` without contaminated rows, all columns kept."""
     rows = numbered(docs, docs.columns)
-    bad = contamination(spark, rows.select("row", "doc.text"), items, window, share).filter("contaminated").select("row")
+    steps: list[str] = []
+    with noting(steps):
+        bad = contamination(spark, rows.select("row", "doc.text"), items, window, share).filter("contaminated").select("row")
+    bad = land(bad, "contaminated")
+    delete(spark, steps)
     return rows.join(bad, "row", "left_anti").select("doc.*")

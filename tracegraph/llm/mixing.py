@@ -15,11 +15,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tracegraph.llm.common import hash60, land, word_count
+from tracegraph.llm.common import WORD, delete, fresh, hash60, land, noting, word_count
 
 CELL_DOCS = 512  # documents in a cell, on average
 SHARD_CELLS = 256  # cells in a shard
@@ -80,7 +82,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), factor: float = 1
     A null text has size 0 and is taken 0 times. A null source is a source of its own and comes last.
     Sources without words get target 0. Rows that repeat are documents of their own; rows without id
     are placed by their text. An empty table gives no rows. Reruns agree, whatever the partitioning.
+    A carried column keeps its name, and a column of the result that is called so gets a longer one.
     """
+    named = lambda c: fresh(carry, c)
     text, source = F.col("text"), F.col("source").cast("string")
     ident = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
     sized = land(docs.select(
@@ -123,6 +127,45 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), factor: float = 1
     cut = lambda a, b: F.struct((F.greatest(a, F.col("from")) - F.col("from")).cast("bigint").alias("from"),
                                 (F.least(b, F.col("to")) - F.col("from")).cast("bigint").alias("to"))
     cuts = F.filter(F.array(cut(F.lit(0), F.col("b2")), cut(F.col("a1"), F.col("b1"))), lambda c: c["to"] > c["from"])
-    return x.select(
-        "doc_id", *[F.col(f"row.c{i}").alias(c) for i, c in enumerate(carry)], "size", "source_size", F.round("target", 6).alias("target"),
-        (F.col("copies") * F.col("size") + F.col("o1") + F.col("o2")).cast("bigint").alias("taken"), F.col("copies").cast("bigint").alias("copies"), cuts.alias("cuts"))
+    own = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.round("target", 6),
+           "taken": (F.col("copies") * F.col("size") + F.col("o1") + F.col("o2")).cast("bigint"), "copies": F.col("copies").cast("bigint"), "cuts": cuts}
+    return x.select(F.col("doc_id").alias(named("doc_id")), *[F.col(f"row.c{i}").alias(c) for i, c in enumerate(carry)], *[v.alias(named(c)) for c, v in own.items()])
+
+
+def _cut(text: str, ranges: list[dict], word) -> str:
+    """The words of the ranges with what stands between them."""
+    ends = [(m.start(), m.end()) for m in word.finditer(text)]
+    return "\n".join(text[ends[r["from"]][0]:ends[r["to"] - 1][1]] for r in ranges)
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: each document of ``docs`` as often as ``mix`` takes it, a partial copy cut to its words; n_chars, where there is one, follows the text.
+
+    All columns are kept, whatever their names. Null and empty texts are never taken. An empty table gives no rows.
+    """
+    columns, schema = docs.columns, docs.schema
+    rows = land(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc")), "rows")
+    steps: list[str] = []
+    with noting(steps):
+        taken = mix(rows.select("row", "doc.doc_id", "doc.text", "doc.source"), carry=["row"], **how)
+    copies = land(taken.filter("taken > 0").select("row", "copies", "cuts"), "copies")
+    delete(docs.sparkSession, steps)
+    none = F.array().cast(copies.schema["cuts"].dataType)
+    each = F.concat(F.array_repeat(none, F.col("copies").cast("int")), F.when(F.size("cuts") > 0, F.array("cuts")).otherwise(F.array()))
+    cuts = fresh(columns, "_cuts")
+    text, chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else -1
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = re.compile(WORD)
+        for batch in batches:
+            cols = list(batch.columns[:len(columns)])
+            ranges = batch.column(len(columns)).to_pylist()
+            if any(ranges):
+                texts = [_cut(t, c, word) if c else t for t, c in zip(cols[text].to_pylist(), ranges)]
+                cols[text] = pa.array(texts, cols[text].type)
+                if chars >= 0:
+                    own = cols[chars].to_pylist()
+                    cols[chars] = pa.array([len(t) if c else n for t, c, n in zip(texts, ranges, own)], cols[chars].type)
+            yield pa.RecordBatch.from_arrays(cols, names=columns)
+
+    return rows.join(copies, "row").select("doc.*", F.explode(each).alias(cuts)).mapInArrow(cut, schema)

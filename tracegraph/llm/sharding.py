@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tracegraph.llm.common import land
+from tracegraph.llm.common import fresh, land
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 8, order: str = "doc_id", text: str = "text",
@@ -27,8 +27,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, order: str = "doc_id", text
     Null keys come first; rows with equal keys are ordered by checksum, and rows equal in that
     too by their place in the input. An empty table gives an empty result; a shard can be empty where one
     row is larger than a shard's share. Columns outside ``order``, ``text`` and ``carry``
-    are never read, so their names cannot clash.
+    are never read, so their names cannot clash; a carried column keeps its name, and a column of the result that is called so gets a longer one.
     """
+    named = lambda c: fresh([order, *carry], c)
     body = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b""))
     src = docs.select(
         F.monotonically_increasing_id().alias("seq"), F.col(f"`{order}`").alias("key"), (F.octet_length(body) + F.lit(1)).cast("bigint").alias("size"),
@@ -60,9 +61,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, order: str = "doc_id", text
     out = placed.join(F.broadcast(first), "shard").select("seq", "key", "size", "text_crc32", "shard", (F.col("at") - F.col("first")).alias("slot"))
     if carry:
         out = out.join(src.select("seq", "row"), "seq")
-    return out.select(F.col("key").alias(order), *[F.col(f"row.c{i}").alias(c) for i, c in enumerate(carry)], "size", "text_crc32", "shard", "slot")
+    return out.select(F.col("key").alias(order), *[F.col(f"row.c{i}").alias(c) for i, c in enumerate(carry)],
+                      *[F.col(c).alias(named(c)) for c in ("size", "text_crc32", "shard", "slot")])
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """Write every shard to a folder of its own, rows of a shard in slot order within each file."""
+    """Write every shard to a folder of its own, rows of a shard in slot order within each file; an empty table writes none."""
     sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tracegraph.llm.common import fresh, land
+from tracegraph.llm.common import delete, fresh, land, noting
 from tracegraph.llm.components import components
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
@@ -222,6 +222,10 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     order = F.struct(F.col(f"`{key}`").isNull().alias("n"), F.col(f"`{key}`").alias("k"), F.col(row).alias("r"))
     landed = land(numbered, "rows")
-    prints = land(fingerprints(landed.select(order.alias("key"), F.col(f"`{text}`").alias("text"))), "fingerprints")
-    kept = with_components(prints).filter("key = component").select(F.col("component.r").alias(row))
+    steps: list[str] = []
+    with noting(steps):
+        prints = land(fingerprints(landed.select(order.alias("key"), F.col(f"`{text}`").alias("text"))), "fingerprints")
+        kept = with_components(prints).filter("key = component").select(F.col("component.r").alias(row))
+    kept = land(kept, "kept")
+    delete(docs.sparkSession, steps)
     return landed.join(kept, row, "left_semi").drop(row)
