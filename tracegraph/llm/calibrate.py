@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracegraph.llm.common import hash60, held_out
+from tracegraph.llm.common import fresh, hash60, held_out, least_rows
 
 
 def training_labels(labels: DataFrame, label: str, key: str = "doc_id") -> DataFrame:
@@ -21,7 +21,9 @@ def training_labels(labels: DataFrame, label: str, key: str = "doc_id") -> DataF
 
 def sample(train: DataFrame, rows: int, seed: int) -> DataFrame:
     """At most ``rows`` rows of ``train``, those with the least seeded hash."""
-    return train.orderBy(hash60(F.lit(str(seed)), F.col("key").cast("string")), "key").limit(rows)
+    place = fresh(train.columns, "_place")
+    near = least_rows(train.withColumn(place, hash60(F.lit(str(seed)), F.col("key").cast("string"))), place, rows)
+    return near.orderBy(place, "key").limit(rows).drop(place)
 
 
 def for_curve() -> Column:
