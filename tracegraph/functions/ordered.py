@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -91,13 +92,24 @@ def hash_order(seed: int, *cols: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
 
 
-def with_band(df: DataFrame, value: str, bands: int) -> DataFrame:
-    """Add ``_band``, the number of the band of ``value``; band edges are approximate quantiles of its distinct
-    values, so bands fill evenly wherever the values crowd."""
+BAND_ROWS = 100_000  # distinct values that a band may hold
+
+
+def with_band(df: DataFrame, value: str, bands: int = 256) -> DataFrame:
+    """Add ``_band``, the number of the band of ``value``, which doesn't decrease with it; nulls come first.
+
+    There is one band for every ``BAND_ROWS`` distinct values, ``bands`` at most. Edges are approximate quantiles of the distinct values, found by
+    binary search, so bands fill evenly wherever the values crowd.
+    """
+    n = df.agg(F.approx_count_distinct(value)).first()[0]
+    bands = min(bands, -(-n // BAND_ROWS))
+    if bands <= 1:
+        return df.withColumn("_band", F.lit(0.0))
     steps = [i / bands for i in range(1, bands)]
-    edges = df.select(value).distinct().agg(F.percentile_approx(value, steps, 10 * bands).alias("e")).scalar()
-    v = F.col(value)
-    return df.withColumn("_e", edges).withColumn("_band", F.size(F.filter("_e", lambda e: e < v))).drop("_e")
+    edges = df.select(F.col(value).cast("double").alias("v")).distinct().agg(F.percentile_approx("v", steps, 10 * bands)).first()[0]
+    cuts = [float("-inf"), *sorted(set(edges)), float("inf")]
+    out = Bucketizer(splits=cuts, inputCol="_v", outputCol="_band", handleInvalid="keep").transform(df.withColumn("_v", F.col(value).cast("double")))
+    return out.withColumn("_band", F.when(F.col("_v").isNull(), -1.0).otherwise(F.col("_band"))).drop("_v")
 
 
 def exact_percentiles(df: DataFrame, value: str, probs: dict[str, float], bands: int = 256) -> DataFrame:

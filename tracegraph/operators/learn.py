@@ -20,7 +20,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from tracegraph.operators import stats
+from tracegraph.operators import linear, stats
 from tracegraph.operators.embed import _project
 from tracegraph.session import land
 
@@ -145,6 +145,11 @@ def compare(df: DataFrame, cases: dict[str, tuple[list[str], Maker]], folds: int
     return fold_metrics(land(rows, "out-of-fold"), ["method"])
 
 
+def linear_compare(df: DataFrame, sets: dict[str, list[str]], folds: int = 10, c: float = 1.0) -> DataFrame:
+    """``compare`` for penalised logistic regression on several column sets, all folds and sets fitted together to the optimum."""
+    return fold_metrics(land(linear.out_of_fold(df, sets, folds, c), "out-of-fold"), ["method"])
+
+
 # ------------------------------------------------------------------ ensembles
 def view_scores(df: DataFrame, views: dict[str, list[str]], makers: dict[str, Maker], folds: int) -> DataFrame:
     """One out-of-fold probability column per view (the folds are the same for every view)."""
@@ -219,16 +224,16 @@ def stack_concat(df: DataFrame, columns: list[str], makers: dict[str, Maker], fo
 
 
 # ------------------------------------------------------------------ studies
-def information_gain(df: DataFrame, views: dict[str, list[str]], maker: Maker, folds: int = 5) -> DataFrame:
-    """F1 of each view alone, then the gain of adding views from strongest to weakest (start 0.5)."""
-    solo = compare(df, {v: (c, maker) for v, c in views.items()}, folds).select("method", "f1").collect()  # one row per view
+def information_gain(df: DataFrame, views: dict[str, list[str]], folds: int = 10) -> DataFrame:
+    """F1 of each view alone, then the gain of adding views from strongest to weakest (start 0.5), by penalised logistic regression."""
+    solo = linear_compare(df, views, folds).select("method", "f1").collect()  # one row per view
     order = [r["method"] for r in sorted(solo, key=lambda r: (-r["f1"], r["method"]))]
     cases, cols = {}, []
     for n, v in enumerate(order):
         cols = cols + views[v]
-        cases[f"{n + 1}:{v}"] = (cols, maker)
-    grown = compare(df, cases, folds).select(F.split_part("method", F.lit(":"), F.lit(1)).cast("int").alias("view_rank"),
-                                             F.split_part("method", F.lit(":"), F.lit(2)).alias("view"), "f1")
+        cases[f"{n + 1}:{v}"] = cols
+    grown = linear_compare(df, cases, folds).select(F.split_part("method", F.lit(":"), F.lit(1)).cast("int").alias("view_rank"),
+                                                    F.split_part("method", F.lit(":"), F.lit(2)).alias("view"), "f1")
     alone = df.sparkSession.createDataFrame([(r["method"], r["f1"]) for r in solo], "view string, solo_f1 double")
     return stats.running_view_gain(grown).join(alone, "view")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracegraph.functions import ordered
@@ -114,19 +115,53 @@ def mutual_information(df: DataFrame, features: dict[str, list[str]], label: str
         "view").agg(F.sum("mi").alias("mutual_information"))
 
 
-def view_redundancy(df: DataFrame, features: dict[str, list[str]], first: int | None = None) -> DataFrame:
-    """Mean absolute correlation between the columns of every two views (``first``: only so many of each), from one pass of moments."""
-    heads = {v: cs[:first] for v, cs in features.items()}
-    pairs = list(combinations(heads, 2))
-    aggs, plan = [], []
-    for a, b in pairs:
-        cells = [F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)) for x in heads[a] for y in heads[b]]
-        plan.append(F.struct(F.lit(a).alias("view_a"), F.lit(b).alias("view_b"), F.array(*cells).alias("c")))
-    aggs = df.agg(F.array(*plan).alias("p"))
-    row = aggs.select(F.explode("p").alias("p")).select("p.*")
-    good = F.filter("c", lambda x: x.isNotNull() & ~F.isnan(x))
-    return row.select("view_a", "view_b", F.when(F.size(good) > 0, F.aggregate(good, F.lit(0.0), lambda s, x: s + F.abs(x)) / F.size(good))
-                      .otherwise(0.0).alias("redundancy"))
+def view_redundancy(df: DataFrame, features: dict[str, list[str]]) -> DataFrame:
+    """Mean absolute correlation between the columns of every two views, from one pass of cross products; constant columns are left out."""
+    from tracegraph.operators import linear
+
+    columns = [c for cs in features.values() for c in cs]
+    r, at = np.abs(linear.correlations(df, columns)), {v: [columns.index(c) for c in cs] for v, cs in features.items()}
+    rows = []
+    for a, b in combinations(features, 2):
+        cells = r[np.ix_(at[a], at[b])]
+        cells = cells[~np.isnan(cells)]
+        rows.append((a, b, float(cells.mean()) if len(cells) else 0.0))
+    return df.sparkSession.createDataFrame(rows, "view_a string, view_b string, redundancy double")
+
+
+def naive_bayes(df: DataFrame, features: dict[str, list[str]], folds: int = 5, key: str = "trace_id", floor: float = 1e-6) -> DataFrame:
+    """Rows (key, y, view, llr): log odds of the positive class by each view's columns, from Gaussians of the rows outside the row's fold, without the prior.
+
+    Columns are taken one by one: the moments of a (column, fold, class) are sums over folds, and the odds of a row add up over columns.
+    ``floor`` is added to variances. Missing values count as 0.
+    """
+    pairs = F.array(*[F.struct(F.lit(v).alias("view"), F.lit(c).alias("f"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("x")) for v, cs in features.items() for c in cs])
+    columns = [c for cs in features.values() for c in cs]
+    long = stratified_folds(df.select(key, "y", *columns), folds, key=key).select(key, "y", "fold", F.explode(pairs).alias("p")).select(key, "y", "fold", "p.*")
+    own = land(long.groupBy("f", "fold", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q")), "moments")
+    every = own.groupBy("f", "y").agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"), F.sum("q").alias("tq"))
+    slots = own.select("f", "fold").distinct().join(every, "f").join(own, ["f", "fold", "y"], "left").na.fill(0)
+    n, s, q = F.col("tn") - F.col("n"), F.col("ts") - F.col("s"), F.col("tq") - F.col("q")
+    known = slots.filter(n > 0).select("f", "fold", "y", (s / n).alias("m"), (F.greatest(F.lit(0.0), q / n - (s / n) * (s / n)) + floor).alias("v"))
+    both = known.groupBy("f", "fold").agg(*[F.max(F.when(F.col("y") == y, F.col(c))).alias(f"{c}{y}") for y in (0, 1) for c in "mv"])
+    part = lambda y: -(F.log(f"v{y}") + (F.col("x") - F.col(f"m{y}")) * (F.col("x") - F.col(f"m{y}")) / F.col(f"v{y}")) / 2
+    odds = F.coalesce(part(1) - part(0), F.lit(0.0))
+    # one row per column and fold
+    return long.join(F.broadcast(both), ["f", "fold"]).groupBy(key, "y", "view").agg(F.sum(odds).alias("llr"))
+
+
+def view_order(df: DataFrame, features: dict[str, list[str]], folds: int = 5, key: str = "trace_id") -> tuple[DataFrame, DataFrame]:
+    """(order, grown): F1 of every view alone with its rank, and F1 after adding the views in that order; out-of-fold, by ``naive_bayes``."""
+    from pyspark.sql import Window
+
+    odds = land(naive_bayes(df, features, folds, key), "view-odds")
+    alone = binary_metrics(odds.withColumn("pred", (F.col("llr") > 0).cast("int")), ["view"])
+    order = alone.select("view", "f1", F.row_number().over(Window.orderBy(F.desc(F.round("f1", 9)), "view")).alias("view_rank"))  # one row per view
+    order = land(order, "view-order")
+    upto = order.select("view", F.explode(F.sequence("view_rank", F.lit(len(features)))).alias("view_rank"))
+    grown = odds.join(F.broadcast(upto), "view").groupBy(key, "y", "view_rank").agg(F.sum("llr").alias("llr"))
+    grown = binary_metrics(grown.withColumn("pred", (F.col("llr") > 0).cast("int")), ["view_rank"])
+    return order, grown.join(order.select("view", "view_rank"), "view_rank").select("view", "view_rank", "f1")
 
 
 def avg_redundancy_per_view(red: DataFrame) -> DataFrame:

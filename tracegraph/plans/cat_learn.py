@@ -1,4 +1,8 @@
-"""Learning, evaluation and explanation. Evaluations here use fewer trees and folds than the defaults."""
+"""Learning, evaluation and explanation.
+
+Linear studies run to the optimum in ten folds. Studies of forests, boosted trees and networks use fewer trees, rounds and folds than the defaults of
+``operators/learn.py``.
+"""
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
@@ -34,10 +38,14 @@ def cv(name, maker, subset=None):
 
 cv("clf_gbm", GBM)
 cv("clf_rf", RF)
-cv("clf_lr", LR)
 cv("clf_mlp", MLP)
 
 
+@query("clf_lr")
+def _(t):
+    return learn.linear_compare(t.views, {"clf_lr": cols(t, "itg")})
+
+
 @query("clf_svm")
 def _(t):
     df, names = learn.fourier_features(t.views.select("trace_id", "y", *G), G)
@@ -46,7 +54,7 @@ def _(t):
 
 @query("cross_validate")
 def _(t):
-    return learn.cross_validate(t.views, cols(t, *views.VIEW_PREFIX), LR, 5, "lr_125")
+    return learn.linear_compare(t.views, {"lr_125": cols(t, *views.VIEW_PREFIX)})
 
 
 @query("soft_vote_mve")
@@ -74,22 +82,20 @@ def _(t):
     full = views.full_feature_matrix(t.itg).join(t.tr.filter("success").select("trace_id", "y"), "trace_id")
     base, eng, drp = fixed.ITG_COLS, list(views.engineered_columns()), list(views.drp_columns())
     rest = [c for c in full.columns if c not in (*base, *eng, *drp, "trace_id", "y")]
-    return learn.compare(land(full, "groups"), {"base": (base, LR), "+eng": (base + eng, LR), "+drp": (base + eng + drp, LR),
-                                                "full": (base + eng + drp + rest, LR)}, FOLDS)
+    return learn.linear_compare(land(full, "groups"), {"base": list(base), "+eng": [*base, *eng], "+drp": [*base, *eng, *drp], "full": [*base, *eng, *drp, *rest]})
 
 
 @query("cross_layer_ablation")
 def _(t):
     no = cols(t, "url", "network", "redirect", "interaction", "itg")
-    return learn.compare(t.views, {"without_cross": (no, LR), "with_cross": (no + cols(t, "cross"), LR)}, FOLDS)
+    return learn.linear_compare(t.views, {"without_cross": no, "with_cross": no + cols(t, "cross")})
 
 
 @query("same_subset_compare")
 def _(t):
     d = t.views.filter("itg_available = 1")
-    return learn.compare(d, {"url": (cols(t, "url"), LR), "network": (cols(t, "network"), LR), "redirect": (cols(t, "redirect"), LR),
-                             "non_url": (cols(t, "network", "redirect", "interaction", "itg"), LR),
-                             "all": (cols(t, *views.VIEW_PREFIX), LR)}, FOLDS)
+    return learn.linear_compare(d, {"url": cols(t, "url"), "network": cols(t, "network"), "redirect": cols(t, "redirect"),
+                                    "non_url": cols(t, "network", "redirect", "interaction", "itg"), "all": cols(t, *views.VIEW_PREFIX)})
 
 
 @query("stratified_eval")
@@ -103,15 +109,14 @@ def _(t):
         if least < 10:
             continue  # too few of one class, as reported by the study itself
         part = d if s == "all" else d.filter(F.col("stratum") == s)
-        r = learn.compare(part, {"url": (cols(t, "url"), LR), "non_url": (cols(t, "network", "redirect", "interaction", "itg"), LR)},
-                          FOLDS).withColumn("stratum", F.lit(s))
+        r = learn.linear_compare(part, {"url": cols(t, "url"), "non_url": cols(t, "network", "redirect", "interaction", "itg")}).withColumn("stratum", F.lit(s))
         out = r if out is None else out.unionByName(r)
     return out
 
 
 @query("information_gain")
 def _(t):
-    return learn.information_gain(t.views, view_sets(t), LR, FOLDS)
+    return learn.information_gain(t.views, view_sets(t))
 
 
 def leveled(t):
@@ -136,7 +141,7 @@ def _(t):
     for k, (name, _, _) in enumerate(fixed.TRUNCATION_LEVELS):
         part = itg.filter(F.col("trace_id") % 10 == k)
         size = part.agg(F.avg("num_nodes").alias("avg_nodes"), F.avg("num_edges").alias("avg_edges")).withColumn("method", F.lit(name))
-        r = learn.cross_validate(part, fixed.ITG_COLS, LR, FOLDS, name).join(size, "method")
+        r = learn.linear_compare(part, {name: list(fixed.ITG_COLS)}).join(size, "method")
         out = r if out is None else out.unionByName(r)
     return out
 

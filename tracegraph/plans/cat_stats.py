@@ -6,7 +6,7 @@ from tracegraph.functions import fixed, ordered
 from tracegraph.operators import domains, events, graph, paths, perturb, rules, stats, views
 from tracegraph.plans.base_sql import ALL, DIV, DOM, G_ALL, HOSTS, I, LIST, R, SERP, sql
 from tracegraph.plans.cat_rules import C48, DS, RISK_CTE, SS
-from tracegraph.plans.cat_views import (BASE4, CLEAN_SQL, CROSS_CTE, ITG_CTE, NET_CTE, S8, URL_CTE)
+from tracegraph.plans.cat_views import (BASE4, CLEAN_SQL, CROSS_CTE, ENG_EXPR, ITG_CTE, NET_CTE, S8, URL_CTE)
 from tracegraph.plans.registry import query
 from tracegraph.session import land
 
@@ -183,12 +183,22 @@ def _(t):
 
 FEATS = {"url": [f"u_{c}" for c in fixed.URL_COLS], "network": [f"n_{c}" for c in fixed.NETWORK_COLS],
          "redirect": [f"r_{c}" for c in fixed.REDIRECT_COLS], "interaction": [f"i_{c}" for c in fixed.CONTENT_COLS],
-         "cross": [f"x_{c}" for c in views.CROSS_COLS]}
-VTAB = CROSS_CTE + """,
-vt AS MATERIALIZED (SELECT y, """ + ", ".join(
-    f"{a}.{c} AS {p}{c}" for a, p, cs in (("u", "u_", fixed.URL_COLS), ("n", "n_", fixed.NETWORK_COLS), ("r", "r_", fixed.REDIRECT_COLS),
-                                          ("i", "i_", fixed.CONTENT_COLS), ("x", "x_", views.CROSS_COLS)) for c in cs) + """
-   FROM (SELECT * FROM tr WHERE success) tr JOIN uv u USING (trace_id) JOIN nv n USING (trace_id) JOIN rv r USING (trace_id) JOIN iv i USING (trace_id) JOIN xv x USING (trace_id))"""
+         "itg": [f"g_{c}" for c in (*fixed.ITG_COLS, *ENG_EXPR)], "cross": [f"x_{c}" for c in views.CROSS_COLS]}
+VTAB = CROSS_CTE + ITG_CTE + FOLD + """,
+vt AS MATERIALIZED (SELECT tr.trace_id, tr.y, lab.pos % 5 AS fold, """ + ", ".join(
+    [f"{a}.{c} AS {p}{c}" for a, p, cs in (("u", "u_", fixed.URL_COLS), ("n", "n_", fixed.NETWORK_COLS), ("r", "r_", fixed.REDIRECT_COLS),
+                                           ("i", "i_", fixed.CONTENT_COLS), ("x", "x_", views.CROSS_COLS)) for c in cs]
+    + [f"CASE WHEN g.num_nodes >= 2 THEN round(CAST(g.{c} AS DOUBLE), 9) ELSE 0.0 END AS g_{c}" for c in (*fixed.ITG_COLS, *ENG_EXPR)]) + """
+   FROM (SELECT * FROM tr WHERE success) tr JOIN lab ON lab.trace_id = tr.trace_id JOIN uv u ON u.trace_id = tr.trace_id JOIN nv n ON n.trace_id = tr.trace_id
+   JOIN rv r ON r.trace_id = tr.trace_id JOIN iv i ON i.trace_id = tr.trace_id JOIN xv x ON x.trace_id = tr.trace_id
+   JOIN (SELECT *, """ + ", ".join(f"{e} AS {c}" for c, e in ENG_EXPR.items()) + """ FROM itg) g ON g.trace_id = tr.trace_id)"""
+
+
+def six_views(t):
+    """The view columns; graph features to nine digits, so that no engine's last digit moves a bin."""
+    return t.views.withColumns({c: F.round(c, 9) for c in FEATS["itg"]})
+
+
 MI_SQL = ",\nml AS (" + " UNION ALL ".join(
     f"SELECT y, '{v}' AS view, '{c}' AS f, floor(({c} - (min({c}) OVER () - 1e-8)) / ((max({c}) OVER () + 1e-8) - (min({c}) OVER () - 1e-8)) * 20) AS b FROM vt"
     for v, cs in FEATS.items() for c in cs) + """),
@@ -197,9 +207,9 @@ mh AS (SELECT view, f, sum(-(ny / t) * log2(ny / t + 1e-12)) AS hy FROM (SELECT
 mb AS (SELECT view, f, sum(nb / t * (-(n / nb) * log2(n / nb + 1e-12))) AS hyb FROM (SELECT *, sum(n) OVER (PARTITION BY f, b) AS nb, sum(n) OVER (PARTITION BY f) AS t FROM mc) GROUP BY 1, 2)"""
 
 
-@query("mutual_information", sql(ALL + VTAB + MI_SQL, f"SELECT view, {R('sum(greatest(0.0, hy - hyb))')} AS mutual_information FROM mh JOIN mb USING (view, f) GROUP BY 1"))
+@query("mutual_information", sql(G_ALL + VTAB + MI_SQL, f"SELECT view, {R('sum(greatest(0.0, hy - hyb))')} AS mutual_information FROM mh JOIN mb USING (view, f) GROUP BY 1"))
 def _(t):
-    return stats.mutual_information(t.views, FEATS)
+    return stats.mutual_information(six_views(t), FEATS)
 
 
 def red_sql() -> str:
@@ -211,43 +221,44 @@ def red_sql() -> str:
     return ",\nrc AS (" + " UNION ALL ".join(parts) + "),\nrdn AS (SELECT view_a, view_b, coalesce(list_avg(list_transform(list_filter(c, lambda x: x IS NOT NULL AND NOT isnan(x)), lambda x: abs(x))), 0.0) AS redundancy FROM rc)"
 
 
-@query("view_redundancy", sql(ALL + VTAB + red_sql(), f"SELECT view_a, view_b, {R('redundancy')} AS redundancy FROM rdn"))
+@query("view_redundancy", sql(G_ALL + VTAB + red_sql(), f"SELECT view_a, view_b, {R('redundancy')} AS redundancy FROM rdn"))
 def _(t):
-    return stats.view_redundancy(t.views, FEATS)
+    return stats.view_redundancy(six_views(t), FEATS)
 
 
-@query("avg_redundancy_per_view", sql(ALL + VTAB + red_sql(), f"""SELECT view, {R('avg(redundancy)')} AS avg_redundancy FROM (SELECT view_a AS view, redundancy FROM rdn
+@query("avg_redundancy_per_view", sql(G_ALL + VTAB + red_sql(), f"""SELECT view, {R('avg(redundancy)')} AS avg_redundancy FROM (SELECT view_a AS view, redundancy FROM rdn
   UNION ALL SELECT view_b, redundancy FROM rdn) GROUP BY 1"""))
 def _(t):
-    return stats.avg_redundancy_per_view(stats.view_redundancy(t.views, FEATS))
+    return stats.avg_redundancy_per_view(stats.view_redundancy(six_views(t), FEATS))
 
 
-# ---------------------------------------------------------------- view order (single-column thresholds stand for solo models)
-VO_COLS = {"url": "u_domain_len", "network": "n_ext_ratio", "redirect": "r_num_redirects", "interaction": "i_has_password_field", "cross": "x_cv10"}
-VO = VTAB + ",\nvo AS (" + " UNION ALL ".join(
-    f"SELECT '{v}' AS view, {DIV(f'2 * count(*) FILTER (y = 1 AND {c} > (SELECT avg({c}) FROM vt))', f'count(*) FILTER (y = 1) + count(*) FILTER ({c} > (SELECT avg({c}) FROM vt))')} AS f1 FROM vt"
-    for v, c in VO_COLS.items()) + "),\nvr AS (SELECT view, f1, row_number() OVER (ORDER BY f1 DESC, view) AS view_rank FROM vo)"
-
-
-def view_order(t):
-    from pyspark.sql import Window
-    v = t.views
-    means = v.agg(F.struct(*[F.avg(c).alias(c) for c in VO_COLS.values()]).alias("m"))
-    m = v.withColumn("m", means.scalar())
-    arr = F.array(*[F.struct(F.lit(n).alias("view"), (F.col(c) > F.col(f"m.{c}")).cast("int").alias("pred")) for n, c in VO_COLS.items()])
-    f = stats.binary_metrics(m.select("y", F.explode(arr).alias("p")).select("y", "p.*"), ["view"])
-    return f.select("view", "f1", F.row_number().over(Window.orderBy(F.desc("f1"), "view")).alias("view_rank"))  # one row per view
+# ---------------------------------------------------------------- view order by out-of-fold scores
+VO = VTAB + f""",
+vl AS MATERIALIZED (SELECT trace_id, y, fold, unnest({LIST([v for v, cs in FEATS.items() for _ in cs])}) AS view, unnest({LIST([c for cs in FEATS.values() for c in cs])}) AS f,
+   unnest([{", ".join(f"{c}::DOUBLE" for cs in FEATS.values() for c in cs)}]) AS x FROM vt),
+mo AS MATERIALIZED (SELECT f, fold, y, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM vl GROUP BY ALL),
+me AS (SELECT f, y, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM mo GROUP BY ALL),
+mk AS (SELECT d.f, d.fold, e.y, e.n - coalesce(o.n, 0) AS n, e.s - coalesce(o.s, 0) AS s, e.q - coalesce(o.q, 0) AS q FROM (SELECT DISTINCT f, fold FROM mo) d
+   JOIN me e ON e.f = d.f LEFT JOIN mo o ON o.f = d.f AND o.fold = d.fold AND o.y = e.y),
+mv AS (SELECT f, fold, y, s / n AS m, greatest(0.0, q / n - (s / n) * (s / n)) + 1e-6 AS v FROM mk WHERE n > 0),
+mb2 AS (SELECT f, fold, max(m) FILTER (y = 0) AS m0, max(v) FILTER (y = 0) AS v0, max(m) FILTER (y = 1) AS m1, max(v) FILTER (y = 1) AS v1 FROM mv GROUP BY 1, 2),
+od AS MATERIALIZED (SELECT trace_id, y, view, sum(coalesce(-(ln(v1) + (x - m1) * (x - m1) / v1) / 2 + (ln(v0) + (x - m0) * (x - m0) / v0) / 2, 0.0)) AS llr
+   FROM vl JOIN mb2 USING (f, fold) GROUP BY ALL),
+vo AS (SELECT view, {DIV("2 * count(*) FILTER (y = 1 AND llr > 0)", "count(*) FILTER (y = 1) + count(*) FILTER (llr > 0)")} AS f1 FROM od GROUP BY 1),
+vr AS MATERIALIZED (SELECT view, f1, row_number() OVER (ORDER BY round(f1, 9) DESC, view) AS view_rank FROM vo),
+gs AS (SELECT trace_id, y, k.view_rank, sum(llr) AS llr FROM od JOIN vr USING (view) JOIN (SELECT view_rank FROM vr) k ON vr.view_rank <= k.view_rank GROUP BY ALL),
+gf AS (SELECT view_rank, {DIV("2 * count(*) FILTER (y = 1 AND llr > 0)", "count(*) FILTER (y = 1) + count(*) FILTER (llr > 0)")} AS f1 FROM gs GROUP BY 1)"""
 
 
-@query("view_order", sql(ALL + VO, f"SELECT view, {R('f1')} AS f1, view_rank FROM vr"))
+@query("view_order", sql(G_ALL + VO, f"SELECT view, {R('f1')} AS f1, view_rank FROM vr"))
 def _(t):
-    return view_order(t)
+    return stats.view_order(six_views(t), FEATS)[0]
 
 
-@query("running_view_gain", sql(ALL + VO, f"""SELECT view, view_rank, {R('vr.f1')} AS f1,
-  {R('vr.f1 - lag(vr.f1, 1, 0.5) OVER (ORDER BY view_rank)')} AS gain FROM vr"""))
+@query("running_view_gain", sql(G_ALL + VO, f"""SELECT view, gf.view_rank, {R('gf.f1')} AS f1,
+  {R('gf.f1 - lag(gf.f1, 1, 0.5) OVER (ORDER BY gf.view_rank)')} AS gain FROM gf JOIN vr USING (view_rank)"""))
 def _(t):
-    return stats.running_view_gain(view_order(t)).select("view", "view_rank", "f1", "gain")
+    return stats.running_view_gain(stats.view_order(six_views(t), FEATS)[1]).select("view", "view_rank", "f1", "gain")
 
 
 # ---------------------------------------------------------------- runs, sources, pools
