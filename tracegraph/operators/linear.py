@@ -115,9 +115,11 @@ def out_of_fold(df: DataFrame, sets: dict[str, list[str]], folds: int = 10, c: f
                 beta[m] = b - step[m]
                 continue
             loss[m] = total
-            step[m] = np.linalg.lstsq(v[1 + n:].reshape(n, n) + ridge, v[1:1 + n] - ridge @ b, rcond=None)[0]
+            slope = v[1:1 + n] - ridge @ b
+            step[m] = np.linalg.lstsq(v[1 + n:].reshape(n, n) + ridge, slope, rcond=None)[0]
             beta[m] = b + step[m]
-            if np.abs(step[m]).max() < tolerance:
+            # where all rows are of one class the constant grows without end, but what is left to gain vanishes
+            if np.abs(step[m]).max() < tolerance or slope @ step[m] < tolerance * (1e-3 + total):
                 open_.discard(m)
         if not open_:
             break

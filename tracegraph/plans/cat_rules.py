@@ -2,13 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from tracegraph.functions import fixed, ordered, urls
+from tracegraph.functions import fixed, ordered, suffixes, urls
 from tracegraph.functions.text import compute_once
 from tracegraph.operators import dedup, domains, events, rules
 from tracegraph.plans.base_sql import (ALL, ANY, CNT, DOM, ENDS, ENT, G_ALL, HITS, HOSTS, I, IN, LIST, LIT, NETLOC, PATH, R,
                                        SERP, SUFFIX, sql)
 from tracegraph.plans.cat_views import DEG, ITG_CTE
 from tracegraph.plans.registry import query
+from tracegraph.session import scratch_path
 
 
 def joined(c):
@@ -600,3 +601,35 @@ def _(t):
 @query("intersection_dataset", sql(G_ALL + DEG, "SELECT trace_id, y::BIGINT AS y FROM tr WHERE success AND trace_id IN (SELECT trace_id FROM nn WHERE n >= 2)"))
 def _(t):
     return t.tr.filter("success").join(t.itg.filter("num_nodes >= 2").select("trace_id"), "trace_id", "left_semi").select("trace_id", "y")
+
+
+# ---------------------------------------------------------------- suffix lists
+SUFFIX_LIST = ["// rules of every kind", "com", "net  a comment", "xyz", "dev", "uk", "co.uk", "*.ck", "!www.ck", "icu", "pages.dev", "us", "k12.ma.us", "dev.pages.example"]
+SUFFIX_RULES = [("plain", r) for r in ("com", "net", "xyz", "dev", "uk", "co.uk", "icu", "pages.dev", "us", "k12.ma.us", "dev.pages.example")] + [("wildcard", "ck"), ("exception", "www.ck")]
+SUFFIX_SQL = HOSTS + f""",
+sn AS MATERIALIZED (SELECT page_id, source, lower(d) AS name FROM (SELECT page_id, source, domain AS d FROM hosts
+   UNION ALL SELECT page_id, 'ck', 'a.' || b || '.ck' FROM h1 UNION ALL SELECT page_id, 'www', 'shop.WWW.ck' FROM h1 WHERE page_id % 2 = 0
+   UNION ALL SELECT page_id, 'school', b || '.k12.ma.us' FROM h1 UNION ALL SELECT page_id, 'none', b || '.unknown-ending' FROM h1 UNION ALL SELECT page_id, 'bare', 'ck' FROM h1)),
+sl AS (SELECT *, string_split(name, '.') AS l FROM sn WHERE contains(name, '.') AND NOT regexp_matches(name, '^\\d{{1,3}}(\\.\\d{{1,3}}){{3}}$')),
+sr AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{r}')" for k, r in SUFFIX_RULES)}) v(kind, rule)),
+sh AS (SELECT page_id, source, kind, len(l) AS n, len(string_split(rule, '.')) + CASE kind WHEN 'wildcard' THEN 1 WHEN 'exception' THEN -1 ELSE 0 END AS size
+   FROM sl JOIN sr ON name = rule OR ends_with(name, '.' || rule)),
+sb AS (SELECT page_id, source, coalesce(max(size) FILTER (kind = 'exception'), max(size)) AS size FROM sh WHERE size <= n GROUP BY 1, 2),
+sf AS (SELECT sl.page_id, sl.source, name, l, coalesce(size, 1) AS size FROM sl LEFT JOIN sb USING (page_id, source))"""
+
+
+@query("suffix_list", sql(SUFFIX_SQL, """SELECT page_id, source, name, coalesce(array_to_string(l[-size:], '.'), '') AS suffix,
+  CASE WHEN len(l) > size THEN array_to_string(l[-(size + 1):], '.') ELSE '' END AS registered,
+  CASE WHEN len(l) > size + 1 THEN array_to_string(l[:len(l) - size - 1], '.') ELSE '' END AS subdomain
+  FROM sn LEFT JOIN (SELECT page_id, source, l, size FROM sf) f USING (page_id, source)"""))
+def _(t):
+    path = scratch_path(t.spark, "suffixes")
+    t.spark.createDataFrame([(x,) for x in SUFFIX_LIST], "value string").write.text(path)
+    brand = F.element_at(F.array(*[F.lit(b) for b in fixed.QUERY_BRANDS[:10]]), (F.col("page_id") % 10 + 1).cast("int"))
+    p = t.pages.select("page_id", brand.alias("b"))
+    made = {"ck": F.concat(F.lit("a."), "b", F.lit(".ck")), "school": F.concat("b", F.lit(".k12.ma.us")), "none": F.concat("b", F.lit(".unknown-ending")), "bare": F.lit("ck"),
+            "www": F.when(F.col("page_id") % 2 == 0, "shop.WWW.ck")}
+    rows = p.select("page_id", F.explode(F.array(*[F.struct(F.lit(k).alias("source"), v.alias("domain")) for k, v in made.items()])).alias("x")).select("page_id", "x.*")
+    rows = t.hosts.select("page_id", "source", "domain").unionByName(rows.filter("domain IS NOT NULL"))
+    d = suffixes.with_suffix(rows, suffixes.suffix_rules(t.spark, path))
+    return d.select("page_id", "source", F.lower("domain").alias("name"), "suffix", "registered", "subdomain")

@@ -95,6 +95,25 @@ def _(t):
     return ev.join(rq, ["trace_id", "pos"]).join(rd, ["trace_id", "pos"])
 
 
+def mixed_docs(t):
+    """Documents whose form_data is an object of two keys, a text, null or a list, with events at the top or inside; some lines are no documents."""
+    f = F.when(F.col("form_field") == "", "f").otherwise(F.col("form_field"))
+    form = F.element_at(F.array(F.concat(F.lit('{"'), f, F.lit('":"x","extra":{"n":1}}')), F.concat(F.lit('"'), "form_field", F.lit('"')), F.lit("null"), F.lit('["a","b"]')),
+                        (F.col("event_id") % 4 + 1).cast("int"))
+    events = F.concat(F.lit('"events":[{"event_type":"'), "event_type", F.lit('","form_data":'), form, F.lit('}]'))
+    whole = F.concat(F.lit('{"hash":"'), F.col("event_id").cast("string"), F.lit('",'), F.when(F.col("event_id") % 3 == 0, events).otherwise(
+        F.concat(F.lit('"trace":{'), events, F.lit("}"))), F.lit("}"))
+    return t.ev.select(F.explode(F.when(F.col("event_id") % 5 == 0, F.array(whole, F.lit("[1, 2]"), F.lit("{cut"))).otherwise(F.array(whole))).alias("value"))
+
+
+@query("trace_scan_variant", sql(ALL, """SELECT event_id::VARCHAR AS hash, 0::BIGINT AS raw_idx, event_type, CASE event_id % 4
+  WHEN 0 THEN array_to_string(list_sort([CASE WHEN form_field = '' THEN 'f' ELSE form_field END, 'extra']), ' ') WHEN 1 THEN form_field WHEN 2 THEN '' ELSE 'a b' END AS form_field FROM ev"""))
+def _(t):
+    path = scratch_path(t.spark, "mixed-documents")
+    mixed_docs(t).write.text(path)
+    return traces.variant_events(traces.variant_scan(t.spark, path))
+
+
 @query("feature_scan", sql(G_ALL + ITG_CTE, "SELECT trace_id, " + ", ".join(f"{R(c)} AS {c}" for c in fixed.ITG_COLS) + ", CASE WHEN y = 1 THEN 'phishing' ELSE 'benign' END AS label FROM itg JOIN tr USING (trace_id)"))
 def _(t):
     path = scratch_path(t.spark, "features")

@@ -27,6 +27,35 @@ def trace_scan_all(spark: SparkSession, path: str) -> DataFrame:
     return docs.withColumn("url", F.coalesce("trace.url", "url"))
 
 
+def variant_scan(spark: SparkSession, path: str) -> DataFrame:
+    """Documents of any shape, one a line, as VARIANT column ``v``; lines that are no JSON object are skipped."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    docs = lines.select(F.try_parse_json("value").alias("v"))
+    return docs.filter(F.col("v").isNotNull() & F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
+
+
+def variant_shape(docs: DataFrame) -> DataFrame:
+    """One row with the schema that all documents fit: members of different types become VARIANT in it."""
+    return docs.agg(F.schema_of_variant_agg("v").alias("shape"))
+
+
+def variant_events(docs: DataFrame) -> DataFrame:
+    """Rows (hash, raw_idx, event_type, form_field) of the events in ``variant_scan`` documents, at the top or inside ``trace``.
+
+    A form's fields are the sorted keys of an object, the elements of a list, or a text as it is; anything else has none.
+    """
+    get = lambda v, at, kind: F.try_variant_get(v, at, kind)
+    many = F.coalesce(get("v", "$.trace.events", "array<variant>"), get("v", "$.events", "array<variant>"))
+    e = docs.select(get("v", "$.hash", "string").alias("hash"), F.posexplode(many).alias("raw_idx", "e"))
+    form = F.schema_of_variant(get("e", "$.form_data", "variant"))
+    keys = F.array_sort(F.map_keys(get("e", "$.form_data", "map<string,variant>")))
+    field = (F.when(F.startswith(form, F.lit("OBJECT")), F.array_join(keys, " "))
+             .when(F.startswith(form, F.lit("ARRAY")), F.array_join(get("e", "$.form_data", "array<string>"), " "))
+             .when(form == "STRING", get("e", "$.form_data", "string")))
+    return e.select("hash", F.col("raw_idx").cast("long").alias("raw_idx"), F.coalesce(get("e", "$.event_type", "string"), F.lit("unknown")).alias("event_type"),
+                    F.coalesce(field, F.lit("")).alias("form_field"))
+
+
 def inner(field: str) -> Column:
     return F.coalesce(F.col(f"trace.{field}"), F.col(field))
 
