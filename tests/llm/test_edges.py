@@ -100,6 +100,17 @@ def test_warc(spark, tmp_path):
     assert warc.archive_pages(spark, pages.limit(0)).count() == 0
 
 
+def test_warc_headers_of_any_length(spark):
+    rng = np.random.default_rng(1)
+    pages = spark.createDataFrame([(1, "u1", "<p>one"), (2, "data:" + rng.bytes(1_500_000).hex(), "<p>two"), (3, "u3", "<p>three")], "page_id long, url string, html string")
+    got = warc.archive_pages(spark, pages.coalesce(1)).collect()
+    assert sorted((r.record_id, r.payload) for r in got) == [("urn:key:1", b"<p>one"), ("urn:key:2", b"<p>two"), ("urn:key:3", b"<p>three")]
+    with pytest.raises(ValueError, match="lost records"):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(warc, "read_archives", lambda s, man, b: s.createDataFrame([], warc.RECORD))
+            warc.archive_pages(spark, pages)
+
+
 def test_warc_ranges(tmp_path):
     import random
 
@@ -116,6 +127,32 @@ def test_warc_ranges(tmp_path):
         assert [(r[1], r[-1]) for s in range(0, size, step) for r in warc.records_in(path, s, s + step)] == want
 
 
+def test_clashing_names_are_told_apart(spark, odd, none, tmp_path):
+    carried = ["size", "shard", "slot", "text_crc32", "taken"]
+    docs = odd.withColumns({"slot": F.lit("s"), "text_crc32": F.lit("t"), "taken": F.lit("x")})
+    for got in (sharding.shard_by_bytes(docs, 3, carry=carried), mixing.mix(docs, carry=carried)):
+        assert len({c.lower() for c in got.columns}) == len(got.columns) and set(carried) < set(got.columns)
+        got.write.parquet(str(tmp_path / f"t{len(got.columns)}"))
+    assert {r.size for r in sharding.shard_by_bytes(docs, 3, carry=carried).collect()} == {"size"}
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns and out.filter("text IS NULL OR size <> 'size'").count() == 0 and mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_pipeline_stages(spark, odd, none):
+    """Earlier results stay readable, and odd rows and names pass."""
+    import corpus_pipeline as cp
+
+    sf = "/root/testdata/sf0.001"
+    first = cp.near_duplicate_stage(spark, odd, sf)
+    second = cp.decontamination_stage(spark, first, sf)
+    third = cp.mixing_stage(spark, second, sf)
+    fourth = cp.sharding_stage(spark, third, sf)
+    assert first.columns == second.columns == third.columns == odd.columns and first.count() == second.count() == 7
+    assert fourth.count() == third.count() and set(odd.columns) < set(fourth.columns) and first.count() == 7
+    for stage in (cp.near_duplicate_stage, cp.decontamination_stage, cp.mixing_stage, cp.sharding_stage):
+        assert stage(spark, none, sf).count() == 0
+
+
 def test_mix(spark, odd, none):
     got = mixing.mix(odd, carry=odd.columns).collect()
     assert len(got) == odd.count() and all(0 <= r["taken"] <= 2 * r[len(odd.columns) + 1] for r in got)
@@ -241,6 +278,77 @@ def test_pii(spark, odd, none):
     assert pii.find_pii(odd).count() == odd.count() and pii.find_pii(none).count() == 0
 
 
+def test_recall_by_kind(spark):
+    rng, n = np.random.default_rng(9), 60
+    pick = lambda a, k: "".join(rng.choice(list(a), k))
+
+    def card():
+        body = pick("0123456789", 15)
+        return next(body + d for d in "0123456789" if luhn(body + d))
+
+    def luhn(x):
+        return sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 if c > "4" else 2 * int(c)) for i, c in enumerate(reversed(x))) % 10 == 0
+
+    def iban():
+        body = pick("0123456789", 18)
+        return f"DE{98 - int(body + '131400') % 97:02d}{body}"
+
+    planted = {"email": lambda: f"{pick('abcdef', 6)}@{pick('xyz', 5)}.com", "ip": lambda: ".".join(str(v) for v in rng.integers(0, 256, 4)), "card": card,
+               "phone": lambda: f"+1 (555) 01{pick('0123456789', 1)}-{pick('0123456789', 4)}", "iban": iban, "secret": lambda: f'token = "{pick("0123456789abcdef", 40)}"'}
+    rows = [(i, k, f"the river runs {planted[k]()} past the mill") for k in planted for i in range(n)]
+    clean = [f"the river runs past {w} and {'x' * 60} and {'1234567890' * 5} and antidisestablishmentarianism-of-the-old-mill-road" for w in ("here", "key", "token")]
+    docs = spark.createDataFrame(rows + [(i, "none", t) for i, t in enumerate(clean)], "doc_id long, kind string, text string")
+    hit = {}
+    for r in pii.find_pii(docs).collect():
+        hit.setdefault(r.kind, []).append(r.kind in {s.kind for s in r.pii} if r.kind != "none" else "secret" in {s.kind for s in r.pii})
+    assert all(np.mean(v) > 0.9 for k, v in hit.items() if k != "none") and not any(hit["none"])
+
+
+def test_kneser_ney_against_dictionaries(spark):
+    """Every gram's evidence by plain counting."""
+    from collections import Counter, defaultdict
+
+    rng = np.random.default_rng(6)
+    docs = [(i, " ".join("".join(rng.choice(list("abé"), rng.integers(1, 6))) for _ in range(rng.integers(1, 12)))) for i in range(50)]
+    y = {i: int(rng.integers(0, 2)) for i in range(30)}
+    counts, seen = {0: Counter(), 1: Counter()}, set()
+    for i, text in docs:
+        for w in toxicity.words_of(text):
+            b = b"\x01" + w.encode() + b"\x02"
+            grams = [b[max(0, k - toxicity.ORDER + 1):k + 1] for k in range(1, len(b))]
+            seen.update(grams)
+            if i in y:
+                counts[y[i]].update(grams)
+    full = lambda x: x.rjust(toxicity.ORDER, b"\0")
+    kinds = {n: Counter(x[1:] for x in {full(s)[-n - 1:] for s in seen}) for n in range(1, toxicity.ORDER)}
+    total, many = {n: Counter() for n in kinds}, {n: Counter() for n in kinds}
+    for n, k in kinds.items():
+        for x, c in k.items():
+            total[n][x[:-1]] += c
+            many[n][x[:-1]] += 1
+
+    def shared(x):
+        p = 1 / 256
+        for n in range(1, toxicity.ORDER):
+            s = x[-n:]
+            p = (max(kinds[n][s] - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * many[n][s[:-1]] * p) / total[n][s[:-1]]
+        return p
+
+    want, context = {}, {c: defaultdict(Counter) for c in (0, 1)}
+    for c in (0, 1):
+        for s, k in counts[c].items():
+            context[c][full(s)[:-1]][s] += k
+    weight = lambda c, h: toxicity.DISCOUNT * len(context[c][h]) / sum(context[c][h].values()) if context[c][h] else 1.0
+    for s in set(counts[0]) | set(counts[1]):
+        h = full(s)[:-1]
+        p = {c: (max(counts[c][s] - toxicity.DISCOUNT, 0) / sum(context[c][h].values()) if context[c][h] else 0.0) + weight(c, h) * shared(full(s)) for c in (0, 1)}
+        want[int.from_bytes(full(s), "big")] = np.log(p[1] / p[0])
+    df = spark.createDataFrame([(t, y.get(i)) for i, t in docs], "text string, y int")
+    got = {r.key: r.ratio for r in toxicity.evidence_table(df.mapInArrow(toxicity.count_grams, "gram bigint, toxic bigint, ordinary bigint")).collect()}
+    assert {k: got[k] for k in want} == pytest.approx(want)
+    assert len(got) == len(want) + len({h for c in (0, 1) for h in context[c] if context[c][h]})
+
+
 def test_line_dedup(spark, odd, none):
     got = line_dedup.dedup_lines(odd)
     assert got.count() == odd.count() and "removed_" in got.columns
