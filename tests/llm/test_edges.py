@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names."""
 
+import re
 import zlib
 
 import numpy as np
@@ -153,6 +154,32 @@ def test_pipeline_stages(spark, odd, none):
         assert stage(spark, none, sf).count() == 0
 
 
+def test_texts_are_not_shuffled_for_decisions(spark):
+    """Near-duplicates and the mix ask wide rows for their number, however many are kept."""
+    from tracegraph.llm.common import asked, bitmaps
+
+    rng = np.random.default_rng(9)
+    numbers = sorted({int(b) << 33 | int(n) for b, n in zip(rng.integers(0, 3, 3000), rng.integers(0, 100_000, 3000))})
+    rows = spark.createDataFrame([(n,) for n in numbers], "row long")
+    got = asked(rows, "row", bitmaps(rows.filter("row % 3 <> 1"), "row", third=F.col("row") % 3 == 0, kept=F.lit(True)))
+    assert {(r.row, r.third, r.kept) for r in got.collect()} == {(n, n % 3 == 0, n % 3 != 1) for n in numbers}
+
+    docs = spark.createDataFrame([(i, f" a{i} " + "b c  d " * (i % 40), "xyz"[i % 3], i) for i in range(3000)], "doc_id long, text string, source string, n_chars long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out in (simhash.drop_near_duplicates(docs), mixing.mixed(docs)):
+            assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+            rows = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    taken = {r.doc_id: (r.size, r.copies, r.cuts) for r in mixing.mix(docs).collect()}
+    whole = {r.doc_id: r.text for r in docs.collect()}
+    want = sorted((i, t) for i, (size, n, cuts) in taken.items()
+                  for t in [whole[i]] * (n if size else 0) + ([mixing._cut(whole[i], [c.asDict() for c in cuts], re.compile(mixing.WORD))] if cuts else []))
+    assert sorted((r.doc_id, r.text) for r in rows) == want and len({t for _, t in want if t not in whole.values()}) > 5
+
+
 def test_mix(spark, odd, none):
     got = mixing.mix(odd, carry=odd.columns).collect()
     assert len(got) == odd.count() and all(0 <= r["taken"] <= 2 * r[len(odd.columns) + 1] for r in got)

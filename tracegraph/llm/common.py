@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracegraph.session import prepare, scratch_path
 
-__all__ = ["WORD", "delete", "fresh", "held_out", "hash60", "land", "least_rows", "noting", "prepare", "scratch_path", "table", "word_count"]
+__all__ = ["WORD", "asked", "bitmaps", "delete", "fresh", "held_out", "hash60", "land", "least_rows", "noting", "prepare", "scratch_path", "table", "word_count"]
 
 WORD = r"[^\x20\x09-\x0D]+"  # fixed: a word is a maximal run without ASCII white space
 
@@ -59,6 +59,31 @@ def fresh(columns: Iterable[str], name: str) -> str:
     return name
 
 
+BITS = 32768  # of a bitmap, as bitmap_construct_agg makes them
+
+
+def bitmaps(df: DataFrame, row: str, **where: Column) -> DataFrame:
+    """Bitmaps of the numbers in ``row`` for which each condition holds, one line for every ``BITS`` numbers.
+
+    At one bit a number and condition they can be broadcast where a table of the numbers could not; so wide rows that are asked for
+    their number are not shuffled. Numbers must be dense apart from gaps between files.
+    """
+    place = F.col(row).bitwiseAND(F.lit(BITS - 1))
+    flags = df.select(F.shiftright(row, 15).alias("block"), *[F.when(c, place).alias(n) for n, c in where.items()]).repartition("block")
+    return flags.groupBy("block").agg(*[F.bitmap_construct_agg(n).alias(n) for n in where])
+
+
+def asked(rows: DataFrame, row: str, bits: DataFrame) -> DataFrame:
+    """``rows`` with a boolean column for every bitmap in ``bits``: whether it holds the number in ``row``. Its names must be free in ``rows``."""
+    block = fresh([*rows.columns, *bits.columns], "_block")
+    names = [c for c in bits.columns if c != "block"]
+    place = F.col(row).bitwiseAND(F.lit(BITS - 1))
+    byte = lambda n: F.conv(F.hex(F.substring(F.col(n), F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn(block, F.shiftright(row, 15)).join(F.broadcast(bits.withColumnRenamed("block", block)), block, "left")
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns],
+                      *[F.coalesce(F.getbit(byte(n), place.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False)).alias(n) for n in names])
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows kept from learning: crc32 of the id as text leaves 1 modulo 3. A null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -19,9 +19,9 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from tracegraph.llm.common import WORD, delete, fresh, hash60, land, noting, word_count
+from tracegraph.llm.common import WORD, asked, bitmaps, delete, fresh, hash60, land, noting, word_count
 
 CELL_DOCS = 512  # documents in a cell, on average
 SHARD_CELLS = 256  # cells in a shard
@@ -133,25 +133,32 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), factor: float = 1
 
 
 def _cut(text: str, ranges: list[dict], word) -> str:
-    """The words of the ranges with what stands between them."""
+    """The words of the ranges with what stands between them; a range to 0 ends with the last word."""
     ends = [(m.start(), m.end()) for m in word.finditer(text)]
     return "\n".join(text[ends[r["from"]][0]:ends[r["to"] - 1][1]] for r in ranges)
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
+def mixed(docs: DataFrame, most: int = 2, **how) -> DataFrame:
     """The mix itself: each document of ``docs`` as often as ``mix`` takes it, a partial copy cut to its words; n_chars, where there is one, follows the text.
 
     All columns are kept, whatever their names. Null and empty texts are never taken. An empty table gives no rows.
+    Copies reach the texts as bitmaps; only cuts inside a document, at most three in a cell, go as rows.
     """
     columns, schema = docs.columns, docs.schema
     rows = land(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc")), "rows")
     steps: list[str] = []
     with noting(steps):
-        taken = mix(rows.select("row", "doc.doc_id", "doc.text", "doc.source"), carry=["row"], **how)
-    copies = land(taken.filter("taken > 0").select("row", "copies", "cuts"), "copies")
+        taken = mix(rows.select("row", "doc.doc_id", "doc.text", "doc.source"), carry=["row"], most=most, **how).filter("taken > 0")
+        only = F.get("cuts", 0)
+        all_words = (F.size("cuts") == 1) & (only["from"] == 0) & (only["to"] == F.col("size"))
+        copies = land(taken.select("row", "copies", "cuts", F.coalesce(all_words, F.lit(False)).alias("whole")), "copies")
+    bits = land(bitmaps(copies, "row", whole=F.col("whole"), **{f"copy{k}": F.col("copies") >= k for k in range(1, most + 1)}), "copies")
+    parts = land(copies.filter("size(cuts) > 0 AND NOT whole").select(F.col("row").alias("cut_row"), "cuts"), "cuts")
     delete(docs.sparkSession, steps)
-    none = F.array().cast(copies.schema["cuts"].dataType)
-    each = F.concat(F.array_repeat(none, F.col("copies").cast("int")), F.when(F.size("cuts") > 0, F.array("cuts")).otherwise(F.array()))
+    kind = parts.schema["cuts"].dataType
+    none, whole = F.array().cast(kind), F.array(F.struct(F.lit(0).alias("from"), F.lit(0).alias("to"))).cast(kind)
+    one = lambda on, ranges: F.when(on, F.array(ranges)).otherwise(F.array().cast(T.ArrayType(kind)))
+    each = F.concat(*[one(F.col(f"copy{k}"), none) for k in range(1, most + 1)], one(F.col("whole"), whole), one(F.col("cuts").isNotNull(), F.col("cuts")))
     cuts = fresh(columns, "_cuts")
     text, chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else -1
 
@@ -168,4 +175,5 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
                     cols[chars] = pa.array([len(t) if c else n for t, c, n in zip(texts, ranges, own)], cols[chars].type)
             yield pa.RecordBatch.from_arrays(cols, names=columns)
 
-    return rows.join(copies, "row").select("doc.*", F.explode(each).alias(cuts)).mapInArrow(cut, schema)
+    met = asked(rows, "row", bits).join(F.broadcast(parts), F.col("row") == F.col("cut_row"), "left")
+    return met.select("doc.*", F.explode(each).alias(cuts)).mapInArrow(cut, schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tracegraph.llm.common import delete, fresh, land, noting
+from tracegraph.llm.common import asked, bitmaps, delete, fresh, land, noting
 from tracegraph.llm.components import components
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
@@ -226,6 +226,7 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     with noting(steps):
         prints = land(fingerprints(landed.select(order.alias("key"), F.col(f"`{text}`").alias("text"))), "fingerprints")
         kept = with_components(prints).filter("key = component").select(F.col("component.r").alias(row))
-    kept = land(kept, "kept")
+    mark = fresh(landed.columns, "_kept")
+    bits = land(bitmaps(kept, row, **{mark: F.lit(True)}), "kept")
     delete(docs.sparkSession, steps)
-    return landed.join(kept, row, "left_semi").drop(row)
+    return asked(landed, row, bits).filter(F.col(mark)).drop(row, mark)
