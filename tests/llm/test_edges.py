@@ -154,6 +154,26 @@ def test_pipeline_stages(spark, odd, none):
         assert stage(spark, none, sf).count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """More rows of a class than any cap; sparse ids, dense ones and names alike."""
+    from tracegraph.llm.calibrate import Logistic, fit_whole_curve
+
+    ids = spark.range(64_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"), (F.col("id") % 50 == 0).cast("int").alias("toxic"))
+    for docs in (ids, ids.limit(400).withColumn("doc_id", F.col("doc_id") * (1 << 40)), ids.limit(400).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))):
+        docs = land(docs, "ids")
+        model = toxicity.train(spark, docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+        known = toxicity.training_labels(docs, "toxic").filter(~toxicity.for_curve()).count()
+        assert spark.read.parquet(*model.paths[1]).count() == known + 1  # a word after the start for each of them, and the start
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 3)) * [1, 5, 0.1] + [0, 2, 7]
+    y = (x @ [1, 0.3, 4] + rng.normal(size=500) > 29).astype(int)
+    got = fit_whole_curve(spark.createDataFrame([(int(b), a.tolist()) for a, b in zip(x, y)], "y int, x array<double>"), 3)
+    assert np.allclose(got(x), Logistic.fit(x, y.astype(float))(x), atol=1e-6)
+    none = spark.createDataFrame([], "y int, x array<double>")
+    assert fit_whole_curve(none, 3)(x[:2]).tolist() == [0.5, 0.5]
+
+
 def test_texts_are_not_shuffled_for_decisions(spark):
     """Near-duplicates and the mix ask wide rows for their number, however many are kept."""
     from tracegraph.llm.common import asked, bitmaps

@@ -24,15 +24,14 @@ import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, functions as F, types as T
 
-from tracegraph.llm.calibrate import Logistic, fit_curve, for_curve, sample, texts_of, training_labels
-from tracegraph.llm.common import delete, fresh, land, noting
+from tracegraph.llm.calibrate import Logistic, fit_whole_curve, for_curve, training_labels
+from tracegraph.llm.common import BITS, asked, bitmaps, delete, fresh, land, noting
 from tracegraph.llm.warc import open_file
 
 ORDER = 5  # bytes of the longest gram; at most 7, so that a gram fits a signed 64-bit integer
 DISCOUNT = 0.75
 FLOOR, CEILING = 5.0, 12.0
-CLASS_ROWS = 30000  # labelled documents of each class that the class counts take
-FIT_ROWS = 12000  # labelled documents for the calibration, none of them counted
+ID_BYTES = 64  # of an id that is broadcast
 CONTEXT = 1 << 60  # marks the entry of a context
 FEATURES = 4  # of a text
 PORTION = 1 << 20  # letters that are scored at a time
@@ -307,20 +306,31 @@ class ToxicityModel:
         return docs.mapInArrow(add, schema)
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int = 42,
-          class_rows: int = CLASS_ROWS, fit_rows: int = FIT_ROWS, key: str = "doc_id", text: str = "text") -> ToxicityModel:
-    """Backoff counts from all ``docs``, class counts from at most ``class_rows`` labelled rows of each class, outside the held-out fold.
+def _labelled(docs: DataFrame, known: DataFrame, key: str, text: str) -> DataFrame:
+    """(text, y, curve) of all documents; y is null without a label.
 
-    Repeated documents count as often as they occur. Without labels of both classes the score is a constant.
+    Labels of ids that lie close together meet the texts as bitmaps, so that no text is shuffled however many labels there are.
     """
-    known = land(training_labels(labels, label), "labels")
-    rest = known.filter(~for_curve())
-    chosen = sample(rest.filter("y = 1"), class_rows, seed).unionByName(sample(rest.filter("y = 0"), class_rows, seed))
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    # at most 2 * class_rows ids are broadcast
-    marked = rows.join(F.broadcast(chosen), "key", "left").select("text", "y")
-    counts = marked.mapInArrow(count_grams, "gram bigint, toxic bigint, ordinary bigint")
-    pairs = marked.filter("y IS NOT NULL").mapInArrow(count_pairs, "before bigint, word bigint, toxic bigint, ordinary bigint")
+    if dict(rows.dtypes)["key"] in ("int", "bigint") and dict(known.dtypes)["key"] in ("int", "bigint"):
+        known, rows = known.withColumn("key", F.col("key").cast("bigint")), rows.withColumn("key", F.col("key").cast("bigint"))
+        blocks, labels = known.agg(F.countDistinct(F.shiftright("key", 15)), F.count("*")).first()
+        if blocks * 3 * BITS // 8 <= max(1 << 20, labels * ID_BYTES):
+            marks = land(bitmaps(known, "key", toxic=F.col("y") == 1, ordinary=F.col("y") == 0, curve=F.col("curve")), "labels")
+            return asked(rows, "key", marks).select("text", F.when(F.col("toxic"), 1).when(F.col("ordinary"), 0).alias("y"), "curve")
+    return rows.join(known, "key", "left").select("text", "y", F.coalesce("curve", F.lit(False)).alias("curve"))
+
+
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text") -> ToxicityModel:
+    """Backoff counts from all ``docs``, class counts and the curve from all labelled rows outside the held-out fold; a quarter of them only fits the curve.
+
+    Repeated documents count as often as they occur. Without labels of both classes the score is a constant.
+    """
+    known = land(training_labels(labels, label).withColumn("curve", for_curve()), "labels")
+    marked = _labelled(docs, known, key, text)
+    counted = marked.select("text", F.when(~F.col("curve"), F.col("y")).alias("y"))
+    counts = counted.mapInArrow(count_grams, "gram bigint, toxic bigint, ordinary bigint")
+    pairs = counted.filter("y IS NOT NULL").mapInArrow(count_pairs, "before bigint, word bigint, toxic bigint, ordinary bigint")
     steps: list[str] = []
     with noting(steps):
         ratios = evidence_table(counts), pair_table(pairs)
@@ -333,5 +343,5 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str =
             x = evidence.features(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
 
-    fit = texts_of(docs, land(sample(known.filter(for_curve()), fit_rows, seed), "sample"), key, text).select("y", "text")
-    return ToxicityModel(paths, fit_curve(fit.mapInArrow(measure, "y int, x array<double>"), FEATURES))
+    fit = marked.filter("curve AND y IS NOT NULL").select("y", "text")
+    return ToxicityModel(paths, fit_whole_curve(land(fit.mapInArrow(measure, "y int, x array<double>"), "curve"), FEATURES))
