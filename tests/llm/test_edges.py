@@ -174,6 +174,28 @@ def test_toxicity_learns_from_every_labelled_row(spark):
     assert fit_whole_curve(none, 3)(x[:2]).tolist() == [0.5, 0.5]
 
 
+def test_toxicity_word_pairs_lie_in_pieces(spark, monkeypatch):
+    """A task holds one file of word pairs at a time: files are small, their keys ordered and apart, and scores the same."""
+    import pyarrow.parquet as pq
+    from tracegraph.llm.warc import open_file
+
+    rng = np.random.default_rng(4)
+    docs = land(spark.createDataFrame([(i, " ".join(rng.choice(list("abcdefghijklmnop") + ["ill"] * (i % 3 == 0), 30))) for i in range(300)], "doc_id long, text string"), "docs")
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    score = lambda model: {r.doc_id: r.score for r in model.score(docs).collect()}
+    want = score(toxicity.train(spark, docs, labels))
+    monkeypatch.setattr(toxicity, "PIECE", 20)
+    model = toxicity.train(spark, docs, labels)
+    files = []
+    for path in model.paths[1]:
+        with open_file(path, "rb") as file:
+            files.append(pq.read_table(file)["key"].to_pylist())
+    filled = sorted(f for f in files if f)
+    assert len(filled) > 5 and max(map(len, filled)) <= 60 and all(f == sorted(f) for f in filled)
+    assert all(a[-1] < b[0] for a, b in zip(filled, filled[1:]))
+    assert score(model) == want
+
+
 def test_texts_are_not_shuffled_for_decisions(spark):
     """Near-duplicates and the mix ask wide rows for their number, however many are kept."""
     from tracegraph.llm.common import asked, bitmaps

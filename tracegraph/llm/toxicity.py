@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import xxhash
-from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, Window, functions as F, types as T
 
 from tracegraph.llm.calibrate import Logistic, fit_whole_curve, for_curve, training_labels
 from tracegraph.llm.common import BITS, asked, bitmaps, delete, fresh, land, noting
@@ -34,7 +34,9 @@ FLOOR, CEILING = 5.0, 12.0
 ID_BYTES = 64  # of an id that is broadcast
 CONTEXT = 1 << 60  # marks the entry of a context
 FEATURES = 4  # of a text
-PORTION = 1 << 20  # letters that are scored at a time
+PORTION = 1 << 20  # letters whose words are taken at a time
+LETTERS = 12 << 20  # of the texts whose word pairs are looked up together
+PIECE = 1 << 20  # entries in a file of word pairs, about
 KNOWN = 1_000_000  # words that a task remembers
 FLUSH = 200_000  # different words that a task gathers before it hands on their grams
 WORDS = re.compile(r"\w+")
@@ -121,17 +123,30 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def pair_table(counts: DataFrame) -> DataFrame:
-    """Entries (key, ratio) as in ``evidence_table``: words after words, and the words before; the shared backoff is how many words a word follows."""
-    g = land(counts.groupBy("before", "word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "pairs")
-    contexts = land(_class_totals(g.groupBy("before")), "words-before")
-    follows = land(g.groupBy("word").agg((F.count("*") / F.lit(max(1, g.count()))).alias("shared")), "words-after")
-    seen = g.join(contexts, "before").join(follows, "word").select("before", "word", _seen_ratio().alias("ratio")).mapInArrow(_named, "key bigint, ratio double")
-    return seen.unionByName(contexts.select((F.col("before").bitwiseXOR(F.lit(CONTEXT))).alias("key"), _unseen_ratio().alias("ratio")))
+    """Entries (key, ratio) as in ``evidence_table``: words after words, and the words before; the shared backoff is how many words a word follows.
+
+    They come cut by ranges of the key, in order, about ``PIECE`` of them in a partition: keys are hashes, so equal ranges hold equally many.
+    """
+    g = counts.repartition("before").groupBy("before", "word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    over = Window.partitionBy("before")  # in the same stage
+    g = land(g.withColumns({e: c.over(over) for e, c in _totals().items()}), "pairs")
+    rows = g.count()
+    contexts = g.groupBy("before").agg(*[F.max(e).alias(e) for e in _totals()])
+    follows = land(g.groupBy("word").agg((F.count("*") / F.lit(max(1, rows))).alias("shared")), "words-after")
+    seen = g.join(follows, "word").select("before", "word", _seen_ratio().alias("ratio")).mapInArrow(_named, "key bigint, ratio double")
+    both = seen.unionByName(contexts.select((F.col("before").bitwiseXOR(F.lit(CONTEXT))).alias("key"), _unseen_ratio().alias("ratio")))
+    pieces = 1 + rows // PIECE
+    piece = F.shiftright((F.shiftright("key", 40) + F.lit(1 << 23)) * F.lit(pieces), 24).cast("int")
+    return both.withColumn("ratio", F.col("ratio").cast("float")).repartitionById(pieces, piece).sortWithinPartitions("key")
+
+
+def _totals() -> dict[str, Column]:
+    """Occurrences (_t) and kinds (_m) in either class."""
+    return {n: e for c in ("toxic", "ordinary") for n, e in ((f"{c}_t", F.sum(c)), (f"{c}_m", F.count(F.when(F.col(c) > 0, 1))))}
 
 
 def _class_totals(grouped: GroupedData) -> DataFrame:
-    """Occurrences (_t) and kinds (_m) in either class."""
-    return grouped.agg(*[e for c in ("toxic", "ordinary") for e in (F.sum(c).alias(f"{c}_t"), F.count(F.when(F.col(c) > 0, 1)).alias(f"{c}_m"))])
+    return grouped.agg(*[e.alias(n) for n, e in _totals().items()])
 
 
 def _weight(c: str) -> Column:
@@ -198,26 +213,38 @@ def _stored(table: DataFrame, name: str) -> tuple[str, ...]:
     return tuple(sorted(land(table.select("key", F.col("ratio").cast("float")), name).inputFiles()))
 
 
-_read: dict[tuple, list[tuple[np.ndarray, np.ndarray]]] = {}  # of this worker, the tables of the last model
+_read: dict[tuple[str, ...], tuple[np.ndarray, np.ndarray]] = {}  # of this worker, the grams of the last model
+
 
+def _entries(path: str) -> tuple[np.ndarray, np.ndarray]:
+    with open_file(path, "rb") as file:
+        part = pq.read_table(file)
+    return part["key"].to_numpy(), part["ratio"].to_numpy()
 
-def _tables(paths: tuple[tuple[str, ...], ...]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(keys, ratios) of every stored table, sorted by key."""
-    if paths not in _read:
+
+def _whole(files: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, ratios) of a stored table, sorted by key."""
+    if files not in _read:
         _read.clear()
-        out = []
-        for files in paths:
-            keys, ratios = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
-            for path in files:
-                with open_file(path, "rb") as file:
-                    part = pq.read_table(file)
-                keys.append(part["key"].to_numpy())
-                ratios.append(part["ratio"].to_numpy())
-            keys, ratios = np.concatenate(keys), np.concatenate(ratios)
-            order = np.argsort(keys)
-            out.append((keys[order], ratios[order]))
-        _read[paths] = out
-    return _read[paths]
+        keys, ratios = map(np.concatenate, zip((np.zeros(0, np.int64), np.zeros(0, np.float32)), *map(_entries, files)))
+        order = np.argsort(keys)
+        _read[files] = keys[order], ratios[order]
+    return _read[files]
+
+
+def _look_by_piece(files: tuple[str, ...], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_look`` in a table whose files are sorted by key; one of them is held at a time, and only the keys in its range are looked up."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    hit, ratio = np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
+    for path in files:
+        known, ratios = _entries(path)
+        if len(known):
+            here = slice(np.searchsorted(keys, known[0]), np.searchsorted(keys, known[-1], side="right"))
+            at = np.searchsorted(known, keys[here])
+            hit[order[here]] = same = known[at] == keys[here]
+            ratio[order[here]] = np.where(same, ratios[at], 0)
+    return hit, ratio
 
 
 def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,9 +259,12 @@ def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.nd
 
 
 class Evidence:
-    """Evidence of words and of words after words, by table look-up; words are numbered as they are met."""
+    """Evidence of words and of words after words, by table look-up; words are numbered as they are met.
+
+    Grams stay in memory. Word pairs, which grow with the labelled rows, are read file by file for every ``LETTERS`` letters of text.
+    """
 
-    def __init__(self, grams: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, grams: tuple[np.ndarray, np.ndarray], pairs: tuple[str, ...]):
         self.grams, self.pairs = grams, pairs
         self.forget()
 
@@ -254,36 +284,69 @@ class Evidence:
         self.strong = np.concatenate([self.strong, np.where(total > FLOOR, np.minimum(total, CEILING), 0.0)])
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """One row of ``FEATURES`` numbers per text. Texts go in portions of about ``PORTION`` letters."""
-        out, start, size = [np.zeros((0, FEATURES))], 0, 0
-        for i, text in enumerate(texts):
-            size += len(text or "")
-            if size > PORTION or i + 1 == len(texts):
-                out.append(self._features(texts[start:i + 1]))
-                start, size = i + 1, 0
-        return np.concatenate(out)
+        """One row of ``FEATURES`` numbers per text. Texts go in portions of about ``LETTERS`` letters."""
+        return np.concatenate([np.zeros((0, FEATURES)), *map(self._features, _portions(texts, LETTERS))])
 
-    def _features(self, texts: list[str | None]) -> np.ndarray:
+    def _numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """How many words each text has, and the numbers of all of them."""
         lists = [words_of(t) for t in texts]
-        if len(self.number) > KNOWN:
-            self.forget()
         if new := set().union(*lists) - self.number.keys():
             self.learn(sorted(new))
         lengths = np.array([len(w) for w in lists], np.int64)
-        at = np.fromiter((self.number[w] for words in lists for w in words), np.int64, int(lengths.sum()))
-        doc = np.repeat(np.arange(len(lists)), lengths)
-        signed = np.bincount(doc, self.signed[at], minlength=len(lists))
+        return lengths, np.fromiter((self.number[w] for words in lists for w in words), np.int32, int(lengths.sum()))
+
+    def _features(self, texts: list[str | None]) -> np.ndarray:
+        if len(self.number) > KNOWN:
+            self.forget()
+        lengths, at = map(np.concatenate, zip(*[self._numbers(part) for part in _portions(texts, PORTION)]))
+        doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        signed = np.bincount(doc, self.signed[at], minlength=len(lengths))
         strong = np.flatnonzero(self.strong[at])
-        times, n = np.unique(doc[strong] << 32 | at[strong], return_counts=True)
-        heavy = np.bincount(times >> 32, self.strong[times & 0xFFFFFFFF] * (1 + np.log(n)), minlength=len(lists))
-        code = self.code[at]
-        before = np.concatenate([np.zeros(1, np.int64), code[:-1]])[:len(code)]
-        before[np.flatnonzero(np.diff(doc, prepend=-1))] = 0
-        hit, ratio = _look(self.pairs, pair_code(before, code))
-        _, back = _look(self.pairs, before ^ np.int64(CONTEXT))
-        pairs = np.bincount(doc, np.where(hit, ratio, back), minlength=len(lists))
+        times, n = np.unique(doc[strong].astype(np.int64) << 32 | at[strong], return_counts=True)
+        heavy = np.bincount(times >> 32, self.strong[times & 0xFFFFFFFF] * (1 + np.log(n)), minlength=len(lengths))
         words = np.maximum(1, lengths)
-        return np.stack([signed / words, pairs / words, heavy / words, heavy / np.sqrt(words)], axis=1)
+        return np.stack([signed / words, self._pairs(doc, at, len(lengths)) / words, heavy / words, heavy / np.sqrt(words)], axis=1)
+
+    def _pairs(self, doc: np.ndarray, at: np.ndarray, texts: int) -> np.ndarray:
+        """The evidence of words after words, summed by text: a pair's own, or else that of the word before."""
+        start = len(self.code)  # the number of a text's start
+        before = np.concatenate([[start], at[:-1]])[:len(at)].astype(np.int32)
+        before[np.flatnonzero(np.diff(doc, prepend=-1))] = start
+        code = np.append(self.code, 0)
+        met = np.flatnonzero(np.bincount(before, minlength=start + 1))
+        hit, ratio = _look_by_piece(self.pairs, np.concatenate([pair_code(code[before], code[at]), code[met] ^ np.int64(CONTEXT)]))
+        back = np.zeros(start + 1)
+        back[met] = ratio[len(at):]
+        return np.bincount(doc, np.where(hit[:len(at)], ratio[:len(at)], back[before]), minlength=texts)
+
+
+def _portions(texts: list[str | None], letters: int) -> Iterator[list[str | None]]:
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size > letters or i + 1 == len(texts):
+            yield texts[start:i + 1]
+            start, size = i + 1, 0
+
+
+def _measured(batches: Iterator[pa.RecordBatch], paths: tuple, text: str | int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Each batch with the features of its texts; small batches are gathered, so that word pairs are read once for many of them."""
+    evidence = Evidence(_whole(paths[0]), paths[1])
+    gathered, size = [], 0
+
+    def out() -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        x = evidence.features([t for b in gathered for t in b.column(text).to_pylist()])
+        for b in gathered:
+            yield b, x[:b.num_rows]
+            x = x[b.num_rows:]
+
+    for batch in batches:
+        gathered.append(batch)
+        size += batch.nbytes
+        if size > LETTERS:
+            yield from out()
+            gathered, size = [], 0
+    yield from out()
 
 
 @dataclass(frozen=True)
@@ -298,9 +361,7 @@ class ToxicityModel:
         model, columns = self, docs.columns
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            evidence = Evidence(*_tables(model.paths))
-            for batch in batches:
-                x = evidence.features(batch.column(columns.index(text)).to_pylist())
+            for batch, x in _measured(batches, model.paths, columns.index(text)):
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.curve(x), pa.float64())], names=[*columns, name])
 
         return docs.mapInArrow(add, schema)
@@ -332,15 +393,18 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str =
     counts = counted.mapInArrow(count_grams, "gram bigint, toxic bigint, ordinary bigint")
     pairs = counted.filter("y IS NOT NULL").mapInArrow(count_pairs, "before bigint, word bigint, toxic bigint, ordinary bigint")
     steps: list[str] = []
-    with noting(steps):
-        ratios = evidence_table(counts), pair_table(pairs)
-    paths = (_stored(ratios[0], "gram-ratios"), _stored(ratios[1], "pair-ratios"))
-    delete(spark, steps)  # what led to the stored tables
+
+    def stored(build, rows: DataFrame, name: str) -> tuple[str, ...]:
+        with noting(steps):
+            ratios = build(rows)
+        files = _stored(ratios, name)
+        delete(spark, steps)  # what led to the stored table
+        return files
+
+    paths = stored(evidence_table, counts, "gram-ratios"), stored(pair_table, pairs, "pair-ratios")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        evidence = Evidence(*_tables(paths))
-        for batch in batches:
-            x = evidence.features(batch.column("text").to_pylist())
+        for batch, x in _measured(batches, paths, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
 
     fit = marked.filter("curve AND y IS NOT NULL").select("y", "text")
