@@ -209,7 +209,7 @@ def evidence_table(counts: DataFrame) -> DataFrame:
 
 
 def _stored(table: DataFrame, name: str) -> tuple[str, ...]:
-    """The files of a landed table, for ``_tables``; the driver never holds its rows."""
+    """The files of a landed table, for ``_whole`` and ``_look_by_piece``; the driver never holds its rows."""
     return tuple(sorted(land(table.select("key", F.col("ratio").cast("float")), name).inputFiles()))
 
 
