@@ -109,7 +109,7 @@ def _(t):
 
 @query("gat_embed")
 def _(t):
-    return embed.gat_embed(embed.node_features_16(t.tr, t.ev), embed.gcn_graph(t.ev))
+    return embed.gat_embed(embed.node_features_16(t.tr, t.ev, t.seq), embed.gcn_graph(t.ev, t.seq))
 
 
 @query("sage_embed")
