@@ -10,7 +10,7 @@ from tracegraph.plans.registry import tables
 DIR = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name, view, width", [("structural_proxy_view", views.structural_proxy_view, 59)])
+@pytest.mark.parametrize("name, view, width", [("structural_proxy_view", views.structural_proxy_view, 59), ("full_feature_matrix", views.full_feature_matrix, 42 + 15 + 59)])
 def test_no_proxy_is_left_out(spark, name, view, width):
     t = tables(spark, DIR)
     columns = [c for c in view(t.itg).columns if c != "trace_id"]
