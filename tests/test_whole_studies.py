@@ -30,3 +30,9 @@ def test_clf_rf(asked):
     (_, cases), kwargs = asked("clf_rf", "evaluate")
     (columns, learner), = cases.values()
     assert len(columns) == 42 and learner == fits.forest(500, depth=None) and kwargs == {}  # ten folds
+
+
+def test_clf_mlp(asked):
+    (_, cases), kwargs = asked("clf_mlp", "evaluate")
+    (columns, learner), = cases.values()
+    assert len(columns) == 42 and learner.params["hidden"] == (128, 64) and learner.params["rounds"] >= 500 and kwargs == {}
