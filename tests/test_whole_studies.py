@@ -36,3 +36,10 @@ def test_clf_mlp(asked):
     (_, cases), kwargs = asked("clf_mlp", "evaluate")
     (columns, learner), = cases.values()
     assert len(columns) == 42 and learner.params["hidden"] == (128, 64) and learner.params["rounds"] >= 500 and kwargs == {}
+
+
+def test_stacked_smve(asked):
+    (_, bases, finals, raw, _), kwargs = asked("stacked_smve", "stacked_whole")
+    assert list(bases) == list(views.VIEW_PREFIX) and sum(len(c) for c, _ in bases.values()) == 125 and len(raw) == 21 and kwargs == {}  # ten folds, three inside
+    assert [learner.params["trees"] for _, learner in bases.values()] == [200, 300, 200, 200, 300, 150]
+    assert [f.kind for f in finals] == ["logistic", "boosted"] and finals[1].params["trees"] == 100
