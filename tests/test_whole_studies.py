@@ -43,3 +43,10 @@ def test_stacked_smve(asked):
     assert list(bases) == list(views.VIEW_PREFIX) and sum(len(c) for c, _ in bases.values()) == 125 and len(raw) == 21 and kwargs == {}  # ten folds, three inside
     assert [learner.params["trees"] for _, learner in bases.values()] == [200, 300, 200, 200, 300, 150]
     assert [f.kind for f in finals] == ["logistic", "boosted"] and finals[1].params["trees"] == 100
+
+
+def test_stack_concat(asked):
+    (_, bases, finals, raw, _, folds, inner), _ = asked("stack_concat", "stacked_whole")
+    assert all(len(c) == 125 for c, _ in bases.values()) and (folds, inner, raw) == (10, 3, [])
+    assert bases["rf"][1].params["trees"] == bases["gbm"][1].params["trees"] == 300 and bases["mlp"][1].params["hidden"] == (128, 64)
+    assert [f.kind for f in finals] == ["logistic"]
