@@ -1,10 +1,11 @@
 """Transformed copies of the positive traces are built in one pass and equal those built one by one."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (registers the queries)
 from tracegraph.functions import ordered
-from tracegraph.operators import attacks, graph, perturb, views
+from tracegraph.operators import attacks, graph, learn, perturb, views
 from tracegraph.plans.registry import tables
 
 DIR = "/root/testdata/sf0.001"
@@ -41,3 +42,19 @@ def test_report_counts(spark):
     got = {r["attack"]: r for r in got.collect()}
     assert [got["clean"][c] for c in ("accuracy", "f1", "detected", "evaded")] == [0.5, 0.5, 1, 0]
     assert [got["a"][c] for c in ("accuracy", "f1", "detected", "evaded", "evasion_rate")] == [0.5, 0.5, 1, 1, 1.0]
+
+
+def test_every_transform_and_model(spark, monkeypatch):
+    asked = {}
+
+    def take(rows, cases):
+        asked["codes"] = {r[0] for r in rows.filter("fold = 0").select((F.col("trace_id") % attacks.CODES).cast("int")).distinct().collect()}
+        asked["cases"] = {m: (len(c), learner.params["trees"]) for m, (c, learner) in cases.items()}
+        return rows.select(F.lit("full").alias("method"), "trace_id", F.lit(1).alias("pred"))
+
+    monkeypatch.setattr(learn, "train_and_score", take)
+    t = tables(spark, DIR)
+    a = attacks.attacked_tables(t)
+    attacks.model_verdicts(t, a, attacks.attacked_itg(t, a))
+    assert asked["codes"] == set(range(14)) and len(attacks.NAMES) == 14 and {"split_forms", "combined", "mean_substitution"} <= set(attacks.NAMES)
+    assert asked["cases"] == {"full": (125, 500), "non_url": (104, 500), "url": (21, 200), "itg": (42, 500)}
