@@ -50,3 +50,10 @@ def test_stack_concat(asked):
     assert all(len(c) == 125 for c, _ in bases.values()) and (folds, inner, raw) == (10, 3, [])
     assert bases["rf"][1].params["trees"] == bases["gbm"][1].params["trees"] == 300 and bases["mlp"][1].params["hidden"] == (128, 64)
     assert [f.kind for f in finals] == ["logistic"]
+
+
+def test_baseline_suite(asked):
+    (_, cases), kwargs = asked("baseline_suite", "out_of_fold_whole")
+    trees = {m: learner.params.get("trees") for m, (_, learner) in cases.items()}
+    assert kwargs == {} and trees["redirect_gbm"] == 200 and trees["behaviour_gbm"] == 150 and trees["all_rf"] == trees["url_rf"] == trees["vote:rf"] == trees["vote:gbm"] == 100
+    assert cases["all_rf"][1].params["depth"] is None and cases["visual_mlp"][1].params["hidden"] == (128, 64, 32)
